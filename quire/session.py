@@ -15,6 +15,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when that costs the next operator one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Recursive queries walk whole tables; the default stops at a million rows.
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
