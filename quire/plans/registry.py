@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import queries_memory, queries_model
+from quire.plans import queries_catalog, queries_memory, queries_model
 
-_PARTS = [queries_model, queries_memory]
+_PARTS = [queries_model, queries_memory, queries_catalog]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
