@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import queries_catalog, queries_memory, queries_model
+from quire.plans import queries_catalog, queries_ledger, queries_memory, queries_model
 
-_PARTS = [queries_model, queries_memory, queries_catalog]
+_PARTS = [queries_model, queries_memory, queries_catalog, queries_ledger]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
