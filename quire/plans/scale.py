@@ -63,14 +63,14 @@ def sharded_running_total(
     keyed = df.withColumn("_shard", shard_of(order, span))
     totals = keyed.groupBy(*group, "_shard").agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*group).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_shard", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    offsets = totals.select(*group, "_shard", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
     inside = (
         Window.partitionBy(*group, "_shard").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         keyed.join(offsets, [*group, "_shard"])
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_before", "_shard")
+        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_offset", "_shard")
     )
 
 
