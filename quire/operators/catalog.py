@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -68,11 +70,11 @@ def catalog_signature(catalog: DataFrame, root: str | Column) -> DataFrame:
     arrival does not matter and no task ever holds the names of a root together.
     """
     digest = F.sha2(F.concat_ws("\n", F.lit("f"), F.col("path")), 256)
-    lanes = [F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)]
+    lanes = [F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
     col = F.col(root) if isinstance(root, str) else root
     sums = catalog.select(col.alias("root"), digest.alias("_d")).groupBy("root").agg(
         F.count(F.lit(1)).alias("items"),
-        *[F.pmod(F.sum(lane), F.lit(1 << 32)).alias(f"_l{i}") for i, lane in enumerate(lanes)],
+        *[F.pmod(F.sum(lane), F.lit(1 << 32).cast("decimal(30,0)")).cast("bigint").alias(f"_l{i}") for i, lane in enumerate(lanes)],
     )
     whole = F.concat_ws("-", F.col("items").cast("string"), *[F.col(f"_l{i}").cast("string") for i in range(8)])
     return sums.select("root", "items", tx.short_hash(whole).alias("signature"))
@@ -140,7 +142,7 @@ def hierarchy_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     Walks up from every node at once, one level per step; a node met before on the way ends the
     walk, so a cycle cannot run on.
     """
-    view = "quire_nodes"
+    view = f"quire_nodes_{uuid.uuid4().hex}"
     nodes.select("id", "parent", "name").createOrReplaceTempView(view)
     return spark.sql(f"""
         WITH RECURSIVE up(id, parent, path, seen, top) MAX RECURSION LEVEL 1000 AS (

@@ -125,7 +125,8 @@ def affected_decks(homes: DataFrame, edited: DataFrame, hits: DataFrame) -> Data
     ``edited`` is (scope, term); ``hits`` has one row per sentence and term.
     """
     chains = cat.scope_chain(homes).select("deck_id", "scope")
-    concerned = chains.join(edited, "scope").select("deck_id", "term").distinct()
+    # The root scope holds every deck: its edits are copied over salts.
+    concerned = scale.salted_join(chains, edited, ["scope"], "deck_id", how="inner").select("deck_id", "term").distinct()
     # Counted per deck and term first: few rows meet the small table of concerned decks.
     counted = hits.groupBy("deck_id", "term").agg(F.count(F.lit(1)).alias("_n"))
     return concerned.join(counted, ["deck_id", "term"], "left").groupBy("deck_id", "term").agg(

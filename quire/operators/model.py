@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text as tx
+from quire.plans import scale
 from quire.sources.views import PAGE
 
 READING = ("title", "body", "code")
@@ -68,30 +68,26 @@ def deck_fingerprint(blocks: DataFrame, whole_chars: int = WHOLE_DECK_CHARS) ->
     Hashing one string needs the whole deck in one task, so that form is kept for decks up to
     ``whole_chars``. Longer decks get the hash of their page hashes, 1024 at a time, level by
     level: still changed by any edit or reordering, and no task holds more than 1024 hashes.
+    Both forms go through the same groupings, so the blocks are grouped once.
     """
+    sizes = blocks.groupBy("deck_id").agg((F.sum(F.length("text")) <= whole_chars).alias("_whole"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda b: b["text"])
     pages = blocks.groupBy(*PAGE).agg(F.array_join(texts, "").alias("_page"))
-    sizes = pages.groupBy("deck_id").agg(F.sum(F.length("_page")).alias("n_chars"))
-    large = sizes.where(F.col("n_chars") > whole_chars).select("deck_id")
-    small = sizes.where(F.col("n_chars") <= whole_chars).select("deck_id")
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_index", "_page"))), lambda p: p["_page"])
-    whole = (
-        pages.join(small, "deck_id", "left_semi").groupBy("deck_id")
-        .agg(tx.short_hash(F.array_join(ordered, "")).alias("fingerprint"))
-        .withColumn("method", F.lit("whole"))
+    tagged = scale.salted_join(pages, sizes, ["deck_id"], "page_index", how="inner")
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda p: p["_h"])
+    level = tagged.select(
+        "deck_id", "_whole", F.col("page_index").alias("_at"),
+        F.when(F.col("_whole"), F.col("_page")).otherwise(F.sha2("_page", 256)).alias("_h"),
     )
-    level = pages.join(large, "deck_id", "left_semi").select("deck_id", F.col("page_index").alias("_at"), F.sha2("_page", 256).alias("_h"))
-    for _ in range(4):  # 1024^4 pages
-        inner = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda p: p["_h"])
+    for depth in range(4):  # 1024^4 pages
+        up = F.when(F.col("_whole"), 0).otherwise(F.shiftright("_at", FAN_IN.bit_length() - 1)).cast("bigint")
+        joined = F.array_join("_parts", "")
+        kept = F.when(F.col("_whole"), joined).otherwise(F.sha2(joined, 256)) if depth else F.sha2(joined, 256)
         level = (
-            level.withColumn("_up", F.floor(F.col("_at") / FAN_IN))
-            .groupBy("deck_id", "_up").agg(F.sha2(F.array_join(inner, ""), 256).alias("_h"))
-            .withColumnRenamed("_up", "_at")
+            level.withColumn("_up", up).groupBy("deck_id", "_whole", "_up").agg(parts.alias("_parts"))
+            .select("deck_id", "_whole", F.col("_up").alias("_at"), kept.alias("_h"))
         )
-    tree = level.select("deck_id", F.substring("_h", 1, 16).alias("fingerprint"), F.lit("tree").alias("method"))
-    return whole.unionByName(tree)
-
-
-def page_position(order: str = "block_index") -> Window:
-    return Window.partitionBy(*PAGE).orderBy(order)
+    return level.select(
+        "deck_id", F.substring("_h", 1, 16).alias("fingerprint"), F.when(F.col("_whole"), "whole").otherwise("tree").alias("method")
+    )

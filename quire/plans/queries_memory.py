@@ -37,19 +37,19 @@ def cache_key(spark, sf):
 
 @query("cache_lookup", f"SELECT {UNIT_SQL}, translation FROM translated", "translated")
 def cache_lookup(spark, sf):
-    s = stages.sentences(spark, sf)
+    s = stages.written_sentences(spark, sf)
     return mem.cache_lookup(derived.keyed_sentences(s), derived.cache(s)).select(*UNIT, "translation")
 
 
 @query("pending_units", f"SELECT {UNIT_SQL}, unit_id, text FROM pending", "pending")
 def pending_units(spark, sf):
-    return derived.pending(stages.sentences(spark, sf)).select(*UNIT, "unit_id", "text")
+    return derived.pending(stages.written_sentences(spark, sf)).select(*UNIT, "unit_id", "text")
 
 
 def fresh_entries(spark, sf):
     """Accepted answers as memory rows, one per place; the same text may come up many times."""
-    s = stages.sentences(spark, sf)
-    units = derived.pending(s)
+    s = stages.written_sentences(spark, sf)
+    units = stages.written_units(s)
     done = mem.accept_checks(mem.retry_rounds(units, derived.replies(units)))
     return derived.cache(s), done.where("NOT failed").select(
         "cache_key", F.col("text").alias("source"), "translation",
@@ -72,7 +72,7 @@ def cache_upsert(spark, sf):
 
 @query("cache_drop", "SELECT cache_key, source FROM cache WHERE substr(cache_key, 1, 1) NOT IN ('0', '1', '2')", "cache")
 def cache_drop(spark, sf):
-    memory = derived.cache(stages.sentences(spark, sf))
+    memory = derived.cache(stages.sentences(spark, sf)).checkpoint()
     gone = memory.where(F.substring("cache_key", 1, 1).isin("0", "1", "2"))
     return mem.cache_drop(memory, gone).select("cache_key", "source")
 
@@ -133,8 +133,8 @@ JOIN deck_sizes USING (deck_id) LEFT JOIN deck_terms USING (deck_id)
 
 
 def prompts(spark, sf):
-    c = stages.classified(spark, sf)
-    units = derived.pending(stages.sentences(spark, sf))
+    c = stages.classified(spark, sf).checkpoint()
+    units = stages.written_units(stages.sentences_of(c).checkpoint())
     return mem.build_prompts(c, units, views.deck_sizes(spark, sf), deck_terms(spark, sf), ["SQL", "Java"])
 
 
@@ -144,7 +144,7 @@ def build_prompts(spark, sf):
 
 
 def unit_replies(spark, sf):
-    units = derived.pending(stages.sentences(spark, sf))
+    units = stages.written_units(stages.written_sentences(spark, sf))
     return units, derived.replies(units)
 
 
@@ -217,8 +217,8 @@ def accept_checks(spark, sf):
     "translated", "accepted", "reply_errors",
 )
 def page_results(spark, sf):
-    s = stages.sentences(spark, sf)
-    units = derived.pending(s)
+    s = stages.written_sentences(spark, sf)
+    units = stages.written_units(s)
     replies = derived.replies(units)
     looked = mem.cache_lookup(derived.keyed_sentences(s), derived.cache(s))
     done = mem.accept_checks(mem.retry_rounds(units, replies))
@@ -270,7 +270,7 @@ def edits(sentences):
     "translated", "edits",
 )
 def manual_edit(spark, sf):
-    s = stages.sentences(spark, sf)
+    s = stages.written_sentences(spark, sf)
     return mem.manual_edit(derived.translated(s), edits(s)).select(*UNIT, "translation", "edited", "flagged")
 
 
@@ -281,7 +281,7 @@ def manual_edit(spark, sf):
     "translated",
 )
 def page_progress(spark, sf):
-    p = mem.page_progress(derived.translated(stages.sentences(spark, sf)))
+    p = mem.page_progress(derived.translated(stages.written_sentences(spark, sf)))
     return p.select("deck_id", "page_index", "units", "pending", "flagged")
 
 
@@ -293,7 +293,7 @@ def page_progress(spark, sf):
     "translated", "deck_sizes",
 )
 def deck_progress(spark, sf):
-    p = mem.page_progress(derived.translated(stages.sentences(spark, sf)))
+    p = mem.page_progress(derived.translated(stages.written_sentences(spark, sf)))
     return mem.deck_progress(p, views.deck_sizes(spark, sf))
 
 

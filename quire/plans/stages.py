@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import classify as cl
 from quire.operators import segmentation as sg
-from quire.sources import views
+from quire.sources import derived, views
 
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
     return cl.classified_blocks(views.blocks(spark, sf), views.deck_sizes(spark, sf))
 
 
-def sentences(spark: SparkSession, sf: str) -> DataFrame:
+def sentences_of(classified_blocks: DataFrame) -> DataFrame:
     kept = [*views.PAGE, "block_index", "doc_id", "kind", "has_math", "text"]
-    return sg.sentences(classified(spark, sf).select(*kept))
+    return sg.sentences(classified_blocks.select(*kept))
+
+
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences_of(classified(spark, sf))
+
+
+def written_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, written to the shared folder once, for work that reads them more than once."""
+    return sentences(spark, sf).checkpoint()
+
+
+def written_units(sentences: DataFrame) -> DataFrame:
+    """Units to translate, fixed before any model is asked: a unit must not get another number,
+    or be paid for again, because a lost executor made Spark work it out anew."""
+    return derived.pending(sentences).checkpoint()

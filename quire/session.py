@@ -15,6 +15,9 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when that costs the next operator one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A join on whole pages may use a partitioning by part of its keys, so page tables that are
+    # spread by (deck, shard) already are joined where they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Recursive queries walk whole tables; the default stops at a million rows.
     "spark.sql.cteRecursionRowLimit": "-1",
 }
