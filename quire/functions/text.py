@@ -128,19 +128,16 @@ _ABBREV = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 def segment(c: str | Column) -> Column:
     """Sentences of a text as an array; empty text gives an empty array.
 
-    A mark goes in at every place that could end a sentence, the rules take back the marks that
-    do not, and the text is split at what is left. A rule only ever takes a mark away, so doubt
-    leaves the sentence whole.
+    A mark goes in at every place that can end a sentence, two rules take back marks that look
+    further than the place itself, and the text is split at what is left. Every rule only keeps
+    a mark out, so doubt leaves the sentence whole.
     """
-    t = replace_all(collapse_ws(c), rf"([.!?]{_CLOSERS} )", f"$1{MARK}")
-    # after a shortened word
-    t = replace_all(t, rf"(?iu)(?<![\p{{L}}\p{{N}}_.])((?:{_ABBREV})\.*{_TAIL}){MARK}", "$1")
-    # after one letter: an initial or a list letter
-    t = replace_all(t, rf"(?<![\p{{L}}\p{{N}}_.])(\p{{L}}{_TAIL}){MARK}", "$1")
+    # No mark after a full stop that follows a shortened word or one letter (an initial, a list
+    # letter), or comes before a lower-case letter. What stands before is only looked at there.
+    stop = rf"\.(?<!(?<![\p{{L}}\p{{N}}_.])(?:\p{{L}}|(?iu:{_ABBREV}))\.){_CLOSERS} (?!\p{{Ll}})"
+    t = replace_all(collapse_ws(c), rf"([!?]{_CLOSERS} |{stop})", f"$1{MARK}")
     # after a token with a full stop inside: an acronym or a version
     t = replace_all(t, rf"(\.{WORD}*{_TAIL}){MARK}", "$1")
-    # before a lower-case letter
-    t = replace_all(t, rf"({_TAIL}){MARK}(?=\p{{Ll}})", "$1")
     # after a number that opens the sentence: a list number
     t = replace_all(t, rf"(^|{MARK})(\p{{Nd}}+{_TAIL}){MARK}", "$1$2")
     parts = F.transform(F.split(t, MARK), lambda p: F.trim(p))

@@ -383,7 +383,40 @@ def loose_lines(spark, sf):
     )
 
 
-@query("merge_paragraphs")
+o.view("loose_lines", """
+SELECT doc_id, k // 60 AS page, k, row_number() OVER (PARTITION BY doc_id, k // 60 ORDER BY k) AS i,
+  CASE WHEN k % 3 = 1 THEN line || '-' ELSE line END AS text, CASE WHEN k % 5 = 0 THEN 13e-2 WHEN k % 7 = 6 THEN 5e-2 ELSE 8e-2 END AS x,
+  (k % 60) * 12e-3 + (k % 60 // 6) * 2e-2 AS y, 5e-1 + (k % 4) * 1e-1 AS w, 12e-3 AS h, CASE WHEN k % 10 = 9 THEN 18e0 ELSE 12e0 END AS font_pt,
+  k % 14 IN (7, 8) AS mono, k % 11 = 5 AS bullet
+FROM num_lines
+""", "num_lines")
+
+_MARKER = rf"^{_WS}*(?:[•▪◦‣⁃*]|[-–—]{_WS}|\(?[0-9]{{1,2}}[.)]|\(?[a-zA-Z][.)]){_WS}"
+
+
+@query(
+    "merge_paragraphs",
+    f"""SELECT doc_id, page, first, lines, text, round(x, 9) AS x, round(y, 9) AS y, round(w, 9) AS w, round(h, 9) AS h FROM (
+          WITH RECURSIVE grown AS (
+            SELECT doc_id, page, i, k AS first, 1 AS lines, text, x, y, w, h, font_pt, mono, bullet, h AS line_h, true AS fresh
+            FROM loose_lines WHERE i = 1
+            UNION ALL
+            SELECT doc_id, page, i, CASE WHEN j THEN first ELSE k END, CASE WHEN j THEN lines + 1 ELSE 1 END,
+              CASE WHEN NOT j THEN ctext WHEN mono THEN text || chr(10) || ctext
+                   WHEN ends_with(text, '-') AND regexp_matches(ctext, '^\\p{{Ll}}') THEN substr(text, 1, length(text) - 1) || ctext
+                   ELSE text || ' ' || ctext END,
+              CASE WHEN j THEN least(x, cx) ELSE cx END, CASE WHEN j THEN y ELSE cy END,
+              CASE WHEN j THEN greatest(x + w, cx + cw) - least(x, cx) ELSE cw END, CASE WHEN j THEN greatest(y + h, cy + ch) - y ELSE ch END,
+              CASE WHEN j THEN font_pt ELSE cfont END, CASE WHEN j THEN mono ELSE cmono END, CASE WHEN j THEN bullet ELSE cbullet END,
+              CASE WHEN j THEN line_h ELSE ch END, NOT j
+            FROM (SELECT p.* EXCLUDE (i), c.i, c.k, c.text AS ctext, c.x AS cx, c.y AS cy, c.w AS cw, c.h AS ch, c.font_pt AS cfont, c.mono AS cmono, c.bullet AS cbullet,
+                    NOT regexp_matches(c.text, '{_MARKER}') AND NOT p.bullet AND NOT c.bullet AND p.mono = c.mono AND abs(p.font_pt - c.font_pt) <= 6e-1
+                      AND c.y - (p.y + p.h) >= p.line_h * -5e-1 AND c.y - (p.y + p.h) <= p.line_h * 8e-1 AND c.x >= p.x - 2e-2 AS j
+                  FROM grown p JOIN loose_lines c ON c.doc_id = p.doc_id AND c.page = p.page AND c.i = p.i + 1))
+          SELECT *, lead(fresh) OVER (PARTITION BY doc_id, page ORDER BY i) AS next_fresh FROM grown)
+        WHERE coalesce(next_fresh, true)""",
+    "loose_lines",
+)
 def merge_paragraphs(spark, sf):
     m = lay.merge_paragraphs(loose_lines(spark, sf), ["doc_id", "page"], "k")
     return m.select("doc_id", "page", "first", "lines", "text", *[F.round(c, 9).alias(c) for c in "xywh"])
