@@ -114,7 +114,7 @@ def md_blocks(paged: DataFrame, document: Sequence[str]) -> DataFrame:
     """
     page = [*document, "page"]
     w = Window.partitionBy(*page).orderBy("line_no")
-    rows = paged.withColumn("_class", line_class())
+    rows = _with_table_rows(paged.withColumn("_class", line_class()), page)
     before = F.lag("_class").over(w)
     joined = (
         ((F.col("_class") == "text") & (before == "text"))
@@ -126,12 +126,13 @@ def md_blocks(paged: DataFrame, document: Sequence[str]) -> DataFrame:
         .when(F.col("_class") == "bullet", tx.strip_markdown(F.regexp_extract("line", BULLET, 3)))
         .when(F.col("_class") == "quote", tx.strip_markdown(F.regexp_extract("line", QUOTE, 1)))
         .when(F.col("_class") == "text", tx.strip_markdown("line"))
+        .when(F.col("_class") == "table", F.col("line"))
         # The lines that open and close a fence are not part of the code.
         .when((F.col("_class") == "fence") & (F.col("line_no") > F.col("fence_id")) & (F.col("line_no") < F.col("fence_end")), F.col("line"))
     )
     depth = F.floor(F.length(F.regexp_extract("line", BULLET, 1)) / 2)
-    marked = numbered.where("_class NOT IN ('table', 'blank')").select(
-        *page, "_island", "line_no", "_class", content.alias("_text"),
+    marked = numbered.where("_class <> 'blank' AND NOT _rule").select(
+        *page, "_island", "line_no", "_class", "table_r", content.alias("_text"),
         F.when(F.col("_class") == "heading", F.length(F.regexp_extract("line", HEADING, 1))).otherwise(0).alias("_level"),
         F.when(F.col("_class") == "bullet", depth).otherwise(0).alias("_depth"),
     )
@@ -140,48 +141,55 @@ def md_blocks(paged: DataFrame, document: Sequence[str]) -> DataFrame:
     )
     grouped = marked.groupBy(*page, "_island").agg(
         F.min("line_no").alias("line_no"), F.min("_class").alias("_class"), ordered.alias("_lines"),
-        F.max("_level").alias("heading"), F.max("_depth").alias("depth"),
+        F.max("_level").alias("heading"), F.max("_depth").alias("depth"), F.max("table_r").alias("table_r"),
     )
     code = F.btrim(F.array_join("_lines", "\n"), F.lit("\n"))
     solid = F.exists("_lines", lambda s: tx.strip(s) != "")
-    text = F.when(F.col("_class") == "fence", F.when(solid, code).otherwise("")).otherwise(tx.strip(F.array_join("_lines", " ")))
+    table = F.col("_class") == "table"
+    texts = (
+        F.when(table, _cell_texts(F.get("_lines", F.lit(0))))
+        .when(F.col("_class") == "fence", F.array(F.when(solid, code).otherwise("")))
+        .otherwise(F.array(tx.strip(F.array_join("_lines", " "))))
+    )
     sizes = F.array(*[F.lit(s) for s in HEADING_PT])
+    size = (
+        F.when(F.col("_class") == "fence", CODE_PT).when(F.col("heading") > 0, F.element_at(sizes, F.col("heading"))).otherwise(BODY_PT)
+    )
     blocks = grouped.select(
-        *page, "line_no", F.lit(0).alias("_cell"), text.alias("text"), (F.col("_class") == "fence").alias("mono"),
+        *page, "line_no", F.posexplode(texts).alias("_cell", "text"), (F.col("_class") == "fence").alias("mono"),
         (F.col("_class") == "bullet").alias("bullet"), F.col("depth").cast("bigint").alias("depth"),
-        F.col("heading").cast("bigint").alias("heading"),
-        F.when(F.col("_class") == "fence", CODE_PT).when(F.col("heading") > 0, F.element_at(sizes, F.col("heading")))
-        .otherwise(BODY_PT).alias("font_pt"),
-        F.lit(None).cast("bigint").alias("table_r"), F.lit(None).cast("bigint").alias("table_c"),
+        F.col("heading").cast("bigint").alias("heading"), size.alias("font_pt"), "table_r", table.alias("_table"),
     ).where("text <> ''")
-    cells = _cells(numbered, page).select(
-        *page, "line_no", F.col("table_c").cast("int").alias("_cell"), "text", F.lit(False).alias("mono"), F.lit(False).alias("bullet"),
-        F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("heading"), F.lit(BODY_PT).alias("font_pt"), "table_r", "table_c",
-    )
     order = Window.partitionBy(*page).orderBy("line_no", "_cell")
     return (
-        blocks.unionByName(cells)
+        blocks.withColumn("table_c", F.when(F.col("_table"), F.col("_cell").cast("bigint")))
         .withColumn("block_index", (F.row_number().over(order) - 1).cast("bigint"))
-        .drop("line_no", "_cell")
+        .drop("line_no", "_cell", "_table")
     )
 
 
-def _cells(numbered: DataFrame, page: Sequence[str]) -> DataFrame:
-    """Table rows as cells. Rows of one table follow each other; rule rows are not counted."""
+def _with_table_rows(classed: DataFrame, page: Sequence[str]) -> DataFrame:
+    """Add ``table_r``, the row in its table, and ``_rule``. Rows of one table follow each other;
+    rule rows are not counted."""
+    table = F.col("_class") == "table"
     w = Window.partitionBy(*page).orderBy("line_no")
-    rows = numbered.withColumn("_table", F.sum((F.col("_class") != "table").cast("int")).over(w)).where("_class = 'table'")
-    real = rows.where(~F.col("line").rlike(TABLE_RULE))
-    counted = real.withColumn("table_r", (F.row_number().over(Window.partitionBy(*page, "_table").orderBy("line_no")) - 1).cast("bigint"))
-    cells = F.split(F.btrim(tx.strip("line"), F.lit("|")), r"\|")
-    return (
-        counted.select(*page, "line_no", "table_r", F.posexplode(cells).alias("table_c", "_text"))
-        .withColumn("table_c", F.col("table_c").cast("bigint"))
-        .withColumn("text", tx.strip_markdown("_text"))
-        .where("text <> ''")
+    marked = classed.withColumn("_rule", table & F.col("line").rlike(TABLE_RULE)).withColumn(
+        "_table_id", F.sum((~table).cast("int")).over(w)
     )
+    real = (table & ~F.col("_rule")).cast("int")
+    inside = Window.partitionBy(*page, "_table_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_real", real).withColumn(
+        "table_r", F.when(F.col("_real") == 1, F.sum("_real").over(inside) - 1)
+    ).drop("_real", "_table_id")
+
+
+def _cell_texts(line: Column) -> Column:
+    return F.transform(F.split(F.btrim(tx.strip(line), F.lit("|")), r"\|"), lambda c: tx.strip_markdown(c))
 
 
 def md_table_cells(paged: DataFrame, document: Sequence[str]) -> DataFrame:
-    """Only the table cells of the pages."""
+    """Only the table cells of the pages that are not empty."""
     page = [*document, "page"]
-    return _cells(paged.withColumn("_class", line_class()), page).select(*page, "line_no", "table_r", "table_c", "text")
+    rows = _with_table_rows(paged.withColumn("_class", line_class()), page).where("table_r IS NOT NULL")
+    cells = rows.select(*page, "line_no", "table_r", F.posexplode(_cell_texts(F.col("line"))).alias("table_c", "text"))
+    return cells.where("text <> ''").withColumn("table_c", F.col("table_c").cast("bigint"))

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.operators import memory as mem
 from quire.oracles import base as o
 from quire.oracles import tables  # noqa: F401 - registers the views
@@ -72,7 +73,7 @@ def cache_upsert(spark, sf):
 
 @query("cache_drop", "SELECT cache_key, source FROM cache WHERE substr(cache_key, 1, 1) NOT IN ('0', '1', '2')", "cache")
 def cache_drop(spark, sf):
-    memory = derived.cache(stages.sentences(spark, sf)).checkpoint()
+    memory = session.written(derived.cache(stages.sentences(spark, sf)), "memory")
     gone = memory.where(F.substring("cache_key", 1, 1).isin("0", "1", "2"))
     return mem.cache_drop(memory, gone).select("cache_key", "source")
 
@@ -133,8 +134,8 @@ JOIN deck_sizes USING (deck_id) LEFT JOIN deck_terms USING (deck_id)
 
 
 def prompts(spark, sf):
-    c = stages.classified(spark, sf).checkpoint()
-    units = stages.written_units(stages.sentences_of(c).checkpoint())
+    c = session.written(stages.classified(spark, sf), "blocks")
+    units = stages.written_units(session.written(stages.sentences_of(c), "sentences"))
     return mem.build_prompts(c, units, views.deck_sizes(spark, sf), deck_terms(spark, sf), ["SQL", "Java"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.operators import context as ctx
 from quire.operators import conversations as conv
 from quire.operators import model
@@ -42,7 +43,7 @@ FROM translated WHERE kind NOT IN ('code', 'chrome')
 
 @query("screen_order", f"SELECT {UNIT_SQL}, key, position FROM screen", "screen")
 def screen_order(spark, sf):
-    return sel.screen_order(stages.sentences(spark, sf)).select(*sel.UNIT, "key", "position")
+    return sel.screen_order(stages.written_sentences(spark, sf)).select(*sel.UNIT, "key", "position")
 
 
 def selection(units):
@@ -59,7 +60,7 @@ SELECT *, deck_id || ':' || (page_index // 4) AS selection_id FROM screen WHERE
 
 @query("select_units", f"SELECT selection_id, {UNIT_SQL}, position FROM chosen", "chosen")
 def select_units(spark, sf):
-    units = sel.screen_order(stages.sentences(spark, sf)).checkpoint()
+    units = session.written(sel.screen_order(stages.written_sentences(spark, sf)), "units")
     return sel.select_units(units, selection(units)).select("selection_id", *sel.UNIT, "position")
 
 
@@ -81,7 +82,7 @@ def select_range(spark, sf):
         "deck_id", doc.alias("range_id"), F.concat((page + doc % 3).cast("string"), F.lit("|3|0")).alias("from_key"),
         F.when(doc % 10 == 9, "nowhere").otherwise(F.concat(page.cast("string"), F.lit("|4|1"))).alias("to_key"),
     )
-    return sel.select_range(sel.screen_order(stages.sentences(spark, sf)).checkpoint(), ranges)
+    return sel.select_range(session.written(sel.screen_order(stages.written_sentences(spark, sf)), "units"), ranges)
 
 
 @query(
@@ -98,7 +99,7 @@ def select_range(spark, sf):
     "chosen",
 )
 def copy_text(spark, sf):
-    units = sel.screen_order(derived.translated(stages.written_sentences(spark, sf)))
+    units = sel.screen_order(session.written(derived.translated(stages.written_sentences(spark, sf)), "translated"))
     group = F.concat("deck_id", F.lit(":"), F.shiftright("page_index", 2).cast("string"))
     chosen = units.where((F.col("block_index") * 3 + F.col("sent_index")) % 4 != 0).withColumn("selection_id", group)
     return sel.copy_text(chosen)
@@ -169,7 +170,7 @@ def picks(spark, sf, sentences):
 
 @query("selected_sentences", "SELECT request_id, n, sentence_id, page_index, block_index, sent_index, translation FROM selected", "selected")
 def selected_sentences(spark, sf):
-    s = derived.translated(stages.written_sentences(spark, sf)).checkpoint()
+    s = session.written(derived.translated(stages.written_sentences(spark, sf)), "translated")
     found = ctx.selected_sentences(picks(spark, sf, s), s)
     return found.select("request_id", "n", "sentence_id", "page_index", "block_index", "sent_index", "translation")
 
@@ -218,8 +219,8 @@ SELECT deck_id, string_agg(term || ' -> ' || translation, chr(10) ORDER BY rn) A
     "ask_pages", "deck_sizes", "titles", "page_lines", "ask_terms", "selected",
 )
 def bilingual_context(spark, sf):
-    c = stages.classified(spark, sf).checkpoint()
-    s = derived.translated(stages.sentences_of(c).checkpoint()).checkpoint()
+    c = session.written(stages.classified(spark, sf), "blocks")
+    s = session.written(derived.translated(session.written(stages.sentences_of(c), "sentences")), "translated")
     chosen = ctx.selection_text(ctx.selected_sentences(picks(spark, sf, s), s))
     return ctx.bilingual_context(
         wanted(spark, sf), model.page_title(c), ctx.page_lines(c, s), chosen, deck_terms(spark, sf, 30)

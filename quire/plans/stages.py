@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire import session
 from quire.operators import classify as cl
 from quire.operators import segmentation as sg
 from quire.sources import derived, views
@@ -24,10 +25,10 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 def written_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """The same, written to the shared folder once, for work that reads them more than once."""
-    return sentences(spark, sf).checkpoint()
+    return session.written(sentences(spark, sf), "sentences")
 
 
 def written_units(sentences: DataFrame) -> DataFrame:
     """Units to translate, fixed before any model is asked: a unit must not get another number,
     or be paid for again, because a lost executor made Spark work it out anew."""
-    return derived.pending(sentences).checkpoint()
+    return session.written(derived.pending(sentences), "units")
