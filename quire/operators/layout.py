@@ -68,13 +68,10 @@ def math_flags(runs: DataFrame, block: Sequence[str]) -> DataFrame:
 
     ``math_only`` by the slide rule: an equation and no letter or digit outside it.
     ``math_only_doc`` by the document rule: at least as many equation characters as letters.
-    Only equation runs pass through Python; the others never leave the JVM.
+    Only the text of equation runs is sent to Python; the others go as nulls.
     """
-    from functools import reduce
-
-    plain = runs.where("NOT is_math").withColumn("_t", F.col("text"))
-    math = runs.where("is_math").withColumn("_t", tx.fold_math("text"))
-    rows = reduce(DataFrame.unionByName, [plain, math])
+    folded = tx.fold_math(F.when(F.col("is_math"), F.col("text")))
+    rows = runs.withColumn("_t", F.coalesce(folded, F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("run", "_t", "is_math")))
     grouped = rows.groupBy(*block).agg(ordered.alias("_r"))
     raw = F.array_join(F.transform("_r", lambda r: r["_t"]), "")

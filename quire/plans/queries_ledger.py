@@ -12,7 +12,6 @@ from quire.oracles import tables  # noqa: F401 - registers the views
 from quire.plans.queries_catalog import _HTML
 from quire.sources import derived
 from quire.sources.corpus import table
-from quire.sources.views import text_lines  # noqa: F401
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
