@@ -340,7 +340,8 @@ def batch_infer(prompts: DataFrame, complete: ModelCall) -> DataFrame:
     """Ask a model once per prompt row, in the tasks, Arrow batch by batch.
 
     ``complete`` is any callable from prompt to reply. A call that raises gives an error row and
-    the rest goes on. The number of calls at one time is the number of partitions.
+    the rest goes on. The number of calls at one time is the number of partitions. Write the
+    result down (``session.written``) before it is read twice, or the model is asked twice.
     """
     keys = [f for f in prompts.schema.fields if f.name != "prompt"]
     schema = T.StructType([*keys, T.StructField("reply", T.StringType()), T.StructField("call_error", T.StringType())])

@@ -55,3 +55,26 @@ def test_page_work_shares_one_exchange(spark):
     text_side = [line for line in plan.splitlines() if "Exchange hashpartitioning(deck_id" in line and "shard" in line]
     # one for the documents, one for the counts per shard
     assert len(text_side) == 2, plan
+
+
+def test_a_hot_deck_is_ranked_and_ordered_like_any_other(spark, tmp_path):
+    """One deck with two thirds of all pages, spread over several shards."""
+    from quire.operators import selection as sel
+    from quire.operators import segmentation as sg
+    from quire.sources import views
+
+    docs = spark.range(0, 12_000, 2).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("Page "), F.col("id").cast("string"), F.lit(". It ends.")).alias("text"),
+        F.lit("en").alias("lang"), F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("d"), (F.col("id") % 5).cast("string"))).alias("source"),
+        F.lit(1).cast("bigint").alias("n_chars"),
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pages = views.paged_documents(spark, str(tmp_path))
+    plain = Window.partitionBy("deck_id").orderBy("doc_id")
+    assert pages.where("deck_id = 'hot'").select("shard").distinct().count() > 2
+    assert pages.withColumn("want", F.row_number().over(plain) - 1).where("want <> page_index").count() == 0
+    lines = pages.select(*views.PAGE, F.lit(0).cast("bigint").alias("block_index"), F.lit("body").alias("kind"), "text")
+    order = sel.screen_order(sg.sentences(lines))
+    want = Window.partitionBy("deck_id").orderBy("page_index", "sent_index")
+    assert order.withColumn("want", F.row_number().over(want) - 1).where("want <> position").count() == 0
+    assert order.count() == 12_000
