@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe
+from quire.llm import bpe, lines, quality, toxicity
 from quire.llm.base import ready, table
 
 QUERIES: dict = {}
@@ -26,6 +26,21 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op2_quality")
+def op2_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_lines", lines.ORACLE)
+def op7_lines(spark, sf):
+    return lines.digests(table(spark, sf, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op10_bpe")
 def op10_bpe(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), vocabulary_path())
