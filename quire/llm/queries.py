@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, lines, quality, toxicity
+from quire.llm import bpe, lines, quality, substrings, suffixes, toxicity
 from quire.llm.base import ready, table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_substrings", substrings.ORACLE)
+def op1_substrings(spark, sf):
+    return substrings.digests(table(spark, sf, "documents"))
+
+
 @query("op2_quality")
 def op2_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -41,6 +46,11 @@ def op8_toxicity(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op9_suffixes")
+def op9_suffixes(spark, sf):
+    return suffixes.digests(table(spark, sf, "documents"))
+
+
 @query("op10_bpe")
 def op10_bpe(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), vocabulary_path())
