@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, lines, quality, substrings, suffixes, toxicity
+from quire.llm import bpe, jaccard, lines, quality, substrings, suffixes, toxicity
 from quire.llm.base import ready, table
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op2_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op3_jaccard")
+def op3_jaccard(spark, sf):
+    return jaccard.near_components(table(spark, sf, "documents"))
+
+
 @query("op7_lines", lines.ORACLE)
 def op7_lines(spark, sf):
     return lines.digests(table(spark, sf, "documents"))
