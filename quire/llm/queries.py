@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard, lines, quality, substrings, suffixes, toxicity, vectors
+from quire.llm import bpe, jaccard, leaks, lines, quality, substrings, suffixes, toxicity, vectors
 from quire.llm.base import ready, table
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op3_jaccard(spark, sf):
     return jaccard.near_components(table(spark, sf, "documents"))
 
 
+@query("op5_leaks")
+def op5_leaks(spark, sf):
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op6_vectors", vectors.ORACLE)
 def op6_vectors(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings"))
