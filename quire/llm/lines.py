@@ -108,10 +108,11 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
     )
 
 
-def drop_repeated_lines(
+def marked_lines(
     docs: DataFrame, least: int = 40, documents: int = 5, batches: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Texts without the lines that at least ``documents`` documents share: (doc_id, kept, n_lines, n_dropped).
+    """``docs`` with ``_kept``, the lines that stay, and the counts ``_n_lines`` and ``_n_dropped``:
+    lines that at least ``documents`` documents share go.
 
     A key of at least ``least`` code points found in that many documents loses its lines everywhere
     but in the largest id that holds it; all its lines stay there. Documents are told apart by id:
@@ -134,19 +135,30 @@ def drop_repeated_lines(
         hashes.join(common, KEY).where(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
         .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc_id", "_gone_id")
     )
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = texts.join(gone, texts.doc_id.eqNullSafe(gone._gone_id), "left")
-    lines = text_lines("text")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone._gone_id), "left")
+    lines = text_lines(text_col)
     kept = F.when(F.col("gone").isNull(), lines).otherwise(
         F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("gone"), key_hash(x, least)), F.lit(True)))
     )
-    out = joined.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), kept.alias("_kept"))
-    return out.select(
-        "doc_id", F.array_join("_kept", "\n").alias("kept"), "n_lines",
-        (F.col("n_lines") - F.size("_kept")).cast("bigint").alias("n_dropped"),
+    out = joined.select(*(docs[c] for c in docs.columns), F.size(lines).cast("bigint").alias("_n_lines"), kept.alias("_kept"))
+    return out.withColumn("_n_dropped", (F.col("_n_lines") - F.size("_kept")).cast("bigint"))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
+    """(doc_id, kept, n_lines, n_dropped) of every row by :func:`marked_lines`."""
+    done = marked_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **rule)
+    return done.select(
+        "doc_id", F.array_join("_kept", "\n").alias("kept"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped")
     )
 
 
+def replaced(docs: DataFrame, text_col: str = "text", **rule: int) -> DataFrame:
+    """``docs`` with every column, the texts without their dropped lines. Null texts stay null."""
+    done = marked_lines(docs, text_col=text_col, **rule)
+    text = F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
+    return done.withColumn(text_col, text).select(*docs.columns)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     done = drop_repeated_lines(docs)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

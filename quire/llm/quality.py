@@ -152,6 +152,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(rows.join(known, rows.doc_id == known._id), label)
 
 
+def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` with a score of at least ``threshold``, unchanged, in one pass without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard, leaks, lines, quality, substrings, suffixes, toxicity, vectors
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, jaccard, leaks, lines, quality, quotes, substrings, suffixes, toxicity, vectors
 from quire.llm.base import ready, table
 
 QUERIES: dict = {}
@@ -41,6 +43,13 @@ def op3_jaccard(spark, sf):
     return jaccard.near_components(table(spark, sf, "documents"))
 
 
+@query("op4_quotes")
+def op4_quotes(spark, sf):
+    done = quotes.conversations(table(spark, sf, "conversations"))
+    body = F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256")
+    return done.select("conv_id", "turn", "role", "thread", "reply_turn", "n_quotes", "n_linked", body)
+
+
 @query("op5_leaks")
 def op5_leaks(spark, sf):
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -69,3 +78,10 @@ def op9_suffixes(spark, sf):
 @query("op10_bpe")
 def op10_bpe(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), vocabulary_path())
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
