@@ -75,10 +75,12 @@ def furniture(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 
 def with_furniture(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Featured blocks with ``pages_seen``/``n_pages`` where they are repeated furniture, else null."""
-    short = F.length(F.col("_bare")) <= FURNITURE_MAX_CHARS
-    keyed = with_repeat_key(blocks)
-    joined = scale.lookup_join(keyed, furniture(blocks, sizes), REPEAT_KEY, "page_index")
-    return joined.withColumn("pages_seen", F.when(short, F.col("pages_seen"))).drop("rep_text", "rep_x", "rep_y")
+    # Only texts of furniture size look theirs up, by key and place; the texts stay where they are.
+    short = with_repeat_key(blocks.where(F.length(F.col("_bare")) <= FURNITURE_MAX_CHARS))
+    place = [*PAGE, "block_index"]
+    keys = short.select(*place, *(c for c in REPEAT_KEY if c not in place))
+    marked = keys.join(furniture(blocks, sizes), REPEAT_KEY).select(*place, "pages_seen", "n_pages")
+    return blocks.join(marked, place, "left")
 
 
 def is_page_number() -> Column:

@@ -272,14 +272,14 @@ def term_hits(sentences: DataFrame, terms: DataFrame) -> DataFrame:
 
     Terms times sentences would be a cross product. A match at word boundaries always has the
     term's first word as a whole word of the sentence, so that word is the join key and only the
-    candidates are held against the whole term. Few terms are broadcast; many are joined with
-    salt, as a common word may stand in a third of all sentences. A term without any letter or
-    digit has no first word and matches nothing.
+    candidates are held against the whole term. Only places and words are exploded and meet the
+    terms; the text is attached to the candidates afterwards. A term without any letter or digit
+    has no first word and matches nothing.
     """
     keyed = terms.withColumn("_token", F.get(_tokens("term"), F.lit(0))).where("_token IS NOT NULL")
-    words = sentences.where(model.worth_translating()).withColumn("_token", F.explode(_tokens("text")))
-    found = scale.lookup_join(words, keyed, ["_token"], F.concat_ws("|", "page_index", "block_index", "sent_index"), how="inner")
-    return found.where(F.rlike("text", term_pattern("term"))).drop("_token")
+    words = sentences.where(model.worth_translating()).select(*PLACE, F.explode(_tokens("text")).alias("_token"))
+    found = sentences.join(words.join(keyed, "_token").drop("_token"), PLACE)
+    return found.where(F.rlike("text", term_pattern("term")))
 
 
 def term_invalidation(sentences: DataFrame, terms: DataFrame) -> DataFrame:

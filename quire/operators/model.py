@@ -57,37 +57,23 @@ def deck_sizes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("deck_id").agg((F.max("page_index") + 1).alias("n_pages"))
 
 
-# A deck up to this many characters is hashed as one string; a longer one by a tree of hashes.
-WHOLE_DECK_CHARS = 8_000_000
 FAN_IN = 1024
 
 
-def deck_fingerprint(blocks: DataFrame, whole_chars: int = WHOLE_DECK_CHARS) -> DataFrame:
+def deck_fingerprint(blocks: DataFrame) -> DataFrame:
     """Content identity of a deck: the block texts in order, not the file name.
 
-    Hashing one string needs the whole deck in one task, so that form is kept for decks up to
-    ``whole_chars``. Longer decks get the hash of their page hashes, 1024 at a time, level by
-    level: still changed by any edit or reordering, and no task holds more than 1024 hashes.
-    Both forms go through the same groupings, so the blocks are grouped once.
+    The hash of its page hashes, 1024 at a time, level by level, for decks of every size: changed by
+    any edit or reordering, and no task holds more than a page or 1024 hashes.
     """
-    sizes = blocks.groupBy("deck_id").agg((F.sum(F.length("text")) <= whole_chars).alias("_whole"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda b: b["text"])
     pages = blocks.groupBy(*PAGE).agg(F.array_join(texts, "").alias("_page"))
-    tagged = scale.salted_join(pages, sizes, ["deck_id"], "page_index", how="inner")
-
     parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda p: p["_h"])
-    level = tagged.select(
-        "deck_id", "_whole", F.col("page_index").alias("_at"),
-        F.when(F.col("_whole"), F.col("_page")).otherwise(F.sha2("_page", 256)).alias("_h"),
-    )
-    for depth in range(4):  # 1024^4 pages
-        up = F.when(F.col("_whole"), 0).otherwise(F.shiftright("_at", FAN_IN.bit_length() - 1)).cast("bigint")
-        joined = F.array_join("_parts", "")
-        kept = F.when(F.col("_whole"), joined).otherwise(F.sha2(joined, 256)) if depth else F.sha2(joined, 256)
+    level = pages.select("deck_id", F.col("page_index").alias("_at"), F.sha2("_page", 256).alias("_h"))
+    for _ in range(4):  # 1024^4 pages
+        up = F.shiftright("_at", FAN_IN.bit_length() - 1).cast("bigint")
         level = (
-            level.withColumn("_up", up).groupBy("deck_id", "_whole", "_up").agg(parts.alias("_parts"))
-            .select("deck_id", "_whole", F.col("_up").alias("_at"), kept.alias("_h"))
+            level.withColumn("_up", up).groupBy("deck_id", "_up").agg(parts.alias("_parts"))
+            .select("deck_id", F.col("_up").alias("_at"), F.sha2(F.array_join("_parts", ""), 256).alias("_h"))
         )
-    return level.select(
-        "deck_id", F.substring("_h", 1, 16).alias("fingerprint"), F.when(F.col("_whole"), "whole").otherwise("tree").alias("method")
-    )
+    return level.select("deck_id", F.substring("_h", 1, 16).alias("fingerprint"))

@@ -108,36 +108,38 @@ SELECT *, list_filter(string_split(text, chr(10)), lambda s: {strip('s')} <> '')
 """, "docs")
 
 view("blocks_raw", f"""
-SELECT deck_id, page_index, doc_id, len(lines) AS n, u.pos - 1 AS block_index, u.raw AS raw
-FROM (SELECT *, CASE WHEN doc_id % 37 = 0 OR doc_id % 41 = 0 OR len(lines) = 0
-             THEN [deck_id, (page_index + 1)::VARCHAR]
-             ELSE list_concat([deck_id, (page_index + 1)::VARCHAR, {first_words('lines[1]', 5)}], lines) END AS texts
+SELECT deck_id, page_index, doc_id, len(lines) AS n, doc_id % 37 = 0 OR doc_id % 41 = 0 AS bare,
+       u.pos - 1 AS block_index, u.b.raw AS raw, u.b.k AS k, u.b.part AS part
+FROM (SELECT *, list_concat(
+        [{{'raw': deck_id, 'k': -2, 'part': 'header'}}, {{'raw': (page_index + 1)::VARCHAR, 'k': -1, 'part': 'number'}}],
+        CASE WHEN len(lines) = 0 THEN [] ELSE list_concat(
+          [{{'raw': {first_words('lines[1]', 5)}, 'k': 0, 'part': 'title'}}],
+          flatten(list_transform(lines, lambda s, i: list_concat([{{'raw': s, 'k': i::INT, 'part': 'line'}}],
+            CASE WHEN (doc_id + i) % 13 = 0 AND i % 2 = 0 THEN [{{'raw': {first_words('s', 3)}, 'k': i::INT, 'part': 'label'}}] ELSE [] END,
+            CASE WHEN (doc_id + i) % 19 = 0 THEN [{{'raw': {first_words('s', 8)}, 'k': i::INT, 'part': 'note'}}] ELSE [] END)))) END) AS bs
       FROM doc_lines),
-     LATERAL (SELECT unnest(texts) AS raw, generate_subscripts(texts, 1) AS pos) u
+     LATERAL (SELECT unnest(bs) AS b, generate_subscripts(bs, 1) AS pos) u
 """, "doc_lines")
 
-view("blocks", f"""
-SELECT deck_id, page_index, doc_id, block_index::BIGINT AS block_index,
-  CASE WHEN block_index > 2 AND (doc_id + k) % 13 = 0 AND k % 2 = 0 THEN {first_words('raw', 3)}
-       WHEN block_index > 2 AND (doc_id + k) % 19 = 0 THEN {first_words('raw', 8)} ELSE raw END AS text,
-  CASE block_index WHEN 1 THEN 9e-1 ELSE 8e-2 END AS x,
-  CASE block_index WHEN 0 THEN 0e0 WHEN 1 THEN 95e-2 WHEN 2 THEN 6e-2 ELSE 12e-2 + 8e-1 * (k - 1) / n END AS y,
-  CASE block_index WHEN 1 THEN 5e-2 ELSE 84e-2 END AS w,
-  CASE block_index WHEN 0 THEN 2e-2 WHEN 1 THEN 2e-2 WHEN 2 THEN 4e-2 ELSE 8e-1 / n END AS h,
-  CASE block_index WHEN 0 THEN 10e0 WHEN 1 THEN 10e0 WHEN 2 THEN 28e0 ELSE 14e0 END AS font_pt,
-  block_index = 0 AND doc_id % 41 = 0 AS is_chrome_placeholder,
-  block_index = 2 AND page_index % 3 = 0 AS is_title_placeholder,
-  CASE WHEN block_index = 0 AND doc_id % 41 = 0 THEN 'FOOTER'
-       WHEN block_index = 2 AND page_index % 3 = 0 THEN 'TITLE' ELSE '' END AS placeholder,
-  block_index > 2 AND (doc_id + k) % 17 = 0 AS mono,
-  block_index > 2 AND ((doc_id + k) % 29 = 0 OR (doc_id + k) % 31 = 0) AS has_math,
-  block_index > 2 AND (doc_id + k) % 29 = 0 AS math_only,
-  CASE WHEN block_index > 2 AND (doc_id + k) % 23 = 0 THEN k // 3 END AS table_r,
-  CASE WHEN block_index > 2 AND (doc_id + k) % 23 = 0 THEN k % 3 END AS table_c,
-  CASE WHEN block_index > 2 AND (doc_id + k) % 13 = 0 THEN 1 ELSE 0 END AS group_depth,
-  CASE WHEN block_index > 2 THEN 's' || (k // 3)::VARCHAR ELSE 'p' || block_index::VARCHAR END AS shape_id,
+view("blocks", """
+SELECT deck_id, page_index, doc_id, block_index::BIGINT AS block_index, raw AS text,
+  CASE part WHEN 'number' THEN 9e-1 ELSE 8e-2 END AS x,
+  CASE part WHEN 'header' THEN 0e0 WHEN 'number' THEN 95e-2 WHEN 'title' THEN 6e-2 ELSE 12e-2 + 8e-1 * (k - 1) / n END AS y,
+  CASE part WHEN 'number' THEN 5e-2 ELSE 84e-2 END AS w,
+  CASE part WHEN 'header' THEN 2e-2 WHEN 'number' THEN 2e-2 WHEN 'title' THEN 4e-2 ELSE 8e-1 / n END AS h,
+  CASE part WHEN 'header' THEN 10e0 WHEN 'number' THEN 10e0 WHEN 'title' THEN 28e0 ELSE 14e0 END AS font_pt,
+  part = 'header' AND doc_id % 41 = 0 AS is_chrome_placeholder,
+  part = 'title' AND page_index % 3 = 0 AND NOT bare AS is_title_placeholder,
+  CASE WHEN part = 'header' AND doc_id % 41 = 0 THEN 'FOOTER'
+       WHEN part = 'title' AND page_index % 3 = 0 AND NOT bare THEN 'TITLE' ELSE '' END AS placeholder,
+  part = 'line' AND (doc_id + k) % 17 = 0 AS mono,
+  part = 'line' AND ((doc_id + k) % 29 = 0 OR (doc_id + k) % 31 = 0) AS has_math,
+  part = 'line' AND (doc_id + k) % 29 = 0 AS math_only,
+  CASE WHEN cell THEN k // 3 END AS table_r, CASE WHEN cell THEN k % 3 END AS table_c,
+  CASE WHEN part = 'line' AND (doc_id + k) % 13 = 0 OR part = 'label' THEN 1 ELSE 0 END AS group_depth,
+  CASE WHEN k > 0 THEN 's' || (k // 3)::VARCHAR ELSE 'p' || block_index::VARCHAR END AS shape_id,
   doc_id % 5 = 0 AS has_image
-FROM (SELECT *, block_index - 2 AS k FROM blocks_raw)
+FROM (SELECT *, part = 'line' AND (doc_id + k) % 23 = 0 OR bare AND k >= 0 AS cell FROM blocks_raw)
 """, "blocks_raw")
 
 view("repeats", f"""

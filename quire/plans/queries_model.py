@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -44,8 +46,13 @@ def content_id(spark, sf):
 
 @query(
     "deck_fingerprint",
-    "SELECT deck_id, substr(sha256(string_agg(text, '' ORDER BY page_index, block_index)), 1, 16) AS fingerprint, "
-    "'whole' AS method FROM blocks GROUP BY 1",
+    "SELECT deck_id, substr(h, 1, 16) AS fingerprint FROM ("
+    + reduce(
+        lambda inner, _: f"SELECT deck_id, pos >> 10 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM ({inner}) GROUP BY 1, 2",
+        range(4),
+        "SELECT deck_id, page_index AS pos, sha256(string_agg(text, '' ORDER BY block_index)) AS h FROM blocks GROUP BY 1, 2",
+    )
+    + ")",
     "blocks",
 )
 def deck_fingerprint(spark, sf):

@@ -91,29 +91,3 @@ def salted_join(
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts)))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    salt_from: str | Column,
-    *,
-    how: str = "left",
-    max_rows: int = 200_000,
-    max_bytes: int = 64 << 20,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join to a right side that is usually small, without trusting that it is.
-
-    ``right`` is written once to the checkpoint folder and measured: rows, and bytes of its text
-    columns. Within both bounds it is broadcast, which saves the shuffle of the left side; beyond
-    them the salted join is used.
-    """
-    kept = right.checkpoint()
-    texts = [F.octet_length(f.name) for f in kept.schema.fields if f.dataType.simpleString() == "string"]
-    width = sum(texts, F.lit(0)) if texts else F.lit(0)
-    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    if rows <= max_rows and size <= max_bytes:
-        return left.join(F.broadcast(kept), list(on), how)
-    return salted_join(left, kept, on, salt_from, how=how, salts=salts)

@@ -17,6 +17,7 @@ from quire.sources.corpus import table
 PAGE = ["deck_id", "shard", "page_index"]
 MODEL = "m0"
 TARGET_LANG = "zh-CN"
+_BLOCKS = "array<struct<raw:string,k:int,part:string>>"
 
 
 def paged_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,40 +36,59 @@ def _mod(c: Column, m: int) -> Column:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Unclassified blocks: header, page number, title, then one per line of the document."""
+    """Unclassified blocks: header, page number, title, then every line of the document unchanged.
+
+    Some lines are followed by a block of their own making, a short label or a caption of their first
+    words, and the pages of some documents are tables throughout, so every rule finds its cases
+    without a word of the text being left out.
+    """
     docs = paged_documents(spark, sf).withColumn("_lines", text_lines("text"))
     doc = F.col("doc_id")
-    furniture = F.array(F.col("deck_id"), (F.col("page_index") + 1).cast("string"))
-    bare = _mod(doc, 37) | _mod(doc, 41) | (F.size("_lines") == 0)
-    texts = F.when(bare, furniture).otherwise(
-        F.concat(furniture, F.array(tx.first_words(F.get("_lines", F.lit(0)), 5)), F.col("_lines"))
+    bare = _mod(doc, 37) | _mod(doc, 41)
+
+    def block(text: str | Column, k: int | Column, part: str) -> Column:
+        return F.struct(
+            (F.lit(text) if isinstance(text, str) else text).alias("raw"),
+            (F.lit(k) if isinstance(k, int) else k).alias("k"), F.lit(part).alias("part"),
+        )
+
+    def with_extras(line: Column, i: Column) -> Column:
+        k = i + 1
+        label, note = _mod(doc + k, 13) & _mod(k, 2), _mod(doc + k, 19)
+        return F.concat(
+            F.array(block(line, k, "line")),
+            F.when(label, F.array(block(tx.first_words(line, 3), k, "label"))).otherwise(F.array().cast(_BLOCKS)),
+            F.when(note, F.array(block(tx.first_words(line, 8), k, "note"))).otherwise(F.array().cast(_BLOCKS)),
+        )
+
+    furniture = F.array(
+        block(F.col("deck_id"), -2, "header"), block((F.col("page_index") + 1).cast("string"), -1, "number")
+    )
+    lead = F.array(block(tx.first_words(F.get("_lines", F.lit(0)), 5), 0, "title"))
+    every = F.when(F.size("_lines") == 0, furniture).otherwise(
+        F.concat(furniture, lead, F.flatten(F.transform("_lines", with_extras)))
     )
     images = F.when(
         _mod(doc, 5),
         F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.3).alias("y"), F.lit(1.0).alias("w"), F.lit(0.6).alias("h"))),
     ).otherwise(F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"))
     rows = docs.select(
-        *PAGE, "doc_id", F.size("_lines").alias("_n"), images.alias("page_images"),
-        F.posexplode(texts).alias("block_index", "_raw"),
+        *PAGE, "doc_id", F.size("_lines").alias("_n"), images.alias("page_images"), bare.alias("_bare"),
+        F.posexplode(every).alias("block_index", "_b"),
     )
-    at, k = F.col("block_index"), F.col("block_index") - 2
+    part, k = F.col("_b.part"), F.col("_b.k")
     n = F.col("_n").cast("double")
-    line = at > 2
+    line, inner = part == "line", part.isin("line", "label", "note")
     step = doc + k
 
     def by_row(header: float, number: float, title: float, rest: float | Column) -> Column:
-        return F.when(at == 0, F.lit(header)).when(at == 1, F.lit(number)).when(at == 2, F.lit(title)).otherwise(rest)
+        return F.when(part == "header", F.lit(header)).when(part == "number", F.lit(number)).when(part == "title", F.lit(title)).otherwise(rest)
 
-    text = (
-        F.when(line & _mod(step, 13) & _mod(k, 2), tx.first_words("_raw", 3))
-        .when(line & _mod(step, 19), tx.first_words("_raw", 8))
-        .otherwise(F.col("_raw"))
-    )
-    title = (at == 2) & _mod(F.col("page_index"), 3)
-    chrome = (at == 0) & _mod(doc, 41)
-    cell = line & _mod(step, 23)
+    title = (part == "title") & _mod(F.col("page_index"), 3) & ~F.col("_bare")
+    chrome = (part == "header") & _mod(doc, 41)
+    cell = (line & _mod(step, 23)) | (F.col("_bare") & (inner | (part == "title")))
     return rows.select(
-        *PAGE, "doc_id", F.col("block_index").cast("bigint").alias("block_index"), text.alias("text"),
+        *PAGE, "doc_id", F.col("block_index").cast("bigint").alias("block_index"), F.col("_b.raw").alias("text"),
         by_row(0.08, 0.9, 0.08, F.lit(0.08)).alias("x"),
         by_row(0.0, 0.95, 0.06, F.lit(0.12) + F.lit(0.8) * (k - 1) / n).alias("y"),
         by_row(0.84, 0.05, 0.84, F.lit(0.84)).alias("w"),
@@ -82,9 +102,9 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
         (line & _mod(step, 29)).alias("math_only"),
         F.when(cell, F.floor(k / 3)).cast("int").alias("table_r"),
         F.when(cell, k % 3).cast("int").alias("table_c"),
-        F.when(line & _mod(step, 13), 1).otherwise(0).alias("group_depth"),
-        F.when(line, F.concat(F.lit("s"), F.floor(k / 3).cast("string")))
-        .otherwise(F.concat(F.lit("p"), at.cast("string"))).alias("shape_id"),
+        F.when((line & _mod(step, 13)) | (part == "label"), 1).otherwise(0).alias("group_depth"),
+        F.when(inner, F.concat(F.lit("s"), F.floor(k / 3).cast("string")))
+        .otherwise(F.concat(F.lit("p"), F.col("block_index").cast("string"))).alias("shape_id"),
         "page_images",
     )
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from builders import block, deck, kinds
+from pyspark.sql import functions as F
 
 from quire.operators import classify as cl
 from quire.operators import model
@@ -90,26 +91,41 @@ def test_no_page_is_left_unreadable_unless_the_file_says_so(spark):
 
 
 def test_furniture_without_broadcast_gives_the_same(spark):
-    from quire.plans import scale
-
     df = deck(spark, [[block("Nav", y=0.0), block(f"Body {i}.", y=0.4)] for i in range(20)])
-    keyed = cl.with_repeat_key(df)
-    f = cl.furniture(df)
-    a = scale.lookup_join(keyed, f, cl.REPEAT_KEY, "page_index")
-    b = scale.lookup_join(keyed, f, cl.REPEAT_KEY, "page_index", max_rows=0)
-    rows = lambda d: sorted(tuple(r) for r in d.select("page_index", "block_index", "pages_seen").collect())
-    key = lambda t: tuple(str(v) for v in t)
-    assert sorted(rows(a), key=key) == sorted(rows(b), key=key)
+    featured = df.withColumn("_bare", F.trim("text"))
+    rows = lambda: sorted(map(str, cl.with_furniture(featured).select("page_index", "block_index", "pages_seen").collect()))
+    usual = rows()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == usual
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_deck_fingerprint_forms(spark):
+def test_a_fingerprint_follows_one_rule_at_every_size(spark):
     import hashlib
 
-    pages = [[block(f"t{p}-{i} ") for i in range(3)] for p in range(5)]
-    df = deck(spark, pages)
-    want = hashlib.sha256("".join(b["text"] for p in pages for b in p).encode()).hexdigest()[:16]
-    assert model.deck_fingerprint(df).first().fingerprint == want
-    tree = model.deck_fingerprint(df, whole_chars=10).first()
-    again = model.deck_fingerprint(df.repartition(3), whole_chars=10).first()
-    swapped = model.deck_fingerprint(deck(spark, [pages[1], pages[0], *pages[2:]]), whole_chars=10).first()
-    assert tree.method == "tree" and tree == again and tree.fingerprint != swapped.fingerprint
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for size in (1, 2_000_000):  # the larger deck has ten million characters
+        pages = [[block(f"t{p}-{i} " + "x" * size) for i in range(1)] for p in range(5)]
+        df = deck(spark, pages)
+        want = "".join(sha("".join(b["text"] for b in p)) for p in pages)
+        for _ in range(4):
+            want = sha(want)
+        assert model.deck_fingerprint(df).first().fingerprint == want[:16]
+        swapped = deck(spark, [pages[1], pages[0], *pages[2:]])
+        assert model.deck_fingerprint(swapped).first().fingerprint != want[:16]
+
+
+def test_line_blocks_hold_every_line_unchanged(spark):
+    from quire.sources import views
+    from quire.sources.corpus import table
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: [s for s in r.text.split("\n") if s.strip()] for r in table(spark, sf, "documents").collect()}
+    got = {}
+    for r in views.blocks(spark, sf).orderBy("doc_id", "block_index").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    for doc, lines in want.items():
+        rest = iter(got[doc])
+        assert all(line in rest for line in lines), doc
