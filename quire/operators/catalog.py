@@ -32,7 +32,7 @@ def path_catalog(paths: DataFrame) -> DataFrame:
     return (
         split.where(~hidden)
         .withColumn("stem", F.left(F.col("name"), F.length("name") - F.length(ending)))
-        .withColumn("format", F.lower(F.substring(ending, 2, 1000)))
+        .withColumn("format", F.lower(F.substr(ending, F.lit(2))))
         .withColumn("depth", F.size(folders).cast("bigint"))
         .withColumn("readable", F.col("format").isin(*READABLE_FORMATS))
     )

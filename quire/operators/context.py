@@ -11,15 +11,14 @@ from quire.operators import model
 from quire.plans import scale
 from quire.sources.views import PAGE
 
-# Pages a question may carry besides its own, and the reply that closes the context.
-MAX_PAGES = 24
+# Fixed value: the reply that closes the context.
 ACKNOWLEDGEMENT = "Understood. What is your question?"
 
 
-def wanted_pages(picked: Column, n_pages: Column, anchor: Column) -> Column:
-    """Picked pages within the deck, sorted, the first 24, and always the page being read."""
+def wanted_pages(picked: Column, n_pages: Column, anchor: Column, most: int | None = None) -> Column:
+    """Picked pages within the deck, sorted, all or the first ``most``, and always the page being read."""
     inside = F.array_sort(F.array_distinct(F.filter(picked, lambda p: (p >= 0) & (p < n_pages))))
-    return F.array_sort(F.array_union(F.slice(inside, 1, MAX_PAGES), F.array(anchor)))
+    return F.array_sort(F.array_union(inside if most is None else F.slice(inside, 1, most), F.array(anchor)))
 
 
 def ask_pages(requests: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ def assemble_fragments(frames: DataFrame) -> DataFrame:
     are those of the frame that reports usage.
     """
     bare = tx.strip("line")
-    payload = tx.strip(F.substring(bare, 6, 1_000_000_000))
+    payload = tx.strip(F.substr(bare, F.lit(6)))
     rows = frames.where(bare.startswith("data:")).select("message_id", "seq", payload.alias("_p"))
     read = rows.withColumn("_f", F.from_json("_p", _FRAME)).select(
         "message_id", "seq", (F.col("_p") == "[DONE]").alias("_done"),

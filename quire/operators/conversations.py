@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.plans import scale
 
-# The title of a conversation without a question, and the lengths titles are cut to.
+# Fixed value: the title of a conversation without a question.
 DEFAULT_TITLE = "新对话"
-TITLE_CHARS = 40
-RENAME_CHARS = 60
 
 
-def titles(turns: DataFrame) -> DataFrame:
-    """A conversation is named after its first user message that is not empty."""
+def _cut(text: Column, most: int | None) -> Column:
+    return text if most is None else F.left(text, F.lit(most))
+
+
+def titles(turns: DataFrame, most: int | None = None) -> DataFrame:
+    """A conversation is named after its first user message that is not empty, whole or cut to
+    ``most`` characters."""
     text = tx.strip("text")
     asked = (F.col("role") == "user") & (text != "")
-    first = F.min_by(F.when(asked, F.left(text, F.lit(TITLE_CHARS))), F.when(asked, F.col("turn")))
+    first = F.min_by(F.when(asked, _cut(text, most)), F.when(asked, F.col("turn")))
     return turns.groupBy("conv_id").agg(F.coalesce(first, F.lit(DEFAULT_TITLE)).alias("title"))
 
 
-def summaries(turns: DataFrame) -> DataFrame:
+def summaries(turns: DataFrame, most: int | None = None) -> DataFrame:
     """Title, first and last time, and number of messages, in one pass. ``turns`` has ``at``."""
     text = tx.strip("text")
     asked = (F.col("role") == "user") & (text != "")
-    first = F.min_by(F.when(asked, F.left(text, F.lit(TITLE_CHARS))), F.when(asked, F.col("turn")))
+    first = F.min_by(F.when(asked, _cut(text, most)), F.when(asked, F.col("turn")))
     return turns.groupBy("conv_id").agg(
         F.coalesce(first, F.lit(DEFAULT_TITLE)).alias("title"), F.min("at").alias("created"),
         F.max("at").alias("updated"), F.count(F.lit(1)).alias("count"),
@@ -48,9 +51,9 @@ def append(turns: DataFrame, fresh: DataFrame) -> DataFrame:
     return ranked.select("conv_id", F.col("position").alias("turn"), "role", "text")
 
 
-def edit(summary: DataFrame, renames: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Rename (cut to 60 characters, blank gives the default title) and delete conversations."""
-    cut = F.left(tx.strip("new_title"), F.lit(RENAME_CHARS))
+def edit(summary: DataFrame, renames: DataFrame, deletes: DataFrame, most: int | None = None) -> DataFrame:
+    """Rename (blank gives the default title; cut to ``most`` characters where given) and delete conversations."""
+    cut = _cut(tx.strip("new_title"), most)
     new = renames.select("conv_id", F.when(cut == "", DEFAULT_TITLE).otherwise(cut).alias("_new"))
     return (
         summary.join(deletes.select("conv_id"), "conv_id", "left_anti")

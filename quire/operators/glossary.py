@@ -120,15 +120,12 @@ def own_vs_inherited(resolved: DataFrame) -> DataFrame:
 
 
 def affected_decks(homes: DataFrame, edited: DataFrame, hits: DataFrame) -> DataFrame:
-    """Decks below an edited scope, with the sentences that use the edited term.
+    """Decks below an edited scope that use the edited term, with the number of their sentences.
 
     ``edited`` is (scope, term); ``hits`` has one row per sentence and term.
     """
-    chains = cat.scope_chain(homes).select("deck_id", "scope")
-    # The root scope holds every deck: its edits are copied over salts.
-    concerned = scale.salted_join(chains, edited, ["scope"], "deck_id", how="inner").select("deck_id", "term").distinct()
-    # Counted per deck and term first: few rows meet the small table of concerned decks.
-    counted = hits.groupBy("deck_id", "term").agg(F.count(F.lit(1)).alias("_n"))
-    return concerned.join(counted, ["deck_id", "term"], "left").groupBy("deck_id", "term").agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("sentences")
-    )
+    # From the hits, which are few for a deck and term, up the deck's own chain of scopes: decks
+    # without a sentence that uses the term never come up, and no deck meets every edit of the root.
+    counted = hits.groupBy("deck_id", "term").agg(F.count(F.lit(1)).alias("sentences"))
+    above = counted.join(cat.scope_chain(homes).select("deck_id", "scope"), "deck_id")
+    return above.join(edited.select("scope", "term"), ["scope", "term"], "left_semi").select("deck_id", "term", "sentences").distinct()

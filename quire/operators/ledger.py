@@ -18,8 +18,6 @@ MAX_PRICE = 10_000.0
 MAX_MULTIPLIER = 10.0
 FX_BOUNDS = (1.0, 100.0)
 MAX_AGE = 7 * 24 * 3600
-MIN_PAGE_CHARS = 200
-EXCERPT = 8000
 EXCERPT_BEFORE = 500
 MONEY_WORDS = r"元|USD|\$|price|Price|价格|百万|1M tokens|per million"
 
@@ -136,35 +134,41 @@ def spend_totals(ledger: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def unpriced_models(ledger: DataFrame, limit: int = 8) -> DataFrame:
-    return ledger.where("NOT priced").select("model").distinct().orderBy("model").limit(limit)
+def first_rows(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
 
 
-def spend_by_model(ledger: DataFrame, limit: int = 12) -> DataFrame:
+def unpriced_models(ledger: DataFrame, limit: int | None = None) -> DataFrame:
+    """Models without a price, by name; all of them unless a report asks for the first few."""
+    return first_rows(ledger.where("NOT priced").select("model").distinct().orderBy("model"), limit)
+
+
+def spend_by_model(ledger: DataFrame, limit: int | None = None) -> DataFrame:
     """Where the money went; ties are broken by model and kind."""
     rows = ledger.groupBy("model", "kind").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("cny").alias("_cny"),
         F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"),
     )
-    top = rows.orderBy(F.col("_cny").desc(), "model", "kind").limit(limit)
+    top = first_rows(rows.orderBy(F.col("_cny").desc(), "model", "kind"), limit)
     return top.withColumn("cny", F.round("_cny", 4)).drop("_cny")
 
 
-def daily_spend(ledger: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Cost per local day over the last days; days without cost are left out."""
-    since = as_of - F.make_dt_interval(F.lit(days))
-    rows = ledger.where((F.col("ts") >= since) & (F.col("cny") > 0))
+def daily_spend(ledger: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:
+    """Cost per local day, over all time or the last ``days``; days without cost are left out."""
+    rows = ledger.where("cny > 0")
+    if days is not None:
+        rows = rows.where(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))
     per_day = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("cny"), 4).alias("cny"))
     return per_day.orderBy("day")
 
 
-def price_excerpt(text: str | Column) -> Column:
-    """The part of a page that talks about money: short text whole, else 8000 characters from a
-    little before the first money word."""
+def price_excerpt(text: str | Column, most: int | None = None) -> Column:
+    """What a page says about money: the whole text, or, where a model takes no more than ``most``
+    characters, that many from a little before the first money word."""
     col = F.col(text) if isinstance(text, str) else text
     at = F.regexp_instr(col, F.lit(MONEY_WORDS))
     start = F.when(at > 0, F.greatest(at - EXCERPT_BEFORE, F.lit(1))).otherwise(F.lit(1))
-    return F.when(F.length(col) <= EXCERPT, col).otherwise(F.substring(col, start, EXCERPT))
+    return col if most is None else F.when(F.length(col) <= most, col).otherwise(F.substring(col, start, most))
 
 
 _ENTRY = T.MapType(T.StringType(), T.StringType())
@@ -196,7 +200,7 @@ def extract_prices(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return entry.select(
         *keys, "model", low.alias("input"), F.coalesce(cached, low).alias("cached_input"), high.alias("output"),
         F.when(multiplier.between(1.0, MAX_MULTIPLIER), multiplier).otherwise(1.0).alias("peak_multiplier"),
-        default_currency().alias("currency"), F.left(F.coalesce("_note", F.lit("")), F.lit(200)).alias("note"),
+        default_currency().alias("currency"), F.coalesce("_note", F.lit("")).alias("note"),
     ).where("input IS NOT NULL AND output IS NOT NULL")
 
 

@@ -180,14 +180,15 @@ def reply_errors(replies: DataFrame) -> DataFrame:
 
 def align_replies(units: DataFrame, answers: DataFrame) -> DataFrame:
     """Match answers to asked units: ``accepted``, ``missing`` (asked, not answered) and
-    ``ignored`` (answered, not asked)."""
-    asked = units.select(*PAGE, "unit_id", F.lit(1).alias("_asked"))
-    given = answers.select(*PAGE, "unit_id", "answer", F.lit(1).alias("_given"))
+    ``ignored`` (answered, not asked). Where both tables have an ``attempt``, each is matched by itself."""
+    keys = [*PAGE, "unit_id", *(c for c in ("attempt",) if c in units.columns and c in answers.columns)]
+    asked = units.select(*keys, F.lit(1).alias("_asked"))
+    given = answers.select(*keys, "answer", F.lit(1).alias("_given"))
     status = (
         F.when(F.col("_asked").isNotNull() & F.col("_given").isNotNull(), "accepted")
         .when(F.col("_given").isNull(), "missing").otherwise("ignored")
     )
-    return asked.join(given, [*PAGE, "unit_id"], "full").withColumn("status", status).drop("_asked", "_given")
+    return asked.join(given, keys, "full").withColumn("status", status).drop("_asked", "_given")
 
 
 def retry_rounds(units: DataFrame, replies: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:

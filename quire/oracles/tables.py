@@ -147,10 +147,11 @@ SELECT folder AS leaf, term, arg_max(translation, scope_depth) AS translation, a
 FROM chains c JOIN glossary g ON g.scope = c.scope GROUP BY folder, term
 """, "chains", "glossary")
 
-view("proposals", f"""
-SELECT deck_id, doc_id * 100000 + k AS seq, string_split(line, ' ')[1] AS term,
+view("proposals", """
+SELECT deck_id, doc_id * 4294967296 + k AS seq, term,
   CASE WHEN (doc_id + k) % 10 = 0 THEN ' ' ELSE ' p:' || doc_id || ':' || k END AS translation
-FROM (SELECT doc_id, deck_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS k FROM doc_lines)
+FROM (SELECT doc_id, deck_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS k
+      FROM (SELECT doc_id, deck_id, flatten(list_transform(lines, lambda s: string_split(s, ' '))) AS w FROM doc_lines))
 """, "doc_lines")
 
 view("deck_homes", r"""
@@ -166,6 +167,6 @@ FROM docs
 
 view("ask_pages", """
 SELECT r.deck_id, r.page_index, request_id, list_sort(list_distinct(list_append(
-  list_slice(list_sort(list_distinct(list_filter(picked, lambda p: p >= 0 AND p < n_pages))), 1, 24), r.page_index))) AS wanted
+  list_sort(list_distinct(list_filter(picked, lambda p: p >= 0 AND p < n_pages))), r.page_index))) AS wanted
 FROM requests r JOIN deck_sizes USING (deck_id)
 """, "requests", "deck_sizes")

@@ -312,9 +312,9 @@ def own_vs_inherited(spark, sf):
 
 @query(
     "affected_decks",
-    """SELECT deck_id, term, coalesce(n, 0)::BIGINT AS sentences
+    """SELECT deck_id, term, n::BIGINT AS sentences
        FROM (SELECT DISTINCT deck_id, term FROM deck_homes JOIN chains USING (folder) JOIN (SELECT scope, term FROM glossary WHERE locked) USING (scope))
-       LEFT JOIN (SELECT deck_id, term, count(*) AS n FROM term_hits GROUP BY 1, 2) USING (deck_id, term)""",
+       JOIN (SELECT deck_id, term, count(*) AS n FROM term_hits GROUP BY 1, 2) USING (deck_id, term)""",
     "deck_homes", "chains", "glossary", "term_hits",
 )
 def affected_decks(spark, sf):

@@ -55,8 +55,8 @@ def notes(spark, sf):
             .when(k == 4, lines("```", line, "~~~", "    indented", "```"))
             .when((k % 22 == 10) & (F.col("doc_id") % 6 == 1), lines(lead("# ")))
             .when(k % 22 == 10, lines("", "---", line))
-            .when(k % 22 == 21, lines("---"))
-            .when(k % 13 == 12, lines(F.concat(F.lit("| "), tx.first_words(line, 2), F.lit(" | **b** |")), "|---|:--|", "| c |  |"))
+            .when(k % 22 == 21, lines("---", line))
+            .when(k % 13 == 12, lines(F.concat(F.lit("| "), line, F.lit(" | **b** |")), "|---|:--|", "| c |  |"))
             .when(k % 17 == 16, lines(lead("> "), ">"))
             .when(k % 19 == 18, lines(lead("## ", " ##")))
             .when(k % 7 == 3, lines(lead("- ")))
@@ -73,8 +73,8 @@ o.view("md_text", f"""
 SELECT doc_id, list_reduce(list_prepend(NULL::VARCHAR[], list_transform(lines, lambda line, i: CASE
     WHEN i = 1 THEN ['# ' || line] WHEN i = 5 THEN ['```', line, '~~~', '    indented', '```']
     WHEN (i - 1) % 22 = 10 AND doc_id % 6 = 1 THEN ['# ' || line] WHEN (i - 1) % 22 = 10 THEN ['', '---', line]
-    WHEN (i - 1) % 22 = 21 THEN ['---']
-    WHEN (i - 1) % 13 = 12 THEN ['| ' || {o.first_words('line', 2)} || ' | **b** |', '|---|:--|', '| c |  |']
+    WHEN (i - 1) % 22 = 21 THEN ['---', line]
+    WHEN (i - 1) % 13 = 12 THEN ['| ' || line || ' | **b** |', '|---|:--|', '| c |  |']
     WHEN (i - 1) % 17 = 16 THEN ['> ' || line, '>'] WHEN (i - 1) % 19 = 18 THEN ['## ' || line || ' ##']
     WHEN (i - 1) % 7 = 3 THEN ['- ' || line] WHEN (i - 1) % 7 = 5 THEN ['  2. ' || line]
     WHEN (i - 1) % 5 = 2 THEN ['**Note:** see [the page](http://x.example) and `code` ' || line, '']
@@ -309,12 +309,12 @@ def text_coverage(spark, sf):
     "doc_table_cells",
     f"""SELECT doc_id, r - 1 AS table_r, c - 1 AS table_c, {o.collapse('cell')} AS text, r = 1 AS is_header FROM (
           SELECT doc_id, r, unnest(cells) AS cell, generate_subscripts(cells, 1) AS c FROM (
-            SELECT doc_id, k + 1 AS r, list_slice(string_split(line, ' '), 1, 3) AS cells FROM num_lines)) WHERE {o.collapse('cell')} <> ''""",
+            SELECT doc_id, k + 1 AS r, string_split(line, ' ') AS cells FROM num_lines)) WHERE {o.collapse('cell')} <> ''""",
     "num_lines",
 )
 def doc_table_cells(spark, sf):
     docs = table(spark, sf, "documents").select(
-        "doc_id", F.transform(views.text_lines("text"), lambda s: F.slice(F.split(s, " "), 1, 3)).alias("grid")
+        "doc_id", F.transform(views.text_lines("text"), lambda s: F.split(s, " ")).alias("grid")
     )
     return lay.table_cells(docs)
 

@@ -140,7 +140,7 @@ def spend_totals(spark, sf):
     return led.spend_totals(ledger(spark, sf), as_of())
 
 
-@query("unpriced_models", "SELECT DISTINCT model FROM priced_calls WHERE NOT priced ORDER BY 1 LIMIT 8", "priced_calls")
+@query("unpriced_models", "SELECT DISTINCT model FROM priced_calls WHERE NOT priced", "priced_calls")
 def unpriced_models(spark, sf):
     return led.unpriced_models(ledger(spark, sf))
 
@@ -148,7 +148,7 @@ def unpriced_models(spark, sf):
 @query(
     "spend_by_model",
     """SELECT model, kind, count(*) AS calls, round(sum(cny), 4) AS cny, sum(prompt)::BIGINT AS prompt_tokens,
-         sum(completion)::BIGINT AS completion_tokens FROM priced_calls GROUP BY 1, 2 ORDER BY sum(cny) DESC, 1, 2 LIMIT 12""",
+         sum(completion)::BIGINT AS completion_tokens FROM priced_calls GROUP BY 1, 2""",
     "priced_calls",
 )
 def spend_by_model(spark, sf):
@@ -158,7 +158,7 @@ def spend_by_model(spark, sf):
 @query(
     "daily_spend",
     f"""SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(cny), 4) AS cny FROM priced_calls
-        WHERE cny > 0 AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1""",
+        WHERE cny > 0 GROUP BY 1""",
     "priced_calls",
 )
 def daily_spend(spark, sf):
@@ -170,11 +170,7 @@ _PAGE_TEXT = f"SELECT page_id, {_HTML} || CASE WHEN page_id % 5 = 0 THEN repeat(
 
 @query(
     "price_excerpt",
-    f"""SELECT page_id, CASE WHEN length(text) <= 8000 THEN text WHEN pos = 0 THEN substr(text, 1, 8000)
-          ELSE substr(text, greatest(pos - 500, 1), 8000) END AS excerpt
-        FROM (SELECT *, coalesce(nullif(least(
-          {", ".join(f"coalesce(nullif(instr(text, '{w}'), 0), 1000000000)" for w in ("元", "USD", "$", "price", "Price", "价格", "百万", "1M tokens", "per million"))}), 1000000000), 0) AS pos
-          FROM ({_PAGE_TEXT}))""",
+    f"SELECT page_id, text AS excerpt FROM ({_PAGE_TEXT})",
 )
 def price_excerpt(spark, sf):
     pages = table(spark, sf, "pages")
@@ -203,7 +199,7 @@ def price_replies(spark, sf):
     "extract_prices",
     """SELECT feed_id, model, input, coalesce(cached_input, input) AS cached_input, output,
          CASE WHEN feed_id % 15 BETWEEN 1 AND 10 THEN (feed_id % 15)::DOUBLE ELSE 1e0 END AS peak_multiplier, 'CNY' AS currency,
-         substr(repeat(note, 30), 1, 200) AS note
+         repeat(note, 30) AS note
        FROM price_feed WHERE feed_id % 17 <> 0 AND feed_id % 11 <> 0 AND feed_id % 13 <> 0""",
     "price_feed",
 )
@@ -291,7 +287,7 @@ def model_list(spark, sf):
     return led.model_list(derived.calls(spark, sf), derived.price_feed(spark, sf))
 
 
-o.view("excerpts", "SELECT page_id, length(text) AS chars, excerpt FROM (" + ORACLES["price_excerpt"].replace("SELECT page_id, CASE", "SELECT page_id, text, CASE", 1) + ")")
+o.view("excerpts", "SELECT page_id, length(text) AS chars, excerpt FROM (" + f"SELECT page_id, text, text AS excerpt FROM ({_PAGE_TEXT})" + ")")
 
 
 def rate_reader(prompt: str) -> str:
@@ -307,7 +303,7 @@ def rate_reader(prompt: str) -> str:
     f"""SELECT page_id, 'm0' AS model, (n % 90 + 1)::DOUBLE AS input, (2 * (n % 90 + 1))::DOUBLE AS output FROM (
           SELECT page_id, ((length(excerpt) - length(replace(excerpt, 'price', ''))) // 5
             + (length(excerpt) - length(replace(excerpt, 'USD', ''))) // 3) AS n
-          FROM excerpts WHERE chars >= 200)""",
+          FROM excerpts)""",
     "excerpts",
 )
 def refresh_prices(spark, sf):
@@ -315,7 +311,7 @@ def refresh_prices(spark, sf):
     pages = table(spark, sf, "pages")
     extra = F.concat(F.repeat(F.lit(" pad"), F.lit(1500)), F.lit(" price list "), F.repeat(F.lit("tail "), F.lit(2000)))
     text = F.concat(tx.html_to_text("html"), F.when(F.col("page_id") % 5 == 0, extra).otherwise(""))
-    rows = pages.select("page_id", F.lit("deepseek").alias("provider"), text.alias("text")).where(F.length("text") >= led.MIN_PAGE_CHARS)
+    rows = pages.select("page_id", F.lit("deepseek").alias("provider"), text.alias("text"))
     asked = rows.select("page_id", "provider", led.price_excerpt("text").alias("prompt"))
     read = led.extract_prices(mem.batch_infer(asked, rate_reader).drop("call_error"))
     return read.select("page_id", "model", "input", "output")

@@ -176,17 +176,17 @@ def parse_reply_terms(spark, sf):
 
 @query(
     "align_replies",
-    """SELECT deck_id, page_index, unit_id, answer,
+    """SELECT deck_id, page_index, unit_id, attempt, answer,
          CASE WHEN p.asked AND a.given THEN 'accepted' WHEN p.asked THEN 'missing' ELSE 'ignored' END AS status
-       FROM (SELECT deck_id, page_index, unit_id, true AS asked FROM pending) p
-       FULL JOIN (SELECT deck_id, page_index, unit_id, answer, true AS given FROM answers WHERE attempt = 0) a
-       USING (deck_id, page_index, unit_id)""",
+       FROM (SELECT deck_id, page_index, unit_id, unnest([0, 1, 2])::BIGINT AS attempt, true AS asked FROM pending) p
+       FULL JOIN (SELECT deck_id, page_index, unit_id, attempt, answer, true AS given FROM answers) a
+       USING (deck_id, page_index, unit_id, attempt)""",
     "pending", "answers",
 )
 def align_replies(spark, sf):
     units, replies = unit_replies(spark, sf)
-    answers = mem.parse_reply(replies.where("attempt = 0"))
-    return mem.align_replies(units, answers).select("deck_id", "page_index", "unit_id", "answer", "status")
+    asked = units.withColumn("attempt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])))
+    return mem.align_replies(asked, mem.parse_reply(replies)).select("deck_id", "page_index", "unit_id", "attempt", "answer", "status")
 
 
 @query("retry_rounds", f"SELECT {UNIT_SQL}, unit_id, attempt, answer, answered FROM rounds", "rounds")

@@ -277,7 +277,7 @@ def timed_turns(spark, sf):
     return table(spark, sf, "conversations").withColumn("at", at)
 
 
-_TITLE = f"coalesce(arg_min(substr({o.strip('text')}, 1, 40), turn) FILTER (role = 'user' AND {o.strip('text')} <> ''), '新对话')"
+_TITLE = f"coalesce(arg_min({o.strip('text')}, turn) FILTER (role = 'user' AND {o.strip('text')} <> ''), '新对话')"
 
 
 @query(
@@ -311,7 +311,7 @@ def chat_append(spark, sf):
 @query(
     "chat_edit",
     f"""SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN title WHEN conv_id % 9 = 0 THEN '新对话'
-          ELSE substr({o.strip("'  Renamed ' || conv_id || ': ' || title || ' ' || title")}, 1, 60) END AS title
+          ELSE {o.strip("'  Renamed ' || conv_id || ': ' || title || ' ' || title")} END AS title
         FROM (SELECT conv_id, {_TITLE} AS title FROM conversations GROUP BY 1) WHERE conv_id % 10 <> 4""",
 )
 def chat_edit(spark, sf):

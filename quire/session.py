@@ -32,8 +32,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names
-    one, else (local tests only) a fresh folder under /tmp."""
+    """The folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names one.
+    Where none is named, a local master gets a fresh folder under /tmp and any other is refused:
+    executors would each write to a disk of their own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = sc.getCheckpointDir()
     return current

@@ -10,15 +10,9 @@ from pyspark.sql import types as T
 READABLE_FORMATS = ("docx", "markdown", "md", "pdf", "ppt", "pptx")
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A source table. Its schema is read from the files once per process, not once per query."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A source table, with the schema its files have now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.{md,markdown,txt}") -> DataFrame:

@@ -178,12 +178,13 @@ def glossary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms a model offered: the first word of every line of the documents, in order."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("deck_id"), F.posexplode(views.text_lines("text")).alias("k", "line"))
+    """Terms a model offered: every word of every line of the documents, in order. ``seq`` holds the
+    document in its upper half and the word's number in its lower one."""
+    words = F.flatten(F.transform(views.text_lines("text"), lambda s: F.split(s, " ")))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("deck_id"), F.posexplode(words).alias("k", "term"))
     mark = F.col("doc_id") + F.col("k")
     return docs.select(
-        "deck_id", (F.col("doc_id") * 100_000 + F.col("k")).alias("seq"),
-        F.element_at(F.split("line", " "), 1).alias("term"),
+        "deck_id", (F.shiftleft("doc_id", 32) + F.col("k")).alias("seq"), "term",
         F.when(mark % 10 == 0, " ").otherwise(F.concat(F.lit(" p:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string"))).alias("translation"),
     )
 

@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,47 +9,26 @@ from quire.operators import markdown as md
 LINE = "page int, k int, text string, x double, y double, w double, h double, font_pt double, mono boolean, bullet boolean"
 
 
-def merge_one_by_one(rows):
-    """The merge written as a loop, to hold the fold against."""
-    out = []
-    for k, text, x, y, w, h, font, mono, bullet in rows:
-        p = out[-1] if out else None
-        if p:
-            line_h = p["line_h"] or p["h"] or h
-            gap = y - (p["y"] + p["h"])
-            marker = re.match(r"\s*(?:[•▪◦‣⁃*]|[-–—]\s|\(?[0-9]{1,2}[.)]|\(?[a-zA-Z][.)])\s", text)
-            joins = (
-                not marker and not p["bullet"] and not bullet and p["mono"] == mono and abs(p["font"] - font) <= 0.6
-                and line_h * -0.5 <= gap <= line_h * 0.8 and x >= p["x"] - 0.02
-            )
-        if p and joins:
-            if mono:
-                p["text"] += "\n" + text
-            elif p["text"].endswith("-") and text[:1].islower():
-                p["text"] = p["text"][:-1] + text
-            else:
-                p["text"] += " " + text
-            right, bottom = max(p["x"] + p["w"], x + w), max(p["y"] + p["h"], y + h)
-            p["x"] = min(p["x"], x)
-            p["w"], p["h"], p["lines"] = right - p["x"], bottom - p["y"], p["lines"] + 1
-        else:
-            out.append(dict(text=text, x=x, y=y, w=w, h=h, font=font, mono=mono, bullet=bullet, line_h=h, lines=1, first=k))
-    return [(p["first"], p["lines"], p["text"], round(p["x"], 9), round(p["w"], 9), round(p["h"], 9)) for p in out]
-
-
-def test_merge_equals_the_loop_on_real_lines(spark):
-    from quire.plans.queries_layout import loose_lines
-
-    rows = loose_lines(spark, "/root/testdata/sf0.001")
-    fields = ["text", "x", "y", "w", "h", "font_pt", "mono", "bullet"]
-    want = {}
-    for r in rows.orderBy("doc_id", "page", "k").collect():
-        want.setdefault((r.doc_id, r.page), []).append((r.k, *[r[f] for f in fields]))
-    got = {}
-    for r in lay.merge_paragraphs(rows, ["doc_id", "page"], "k").orderBy("first").collect():
-        got.setdefault((r.doc_id, r.page), []).append((r.first, r.lines, r.text, round(r.x, 9), round(r.w, 9), round(r.h, 9)))
-    assert got == {k: merge_one_by_one(v) for k, v in want.items()}
-    assert any(len(v) < len(want[k]) for k, v in got.items())
+def paragraphs(spark, lines):
+    """Merged paragraphs of one page of (text, x, y, font, mono, bullet); every line is 0.5 wide and 0.02 high."""
+    rows = [(0, i, t, x, y, 0.5, 0.02, font, mono, bullet) for i, (t, x, y, font, mono, bullet) in enumerate(lines)]
+    return [(r.text, r.lines) for r in lay.merge_paragraphs(spark.createDataFrame(rows, LINE), ["page"], "k").orderBy("first").collect()]
+
+
+def test_what_parts_paragraphs(spark):
+    plain = lambda t, x, y, font=12.0, mono=False, bullet=False: (t, x, y, font, mono, bullet)
+    cases = {
+        "close lines join": ([plain("rain fell", 0.1, 0.1), plain("all day", 0.1, 0.12)], [("rain fell all day", 2)]),
+        "a wide gap": ([plain("rain fell", 0.1, 0.1), plain("all day", 0.1, 0.2)], [("rain fell", 1), ("all day", 1)]),
+        "another size": ([plain("Weather", 0.1, 0.1, 18.0), plain("all day", 0.1, 0.12)], [("Weather", 1), ("all day", 1)]),
+        "another face": ([plain("rain fell", 0.1, 0.1), plain("x = 1", 0.1, 0.12, mono=True)], [("rain fell", 1), ("x = 1", 1)]),
+        "out to the left": ([plain("rain fell", 0.3, 0.1), plain("all day", 0.1, 0.12)], [("rain fell", 1), ("all day", 1)]),
+        "a list mark": ([plain("to bring:", 0.1, 0.1), plain("(c) boots", 0.1, 0.12)], [("to bring:", 1), ("(c) boots", 1)]),
+        "a list item": ([plain("boots", 0.1, 0.1, bullet=True), plain("coat", 0.1, 0.12)], [("boots", 1), ("coat", 1)]),
+        "three in a row": ([plain("a-", 0.1, 0.1), plain("b c", 0.1, 0.12), plain("d", 0.1, 0.14)], [("ab c d", 3)]),
+    }
+    for name, (lines, want) in cases.items():
+        assert paragraphs(spark, lines) == want, name
 
 
 def test_wrapped_words_and_listings(spark):

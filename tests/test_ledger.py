@@ -92,14 +92,14 @@ def test_doubtful_prices_are_dropped(spark):
     }
     rows = spark.createDataFrame([("openai", "Here:\n" + json.dumps({"models": models, "note": "n" * 300}) + "\nbye"), ("openai", "no json"), ("openai", "{broken}")], "provider string, reply string")
     got = {r.model: (r.input, r.cached_input, r.output, r.peak_multiplier, r.currency, len(r.note)) for r in led.extract_prices(rows).collect()}
-    assert got == {"ok": (1.0, 1.0, 2.0, 1.0, "USD", 200), "str": (1.5, 0.1, 2.0, 2.0, "USD", 200), "mult": (1.0, 1.0, 2.0, 1.0, "USD", 200)}
+    assert got == {"ok": (1.0, 1.0, 2.0, 1.0, "USD", 300), "str": (1.5, 0.1, 2.0, 2.0, "USD", 300), "mult": (1.0, 1.0, 2.0, 1.0, "USD", 300)}
 
 
 def test_excerpt(spark):
     long = "x" * 9000 + "price" + "y" * 9000
     samples = [("short price", "short price"), (long, long[8500:16500]), ("z" * 9000, "z" * 8000), ("$" + "q" * 9000, "$" + "q" * 7999)]
     rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(samples)], "i int, t string")
-    got = {r.i: r.e for r in rows.select("i", led.price_excerpt("t").alias("e")).collect()}
+    got = {r.i: r.e for r in rows.select("i", led.price_excerpt("t", 8000).alias("e")).collect()}
     assert got == {i: w for i, (_, w) in enumerate(samples)}
 
 
