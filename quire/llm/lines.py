@@ -102,10 +102,17 @@ class LineRuns:
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    every = reduce(DataFrame.unionByName, runs)
-    return every.groupBy(*KEY).agg(
-        F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"), F.max("fresh").alias("fresh")
-    )
+    """One run of several: sorted runs are joined in full, bucket by bucket, and counts add up."""
+
+    def two(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.hint("merge").withColumnsRenamed({"n_docs": "_n", "top_doc": "_top", "fresh": "_fresh"})
+        zero, no = F.lit(0), F.lit(False)
+        return a.join(b, KEY, "full").select(
+            *KEY, (F.coalesce("n_docs", zero) + F.coalesce("_n", zero)).alias("n_docs"),
+            F.greatest("top_doc", "_top").alias("top_doc"), (F.coalesce("fresh", no) | F.coalesce("_fresh", no)).alias("fresh"),
+        )
+
+    return reduce(two, runs)
 
 
 def marked_lines(
@@ -133,12 +140,12 @@ def marked_lines(
     common = store.totals().where(F.col("n_docs") >= documents).select(*KEY, "top_doc")
     gone = (
         hashes.join(common, KEY).where(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
-        .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc_id", "_gone_id")
+        .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     )
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone._gone_id), "left")
     lines = text_lines(text_col)
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("gone"), key_hash(x, least)), F.lit(True)))
+    kept = F.when(F.col("_gone").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("_gone"), key_hash(x, least)), F.lit(True)))
     )
     out = joined.select(*(docs[c] for c in docs.columns), F.size(lines).cast("bigint").alias("_n_lines"), kept.alias("_kept"))
     return out.withColumn("_n_dropped", (F.col("_n_lines") - F.size("_kept")).cast("bigint"))
