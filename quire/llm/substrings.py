@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.superstrings import Units, window_hashes, without_repeats
+from quire.llm.superstrings import SMALL, Units, window_hashes, without_repeats
 
 WINDOW, MINIMISER = 35, 4
 
@@ -43,7 +43,8 @@ def counted_windows(units: Units):
 
 
 def drop_repeated_windows(
-    docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text",
+    small: int = SMALL,
 ) -> DataFrame:
     """(doc_id, kept, n_units, n_removed, n_spans, spans): texts without the words covered by a
     window of ``window`` words whose words also stand anywhere else, the same text included.
@@ -55,7 +56,7 @@ def drop_repeated_windows(
     are not read. A text is cut in pieces for the work, so its length has no bound but a row's.
     """
     units = Units(window, minimiser, True)
-    return without_repeats(docs, units, counted_windows(units), id_col, text_col)
+    return without_repeats(docs, units, counted_windows(units), id_col, text_col, small)
 
 
 def digests(docs: DataFrame) -> DataFrame:

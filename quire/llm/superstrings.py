@@ -6,7 +6,8 @@ bucket of that anchor; strings of a bucket are compressed together. Buckets that
 their share are split by document; what is repeated inside a part is known there, and one copy of
 every other window goes on, as a 128-bit hash, to a second round spread by that hash.
 
-A document is known by ``k1`` and ``k2``: its id, and a hash of id and text. Results are intervals
+A document is known by ``k1`` and ``k2``: its id, and a 32-bit hash of id and text that tells rows
+of one id apart. Results are intervals
 of units, joined back to the texts once.
 """
 
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from quire.llm.base import lasting, partitions
 
 #: Units of text worked on at once, and bytes of packed strings held before they are sent on.
-PIECE, HELD = 1 << 18, 24 << 20
-#: Buckets for each shuffle partition; a bucket over HOT times the mean is split.
-BUCKETS, HOT = 16, 4
+PIECE, HELD = 1 << 18, 32 << 20
+#: Level of compression of packed strings, which are most of what is shuffled.
+LEVEL = 6
+#: Buckets for each shuffle partition; a bucket over HOT times the mean is split, unless its strings
+#: are so few (SMALL, some MB) that one task has them at ease. Windows of a bucket of the second round.
+BUCKETS, HOT, SMALL, SECOND = 16, 4, 20_000, 1 << 19
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _C = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, dtype=bool)
@@ -203,7 +207,7 @@ def pack(units: Units, buckets: int, parts: dict[int, int]) -> Callable:
     """Packed strings, compressed together by bucket and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         many = np.ones(buckets, np.int64)
         for k, n in parts.items():
             many[k] = n
@@ -217,7 +221,8 @@ def pack(units: Units, buckets: int, parts: dict[int, int]) -> Callable:
                 rows = held[key]
                 numbers = np.concatenate([x[0] for x in rows], axis=1)
                 text = b"".join(b"".join(x[1]) for x in rows)
-                blobs.append(squeeze.compress(np.int64(numbers.shape[1]).tobytes() + numbers.tobytes() + text))
+                narrow = numbers[2:].astype(np.int32).tobytes()
+                blobs.append(squeeze.compress(np.int64(numbers.shape[1]).tobytes() + numbers[:2].tobytes() + narrow + text))
             held.clear()
             at = np.array(keys, np.int64)
             return pa.RecordBatch.from_arrays(
@@ -236,10 +241,12 @@ def pack(units: Units, buckets: int, parts: dict[int, int]) -> Callable:
                 zero = np.searchsorted(r.starts, bounds[:-1])
                 bucket = (mix(r.anchor) % np.uint64(buckets)).astype(np.int64)
                 own1, own2 = k1[doc[r.piece]], k2[doc[r.piece]]
-                part = ((own1 ^ own2).astype(np.uint64) % many[bucket].astype(np.uint64)).astype(np.int64)
+                part = ((own1 ^ own2).view(np.uint64) % many[bucket].astype(np.uint64)).astype(np.int64)
                 lo, hi = r.starts[r.first], r.ends[r.stop - 1 + units.k - 1]
                 begin = at[r.piece] + r.first - zero[r.piece]
-                numbers = np.stack([own1, own2, begin, r.stop - r.first, hi - lo, r.anchor.astype(np.int64) * 2 + r.varied])
+                # of the anchor 30 bits tell it apart in its bucket; equal ones are only looked at together
+                tag = (r.anchor & np.uint64((1 << 30) - 1)).astype(np.int64) * 2 + r.varied
+                numbers = np.stack([own1, begin, own2, r.stop - r.first, hi - lo, tag])
                 key = bucket << 24 | part
                 order = np.argsort(key, kind="stable")
                 cuts = np.flatnonzero(np.diff(key[order])) + 1
@@ -299,11 +306,12 @@ def bucket_repeats(units: Units, repeats: Repeats, parts: dict[int, int], second
         for blob in table.column("blob").to_pylist():
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            own = np.frombuffer(raw, np.int64, 6 * n, 8).reshape(6, n)
-            at = 8 + 48 * n + np.concatenate([[0], np.cumsum(own[4])])
-            numbers.append(own)
+            wide = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
+            narrow = np.frombuffer(raw, np.int32, 4 * n, 8 + 16 * n).reshape(4, n).astype(np.int64)
+            at = 8 + 32 * n + np.concatenate([[0], np.cumsum(narrow[2])])
+            numbers.append(np.concatenate([wide, narrow]))
             strings += [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-        k1, k2, begin, windows, _, tag = np.concatenate(numbers, axis=1)
+        k1, begin, k2, windows, _, tag = np.concatenate(numbers, axis=1)
         split = parts.get(int(key[0].as_py()), 1) > 1
         anchor, varied = tag >> 1, (tag & 1).astype(bool)
         _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
@@ -388,23 +396,25 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, k1, k2)."""
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("k1"), F.xxhash64(id_col, text_col).alias("k2"),
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("k1"), F.hash(id_col, text_col).cast("bigint").alias("k2"),
     )
 
 
-def repeated_units(docs: DataFrame, units: Units, repeats: Repeats) -> DataFrame:
-    """(k1, k2, at): for every document with repeats, the intervals of its repeated units."""
+def repeated_units(docs: DataFrame, units: Units, repeats: Repeats, small: int = SMALL) -> DataFrame:
+    """(k1, k2, at): for every document with repeats, the intervals of its repeated units. The
+    result does not depend on which buckets are split."""
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = BUCKETS * n
     counts = docs.select("text").mapInArrow(bucket_counts(units, buckets), "bucket bigint, n bigint")
     counts = lasting(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket_counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(1000, HOT * total // buckets)
+    most = max(small, HOT * total // buckets)
     # at most buckets / HOT of them
-    parts = {r.bucket: int(-(-2 * r.n // most)) for r in counts.where(F.col("n") > most).collect()}
+    hot = {r.bucket: r.n for r in counts.where(F.col("n") > most).collect()}
+    parts = {k: int(-(-2 * v // most)) for k, v in hot.items()}
     packed = docs.select("k1", "k2", "text").mapInArrow(pack(units, buckets, parts), "bucket bigint, part bigint, blob binary")
-    second = BUCKETS * n
+    second = max(n, sum(hot.values()) * (units.k - units.m) // SECOND)
     found = packed.groupBy("bucket", "part").applyInArrow(bucket_repeats(units, repeats, parts, second), OUT)
     found = lasting(found, "repeats") if parts else found
     rows = found.where("kind = 0").select("k1", "k2", "lo", "hi")
@@ -426,10 +436,10 @@ def merged(at: list | None) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def without_repeats(docs: DataFrame, units: Units, repeats: Repeats, id_col: str, text_col: str) -> DataFrame:
+def without_repeats(docs: DataFrame, units: Units, repeats: Repeats, id_col: str, text_col: str, small: int = SMALL) -> DataFrame:
     """(doc_id, kept, n_units, n_removed, n_spans, spans) of every row; ``kept`` is binary."""
     texts = keyed(docs, id_col, text_col)
-    joined = texts.join(repeated_units(texts, units, repeats), ["k1", "k2"], "left")
+    joined = texts.join(repeated_units(texts, units, repeats, small), ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
