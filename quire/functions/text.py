@@ -16,7 +16,8 @@ SPACES = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WORD = r"[\p{L}\p{N}_]"
-MARK = "\u0001"
+# The mark of a sentence end, and what stands before a mark that the text itself holds.
+MARK, HIDE = "\u0001", "\u0002"
 
 # Shortened words after which a full stop does not end a sentence.
 ABBREVIATIONS = (
@@ -70,9 +71,28 @@ def first_words(c: str | Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(plain, " +"), 1, n), " ")
 
 
+def _foldings() -> dict[str, str]:
+    """Letters that case folding takes to something else than lower case, built from the standard
+    library. A capital sigma is among them, as lower case depends on what follows it. Cherokee
+    letters, which fold to capitals, are left to lower case, which tells them apart just as well."""
+    out = {"Σ": "σ"}
+    for i in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
+        c = chr(i)
+        if c.casefold() != c.lower() and not (0x13A0 <= i <= 0x13FD or 0xAB70 <= i <= 0xABBF):
+            out[c] = c.casefold()
+    return out
+
+
+_FOLDINGS = _foldings()
+
+
 def fold_case(c: str | Column) -> Column:
-    """Case folding: lower case, and sharp s as double s."""
-    return F.lower(F.replace(_col(c), F.lit("ß"), F.lit("ss")))
+    """Full case folding. Text without one of the rare letters takes the short way, lower case."""
+    col = _col(c)
+    table = F.create_map(*(F.lit(x) for pair in _FOLDINGS.items() for x in pair))
+    letters = F.transform(F.split(col, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    some = col.rlike("[" + "".join(_FOLDINGS) + "]")
+    return F.lower(F.when(some, F.array_join(letters, "")).otherwise(col))
 
 
 @F.pandas_udf(T.StringType())
@@ -135,13 +155,17 @@ def segment(c: str | Column) -> Column:
     # No mark after a full stop that follows a shortened word or one letter (an initial, a list
     # letter), or comes before a lower-case letter. What stands before is only looked at there.
     stop = rf"\.(?<!(?<![\p{{L}}\p{{N}}_.])(?:\p{{L}}|(?iu:{_ABBREV}))\.){_CLOSERS} (?!\p{{Ll}})"
-    t = replace_all(collapse_ws(c), rf"([!?]{_CLOSERS} |{stop})", f"$1{MARK}")
+    plain = collapse_ws(c)
+    marked = F.contains(plain, F.lit(MARK)) | F.contains(plain, F.lit(HIDE))
+    hidden = F.replace(F.replace(plain, F.lit(HIDE), F.lit(HIDE + "\u0004")), F.lit(MARK), F.lit(HIDE + "\u0003"))
+    t = replace_all(F.when(marked, hidden).otherwise(plain), rf"([!?]{_CLOSERS} |{stop})", f"$1{MARK}")
     # after a token with a full stop inside: an acronym or a version
     t = replace_all(t, rf"(\.{WORD}*{_TAIL}){MARK}", "$1")
     # after a number that opens the sentence: a list number
     t = replace_all(t, rf"(^|{MARK})(\p{{Nd}}+{_TAIL}){MARK}", "$1$2")
-    parts = F.transform(F.split(t, MARK), lambda p: F.trim(p))
-    return F.filter(parts, lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, MARK), lambda p: F.trim(p)), lambda p: p != "")
+    shown = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit(HIDE + "\u0003"), F.lit(MARK)), F.lit(HIDE + "\u0004"), F.lit(HIDE)))
+    return F.when(marked, shown).otherwise(parts)
 
 
 def ends_sentence(c: str | Column) -> Column:

@@ -57,6 +57,18 @@ def test_segment_loses_nothing_and_keeps_to_its_places(spark, texts):
         assert not any(mark in s for s in r.s for mark in ("? ", "! ")), r.s
 
 
+def test_control_characters_of_a_text_are_kept(spark):
+    text = "a\u0001b \u0002\u0003 ends. Then \u0001\u0002\u0004 more. Last"
+    got = spark.createDataFrame([(text,)], "t string").select(tx.segment("t").alias("s")).first().s
+    assert got == ["a\u0001b \u0002\u0003 ends.", "Then \u0001\u0002\u0004 more.", "Last"]
+
+
+def test_folding_is_that_of_the_standard_library(spark):
+    words = ["STRASSE", "straße", "ΟΔΟΣ", "οδος", "ﬁx", "ſo", "ŉ", "İI", "ᾳ", "ΐ", "µ", "ẞ", "ﬃ", "Ǆ", "plain", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", tx.fold_case("t").alias("f")).collect()
+    assert [(r.t, r.f) for r in rows] == [(w, w.casefold()) for w in words]
+
+
 def test_strip_and_ids(spark):
     samples = ["  key  ", "plain", "", " \t\x1cß　"]
     rows = spark.createDataFrame([(s,) for s in samples], "t string").select("t", tx.strip("t").alias("s"), tx.content_id("t").alias("id")).collect()
