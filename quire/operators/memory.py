@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire import session
 from quire.functions import text as tx
 from quire.operators import model
 from quire.plans import scale
@@ -363,6 +364,62 @@ def batch_infer(prompts: DataFrame, complete: ModelCall) -> DataFrame:
     return prompts.mapInPandas(ask, schema)
 
 
+def translate_pages(
+    units: DataFrame, ask: Callable[[DataFrame], DataFrame], complete: ModelCall, max_retries: int = MAX_RETRIES
+) -> tuple[DataFrame, DataFrame]:
+    """Ask for every unit, ask again for what is missing, and judge what came back.
+
+    ``ask`` makes prompts (one row per page) of the units still open. A round asks only pages that
+    have open units and gave no error so far; its replies are written before they are read, so no
+    model is asked twice for a lost executor. Returns the judged units and all replies.
+    """
+    replies = None
+    open_units = units
+    for attempt in range(max_retries + 1):
+        prompts = ask(open_units)
+        asked = batch_infer(prompts.select(*PAGE, "prompt"), complete).withColumn("attempt", F.lit(attempt).cast("bigint"))
+        reply = F.coalesce("reply", F.concat(F.lit("call failed: "), F.col("call_error")))
+        given = session.written(asked.select(*PAGE, "attempt", reply.alias("reply")), "replies")
+        replies = given if replies is None else replies.unionByName(given)
+        if attempt < max_retries:
+            bad = reply_errors(given).select(*PAGE).distinct()
+            left = open_units.join(parse_reply(given).select(*PAGE, "unit_id").distinct(), [*PAGE, "unit_id"], "left_anti")
+            open_units = session.written(left.join(bad, PAGE, "left_anti"), "open_units")
+            if open_units.isEmpty():
+                break
+    return accept_checks(retry_rounds(units, replies, max_retries)), replies
+
+
+def accepted_entries(judged: DataFrame, at: Column) -> DataFrame:
+    """Memory rows of what was accepted, for ``cache_upsert``; what failed leaves none."""
+    return judged.where("NOT failed").select("cache_key", F.col("text").alias("source"), "translation", at.alias("updated_at"))
+
+
+def lock_terms(translated: DataFrame, cache: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What pinning terms does: the sentences that use them without their translation, the memory
+    without their keys, and the pages that have such sentences, with their number."""
+    invalid = term_invalidation(translated, terms)
+    hit = F.col("_hit").isNotNull()
+    cleared = translated.join(invalid.select(*PLACE, F.lit(1).alias("_hit")), PLACE, "left").select(
+        *[c for c in translated.columns if c not in ("translation", "flagged")],
+        F.when(~hit, F.col("translation")).alias("translation"), (F.col("flagged") & ~hit).alias("flagged"),
+    )
+    return cleared, cache_drop(cache, invalid.select("cache_key").distinct()), affected_pages(invalid)
+
+
+def edit_memory(sentences: DataFrame, cache: DataFrame, edits: DataFrame, at: Column) -> DataFrame:
+    """The memory after the user's own wording was written to it."""
+    return cache_upsert(cache, edit_entries(sentences, edits, at))
+
+
+def retranslated_memory(units: DataFrame, reduced: DataFrame, answers: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """After asking again for chosen places: the judged units, failed ones flagged, and the memory,
+    which had lost their keys, with the answers that count. ``answers`` is (place, answer)."""
+    joined = units.join(answers.select(*PLACE, "answer"), PLACE, "left").withColumn("answered", F.col("answer").isNotNull())
+    judged = accept_checks(joined)
+    return judged, cache_upsert(reduced, accepted_entries(judged, at))
+
+
 def infer_once_per_text(units: DataFrame) -> DataFrame:
     """One unit per distinct memory key, so that a sentence repeated anywhere is asked once."""
     return units.groupBy("cache_key").agg(F.min(F.struct(*PLACE, "text")).alias("_u")).select("cache_key", "_u.*")

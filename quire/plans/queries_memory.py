@@ -329,3 +329,110 @@ def retranslate_one(spark, sf):
     ask = units.select(*mem.PLACE, F.concat(F.lit("Translate these 1 units:\n[1]"), mem.unit_hint(), F.lit(" "), F.col("text")).alias("prompt"))
     answers = mem.parse_reply(mem.batch_infer(ask, echo_model).drop("call_error"))
     return answers.where("unit_id = 1").select(*UNIT, "answer")
+
+
+def forgetful_model(prompt: str) -> str:
+    """A stand-in that leaves out the last unit whenever it is asked for several."""
+    reply = json.loads(echo_model(prompt))
+    if len(reply["units"]) > 1:
+        reply["units"].popitem()
+    return json.dumps(reply)
+
+
+def translated_pages(spark, sf):
+    """Standing inputs of the loop, and its outcome: the memory before, and the judged units."""
+    s = stages.written_sentences(spark, sf)
+    units = stages.written_units(s)
+    pages = session.written(stages.classified(spark, sf), "classified")
+    terms = session.written(deck_terms(spark, sf), "deck_terms")
+    sizes = views.deck_sizes(spark, sf)
+    judged, _ = mem.translate_pages(units, lambda rest: mem.build_prompts(pages, rest, sizes, terms), forgetful_model)
+    return derived.cache(s), judged
+
+
+@query(
+    "translate_pages",
+    f"""SELECT {UNIT_SQL}, unit_id, CASE WHEN unit_id > 1 AND unit_id = n THEN 1 ELSE 0 END AS attempt,
+          '«' || text || '»' AS translation, false AS flagged, false AS failed
+        FROM (SELECT *, count(*) OVER (PARTITION BY deck_id, page_index) AS n FROM pending)""",
+    "pending",
+)
+def translate_pages(spark, sf):
+    _, judged = translated_pages(spark, sf)
+    return judged.select(*UNIT, "unit_id", "attempt", "translation", "flagged", "failed")
+
+
+@query(
+    "translate_memory",
+    """SELECT cache_key, arg_max(source, updated_at) AS source, arg_max(translation, updated_at) AS translation, max(updated_at) AS updated_at FROM (
+         SELECT cache_key, source, translation, updated_at FROM cache
+         UNION ALL SELECT cache_key, text, '«' || text || '»', 5000 FROM pending) GROUP BY 1""",
+    "cache", "pending",
+)
+def translate_memory(spark, sf):
+    """The memory after the loop has written back to it."""
+    memory, judged = translated_pages(spark, sf)
+    return mem.cache_upsert(memory, mem.accepted_entries(judged, F.lit(5000).cast("bigint")))
+
+
+def locked(spark, sf):
+    s = stages.written_sentences(spark, sf)
+    return mem.lock_terms(derived.translated(s), derived.cache(s), pinned_terms(spark, sf))
+
+
+@query(
+    "lock_clears",
+    f"""SELECT {UNIT_SQL}, CASE WHEN h.n IS NULL THEN translation END AS translation, flagged AND h.n IS NULL AS flagged
+        FROM translated LEFT JOIN (SELECT {UNIT_SQL}, count(*) AS n FROM term_hits GROUP BY ALL) h USING ({UNIT_SQL})""",
+    "translated", "term_hits",
+)
+def lock_clears(spark, sf):
+    return locked(spark, sf)[0].select(*UNIT, "translation", "flagged")
+
+
+@query(
+    "lock_memory",
+    "SELECT cache_key, source, translation, updated_at FROM cache WHERE cache_key NOT IN (SELECT cache_key FROM term_hits)",
+    "cache", "term_hits",
+)
+def lock_memory(spark, sf):
+    return locked(spark, sf)[1].select("cache_key", "source", "translation", "updated_at")
+
+
+@query(
+    "lock_pages",
+    f"SELECT deck_id, page_index, count(*) AS sentences FROM (SELECT DISTINCT {UNIT_SQL} FROM term_hits) GROUP BY 1, 2",
+    "term_hits",
+)
+def lock_pages(spark, sf):
+    return locked(spark, sf)[2].select("deck_id", "page_index", "sentences")
+
+
+@query(
+    "edit_memory",
+    """SELECT cache_key, arg_max(source, updated_at) AS source, arg_max(translation, updated_at) AS translation, max(updated_at) AS updated_at FROM (
+         SELECT cache_key, source, translation, updated_at FROM cache
+         UNION ALL SELECT cache_key, text, e.translation, 5000 FROM keyed JOIN edits e USING (deck_id, page_index, block_index, sent_index))
+       GROUP BY 1""",
+    "cache", "keyed", "edits",
+)
+def edit_memory(spark, sf):
+    s = stages.written_sentences(spark, sf)
+    return mem.edit_memory(derived.keyed_sentences(s), derived.cache(s), edits(s), F.lit(5000).cast("bigint"))
+
+
+@query(
+    "retranslate_memory",
+    """SELECT cache_key, arg_max(source, updated_at) AS source, arg_max(translation, updated_at) AS translation, max(updated_at) AS updated_at FROM (
+         SELECT cache_key, source, translation, updated_at FROM cache
+         UNION ALL SELECT cache_key, text, '«' || text || '»', 5000 FROM keyed JOIN edits USING (deck_id, page_index, block_index, sent_index)
+         WHERE kind NOT IN ('chrome', 'code')) GROUP BY 1""",
+    "cache", "keyed", "edits",
+)
+def retranslate_memory(spark, sf):
+    s = stages.written_sentences(spark, sf)
+    units, reduced = mem.retranslate(derived.keyed_sentences(s), edits(s), derived.cache(s))
+    ask = units.select(*mem.PLACE, F.concat(F.lit("Translate these 1 units:\n[1]"), mem.unit_hint(), F.lit(" "), F.col("text")).alias("prompt"))
+    replies = session.written(mem.batch_infer(ask, echo_model).drop("call_error"), "replies")
+    answers = mem.parse_reply(replies).where("unit_id = 1")
+    return mem.retranslated_memory(units, reduced, answers, F.lit(5000).cast("bigint"))[1]
