@@ -2,7 +2,7 @@
 
 Documents become sequences of term numbers of the benchmark's vocabulary, since no other word can
 match an item. Passages of the whole corpus, weighted by TF-IDF, and the items give a term space
-whose leading directions a randomised SVD finds in two passes: every task adds up its part of the
+whose leading directions a randomised SVD finds in one pass: every task adds up its part of the
 sketch. Passages close to an item in that space are candidates; a candidate counts when the longest
 common subsequence with the item is long and the item's answer, its last words, is there too.
 """
@@ -29,8 +29,14 @@ COSINE, ORDER, ANSWER = 0.3, 0.6, 0.5
 SEED = 5
 
 
+_APART = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    if text.isascii():  # the same words, without the pattern
+        return text.encode().translate(_APART).decode().split()
+    return WORD.findall(text)
 
 
 @dataclass
@@ -158,36 +164,33 @@ def latent_terms(sequences: DataFrame, items: Items, weights: np.ndarray, rank:
     own = np.stack([np.bincount(t, minlength=n) * weights for t in items.terms])
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
 
-    def gathered(terms: list[bytes], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        block, term, first, _ = blocks_of(terms, weights, size)
-        w = weights[term].astype(np.float32)
-        norm = np.sqrt(np.bincount(block, w * w, minlength=int(first[-1])))
-        w = w / np.maximum(norm, 1e-12)[block].astype(np.float32)
-        return block, term, w, row_sums(block, basis[term] * w[:, None], int(first[-1]))
-
     start = np.random.default_rng(SEED).standard_normal((n, wide)).astype(np.float32)
 
+    weighted = start * weights[:, None].astype(np.float32)
+
     def sketch(terms: list[bytes], total: np.ndarray) -> None:
-        block, term, w, b = gathered(terms, start)
+        block, term, first, _ = blocks_of(terms, weights, size)
+        if not len(term):
+            return
+        square = np.bincount(block, weights[term] ** 2, minlength=int(first[-1]))
+        # rows have length one: the weight of a block is divided out of the sum and out of what goes back
+        b = row_sums(block, weighted[term], int(first[-1])) / np.maximum(square, 1e-12)[:, None].astype(np.float32)
         order = np.argsort(term, kind="stable")
         at = term[order]
-        if len(at):
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-            total[at[cuts]] += np.add.reduceat(b[block[order]] * w[order][:, None], cuts, axis=0)
-
-    y = added(sequences, sketch, (n, wide))
-    energy = np.linalg.norm(y) / max(np.linalg.norm(own.T @ (own @ start)), 1e-12)
-    energy = max(energy, 1.0)
-    q, _ = np.linalg.qr(y + energy * (own.T @ (own @ start)))
-    q32 = q.astype(np.float32)
-
-    def gram(terms: list[bytes], total: np.ndarray) -> None:
-        b = gathered(terms, q32)[3]
-        total += b.T @ b
-
-    g = added(sequences, gram, (wide, wide)) + energy * (own @ q).T @ (own @ q)
-    _, vectors = np.linalg.eigh((g + g.T) / 2)
-    return (q @ vectors[:, ::-1][:, :rank] * weights[:, None]).astype(np.float32)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        total[at[cuts]] += np.add.reduceat(b[block[order]], cuts, axis=0)
+
+    y = added(sequences, sketch, (n, wide)) * weights[:, None]
+    ours = own.T @ (own @ start)
+    y = y + max(np.linalg.norm(y) / max(np.linalg.norm(ours), 1e-12), 1.0) * ours
+    # the leading eigenvectors of the rows' inner products from one sketch: y = (A'A) start
+    shift = max(np.linalg.norm(y), 1e-12) * 1e-6
+    y = y + shift * start
+    core = start.T.astype(np.float64) @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    some = values > values.max() * 1e-9
+    directions, _, _ = np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return (directions[:, :rank] * weights[:, None]).astype(np.float32)
 
 
 def common_order(a: list[int], b: list[int]) -> int:
