@@ -96,6 +96,7 @@ def structural_kind() -> Column:
     )
 
 
+# The wording of reasons, here and below; stored results are compared by them.
 def structural_reason() -> Column:
     return F.when(
         F.coalesce(F.col("is_chrome_placeholder"), F.lit(False)), F.concat(F.lit("placeholder:"), F.col("placeholder"))

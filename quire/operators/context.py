@@ -11,7 +11,7 @@ from quire.operators import model
 from quire.plans import scale
 from quire.sources.views import PAGE
 
-# Fixed value: the reply that closes the context.
+# The wording of a question's context below, and the reply that closes it.
 ACKNOWLEDGEMENT = "Understood. What is your question?"
 
 

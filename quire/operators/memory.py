@@ -60,6 +60,7 @@ def cache_drop(cache: DataFrame, keys: DataFrame) -> DataFrame:
     return cache.join(keys.select("cache_key"), "cache_key", "left_anti")
 
 
+# The wording of hints and prompts, which replies and stored prompts depend on.
 def unit_hint() -> Column:
     return (
         F.when(F.col("has_math"), " (contains an equation; reproduce the notation exactly)")
@@ -100,6 +101,7 @@ def build_prompts(
     decks = sizes.join(glossary, "deck_id", "left")
     rows = scale.salted_join(pages.join(asked, PAGE), decks, ["deck_id"], "page_index")
 
+    # fixed wording, see unit_hint
     heading = F.concat(
         F.lit("Slide "), (F.col("page_index") + 1).cast("string"), F.lit(" of "), F.col("n_pages").cast("string"),
         F.when(F.col("title") != "", F.concat(F.lit(": "), F.col("title"))).otherwise(""),
