@@ -68,6 +68,16 @@ class Tiles:
             out.append(mix(sums + mix((np.uint64(band) << np.uint64(40)) + number)))
         return np.concatenate(out)
 
+    def packed(self, shingles: np.ndarray) -> bytes:
+        """The keys' low 48 bits, six bytes each. Keys that agree there by chance only cost a comparison."""
+        return self.keys(shingles).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(keys: bytes) -> np.ndarray:
+    out = np.zeros((len(keys) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
 
 def shingle_sets(raws: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(number, sorted distinct shingle hashes) of every text with words."""
@@ -154,7 +164,7 @@ def set_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
         tiles = Tiles(percent)
         for b in batches:
             raws, ids = [(t or "").encode() for t in b.column(1).to_pylist()], b.column(0).to_pylist()
-            rows = [(ids[i], *identity(s)[1:], tiles.keys(s).tobytes()) for i, s in shingle_sets(raws, k)]
+            rows = [(ids[i], *identity(s)[1:], tiles.packed(s)) for i, s in shingle_sets(raws, k)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                 names=["doc_id", "s1", "s2", "keys"],
@@ -185,18 +195,21 @@ def tile_rows(reps: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            each = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            each = [unpacked(x) for x in b.column(1).to_pylist()]
             keys = np.concatenate(each)
             nodes = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in each])
-            to = (keys >> np.uint64(40)).astype(np.int64) % buckets
+            to = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             for s in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                blob = zstandard.compress(keys[s].tobytes() + nodes[s].tobytes(), 1)
+                # inside a bucket 32 bits tell keys apart
+                blob = zstandard.compress(nodes[s].tobytes() + keys[s].astype(np.uint32).tobytes(), 3)
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[s[0]])]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def shared(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(2, -1) for x in table.column("blob").to_pylist()]
-        keys, nodes = np.concatenate(parts, axis=1)
+        raw = [zstandard.decompress(x) for x in table.column("blob").to_pylist()]
+        nodes = np.concatenate([np.frombuffer(x, np.int64, len(x) // 12) for x in raw])
+        keys = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8) for x in raw]).astype(np.int64)
+        keys |= np.int64(key[0].as_py()) << 32
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         new = np.ones(len(keys), bool)
