@@ -2,7 +2,8 @@
 
 A pass orders all vectors lexicographically by the signs of random projections and compares each with
 a bounded window of neighbours in double precision. Verified links of all passes are united into
-components. How many vectors each one links with is then counted inside its component: two vectors
+components. The passes only save work: after them, every pair of vectors of different components is
+compared, tile against tile, so no link is left to chance. How many vectors each one links with is then counted inside its component: two vectors
 within half the threshold's angle of the component's centre are linked without comparing them, and
 only the others are compared, block against block.
 """
@@ -23,6 +24,8 @@ THRESHOLD = 0.9
 PASSES, WINDOW, BITS, SEED = 32, 32, 60, 20
 #: Vectors of a component that one task compares with as many others.
 BLOCK = 1024
+#: Numbers of the vectors of a tile, and rows of it that are compared at a time.
+TILE, STRIP = 1 << 19, 512
 
 
 def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
@@ -121,6 +124,65 @@ def passes(rows: DataFrame, count: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "pass bigint, dim bigint, key bigint, node bigint, x array<double>")
 
 
+def links_between(classes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of components (or lone vectors) that the passes left apart, from all pairs of
+    vectors (node, x) of one length. Small components share tiles, whole; one larger than a tile has
+    tiles of its own, which are not compared with each other."""
+    spark = classes.sparkSession
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x = pa.array([v.tolist() for v in unit_rows(t.column("x"))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([t.column("node"), t.column("comp"), x], names=["node", "comp", "x"])
+
+    rows = classes.join(found, "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"), "x")
+    rows = rows.mapInArrow(units, "node bigint, comp bigint, x array<double>")
+    rows = lasting(rows.withColumn("dim", F.size("x")), "vector_units")
+    room = F.greatest(F.lit(1), F.floor(F.lit(TILE) / F.col("dim"))).cast("bigint")
+    sizes = rows.groupBy("dim", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("room", room)
+    small = {r.dim: -(-r.n // r.room) for r in sizes.where("n <= room").groupBy("dim", "room").agg(F.sum("n").alias("n")).collect()}
+    # a row for each component larger than a tile: no more than there are tiles
+    large, ends = [], dict(small)
+    for r in sizes.where("n > room").orderBy("dim", "comp").collect():
+        start = ends.get(r.dim, 0)
+        ends[r.dim] = start + -(-r.n // r.room)
+        large.append((r.comp, start, ends[r.dim]))
+    if not ends:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    own = spark.createDataFrame(large, "comp bigint, start bigint, end bigint")
+    tiles = spark.createDataFrame([(d, small.get(d, 0), n) for d, n in ends.items()], "dim int, small bigint, tiles bigint")
+    placed = rows.join(F.broadcast(own), "comp", "left").join(F.broadcast(tiles), "dim")
+    tile = F.when(F.col("start").isNull(), F.expr("pmod(xxhash64(comp), small)")).otherwise(F.expr("start + pmod(xxhash64(node), end - start)"))
+    placed = placed.withColumn("tile", tile)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("other")
+    pairs = placed.select("dim", "tile", other, "node", "comp", "x", "start", "end").where("start IS NULL OR other < start OR other >= end")
+    pairs = pairs.select("dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") <= F.col("other")).alias("first"), "comp", "x")
+
+    def compared(t: pa.Table) -> pa.Table:
+        first, comp = t.column("first").to_numpy(), t.column("comp").to_numpy()
+        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(comp), -1)
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        (x1, c1), (x2, c2) = (x[first], comp[first]), (x, comp) if same else (x[~first], comp[~first])
+        y = x2.astype(np.float32).T
+        joined = Joined()
+        a, b = [], []
+        for at in range(0, len(c1), STRIP):
+            # single precision leaves out what is far from a link; double precision decides
+            p, q = np.nonzero(x1[at : at + STRIP].astype(np.float32) @ y >= least - 1e-4)
+            p += at
+            apart = c1[p] != c2[q]
+            p, q = p[apart], q[apart]
+            for lo in range(0, len(p), 1 << 14):
+                u, v = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
+                near = np.einsum("ij,ij->i", x1[u], x2[v]) >= least
+                for m, n in zip(c1[u[near]].tolist(), c2[v[near]].tolist()):
+                    if joined.join(m, n):
+                        a.append(m), b.append(n)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.groupBy("dim", "i", "j").applyInArrow(compared, "a bigint, b bigint")
+
+
 def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of vectors by component; a component has vectors of one length."""
     total: dict[int, np.ndarray] = {}
@@ -204,8 +266,9 @@ def near_vectors(
     or hold null or non-finite components, and rows without an id, link with nothing; vectors of
     different lengths do not link. Equal vectors are one class under the smallest id and count as
     many; repeated rows are vectors of their own. ``component_id`` is null and ``kept`` false for a
-    row without an id. An empty table gives no rows; other columns are not read. A component is what
-    the passes find; within it every link is counted.
+    row without an id. An empty table gives no rows; other columns are not read. The result does not
+    depend on ``count``, ``window`` and ``bits``: they set how much the passes find before all pairs
+    of different components are compared, whose number grows with the square of the vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
@@ -222,6 +285,11 @@ def near_vectors(
     ranged = keyed.repartitionByRange(max(partitions(spark), count), *order).sortWithinPartitions(*order)
     found = lasting(components(neighbour_links(ranged, least, window), "a", "b"), "vector_components")
 
+    more = lasting(links_between(classes.select("node", "x"), found, least), "vector_links")
+    if not more.isEmpty():
+        known = found.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+        found = lasting(components(known.union(more), "a", "b"), "vector_components")
+
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x = pa.array([v.tolist() for v in unit_rows(t.column("x"))], pa.list_(pa.float64()))

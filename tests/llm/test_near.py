@@ -126,3 +126,23 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert got == want
     assert any(0 < sum(i in x for x in links) < 24 for i in unit)  # some components are not complete
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_that_no_pass_brings_together(spark, monkeypatch):
+    """One pass with one neighbour meets few of the links; those between rows of a crowded region are among them."""
+    monkeypatch.setattr(vectors, "TILE", 24 * 50)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    lone = unit(rng.standard_normal((150, 24)))
+    centre = unit(rng.standard_normal(24))
+    aside = rng.standard_normal((150, 24))
+    hot = 0.9 * centre + math.sqrt(0.19) * unit(aside - (aside @ centre)[:, None] * centre)
+    large = unit(unit(rng.standard_normal(24)) + 0.03 * rng.standard_normal((120, 24)))
+    far = unit(np.concatenate([lone[:40], hot[:40]]) + 0.08 * rng.standard_normal((80, 24)))
+    x = np.concatenate([lone, hot, large, far])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = merge(range(len(x)), np.argwhere(np.triu(near)).tolist())
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in vectors.near_vectors(df, count=1, window=1).collect()}
+    assert got == {(i, int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(x))}
