@@ -3,8 +3,10 @@
 Documents become sequences of term numbers of the benchmark's vocabulary, since no other word can
 match an item. Passages of the whole corpus, weighted by TF-IDF, and the items give a term space
 whose leading directions a randomised SVD finds in one pass: every task adds up its part of the
-sketch. Passages close to an item in that space are candidates; a candidate counts when the longest
-common subsequence with the item is long and the item's answer, its last words, is there too.
+sketch. Items are banded by length, and a passage is a few times as long as the items it is scored
+against. Passages close to an item in that space, and those that hold it word for word, are
+candidates; a candidate counts when the longest common subsequence with the item is long and the
+item's answer, its last words, is there too.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WORD = re.compile(r"[^\W_]+")
 RANK, EXTRA, COMMON, OWN_TERMS = 256, 16, 0.1, 8
 #: Least cosine of a candidate, least share of the item in common order, least share of its answer.
 COSINE, ORDER, ANSWER = 0.3, 0.6, 0.5
+#: Words of the least block, and of those the directions are found from.
+LEAST, SKETCH = 4, 32
 SEED = 5
 
 
@@ -56,10 +60,17 @@ class Items:
         terms = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int32) for _, w in rows]
         return cls([i for i, _ in rows], terms, vocabulary)
 
-    @property
-    def block(self) -> int:
-        """Words of a block; a passage of three holds any item whole wherever it lies."""
-        return max(32, -(-max(map(len, self.terms), default=0) // 2))
+    def bands(self) -> list[tuple[int, np.ndarray]]:
+        """Words of a block and the items scored by such blocks, blocks ascending. A passage of three
+        blocks holds any item of its band whole wherever it lies: items of up to 16 words have no more
+        than one block, others one to two."""
+        out: dict[int, list[int]] = {}
+        for j, t in enumerate(self.terms):
+            size = LEAST
+            while len(t) > (size if size < 32 else 2 * size):
+                size *= 2
+            out.setdefault(size, []).append(j)
+        return [(size, np.array(out[size])) for size in sorted(out)]
 
 
 def term_sequences(docs: DataFrame, items: Items) -> DataFrame:
@@ -159,7 +170,7 @@ def added(sequences: DataFrame, part: Callable[[list[bytes]], np.ndarray], shape
 def latent_terms(sequences: DataFrame, items: Items, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Rows of terms in the leading directions of corpus blocks and items. The items weigh as much
     in all as the corpus does, so what tells them apart is among these directions."""
-    n, size = len(weights), items.block
+    n, size = len(weights), SKETCH
     wide = min(n, rank + EXTRA)
     own = np.stack([np.bincount(t, minlength=n) * weights for t in items.terms])
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
@@ -206,13 +217,23 @@ def common_order(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def anchors(items: Items, held: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Items by their rarest term, with the first place of it."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for j, t in enumerate(items.terms):
+        at = int(np.argmin(held[t]))
+        out.setdefault(int(t[at]), []).append((j, at))
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, in_order, answer): every document and item with a passage that
     retells the item: cosine in latent space, share of the item's words in common order, and share
     of the answer's (the last quarter's) informative words.
 
-    Words are runs of letters and digits in lower case. Every passage of every whole text is scored
-    against every item, which are the stated query set. Null and empty texts or items match
+    Words are runs of letters and digits in lower case. Every whole text is scored against every item,
+    which are the stated query set, by passages of the item's band; an item that stands in a text word
+    for word is found whatever its cosine. Null and empty texts or items match
     nothing; rows with one id are one document, null ids included; equal items are reported each;
     an empty table gives no rows; other columns are not read.
     """
@@ -226,7 +247,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     held, n_docs = document_counts(sequences, len(items.vocabulary))
     weights = term_weights(items, held, n_docs)
     latent = latent_terms(sequences, items, weights)
-    size = items.block
+    bands = items.bands()
+    fine = bands[0][0]
+    step = max(1, 64 * min(fine, 32) // 32)
+    places = anchors(items, held)
+    rare = np.zeros(len(weights) + 1, bool)
+    rare[list(places)] = True  # the last stays for -1
     queries = np.stack([latent[t].sum(0) for t in items.terms])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     exact = [t.tolist() for t in items.terms]
@@ -234,41 +260,55 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 64):
-                b = big.slice(at, 64)
+            for at in range(0, big.num_rows, step):
+                b = big.slice(at, step)
                 terms = b.column("terms").to_pylist()
-                block, term, first, counts = blocks_of(terms, weights, size)
-                n = int(first[-1])
-                if not n or not len(block):
+                seqs = [np.frombuffer(x, np.int32) for x in terms]
+                block, term, first, counts = blocks_of(terms, weights, fine)
+                if not len(block):
                     continue
-                one = row_sums(block, latent[term], n + 2)
-                # a passage is a block with the next two of its document
-                last = np.repeat(first[1:], counts)
-                here = np.arange(n)
-                x = one[:n].copy()
-                for k in (1, 2):
-                    x += np.where((here + k < last)[:, None], one[k : n + k], 0)
-                norm = np.linalg.norm(x, axis=1)
-                some = np.flatnonzero(norm > 0)
-                near = x[some] @ queries.T >= COSINE * norm[some][:, None]
-                owner = np.repeat(np.arange(len(terms)), counts)
+                whole: dict[int, list[tuple[int, int]]] = {}
+                for d, s in enumerate(seqs):
+                    for p in np.flatnonzero(rare[s]).tolist():
+                        for j, off in places[int(s[p])]:
+                            if p >= off and np.array_equal(s[p - off : p - off + len(exact[j])], items.terms[j]):
+                                whole.setdefault(j, []).append((d, p - off))
+                one, now = row_sums(block, latent[term], int(first[-1])), fine
                 found: dict[tuple[int, int], tuple] = {}
-                for i, j in np.argwhere(near).tolist():
-                    p = int(some[i])
-                    d = int(owner[p])
-                    lo = (p - int(first[d])) * size
-                    passage = np.frombuffer(terms[d], np.int32)[lo : lo + 3 * size]
-                    passage = passage[passage >= 0].tolist()
-                    if len(passage) < ORDER * len(exact[j]):
-                        continue
-                    order = common_order(exact[j], passage) / len(exact[j])
-                    if order < ORDER:
-                        continue
-                    answer = len(answers[j] & {*passage}) / len(answers[j])
-                    if answer < ANSWER:
-                        continue
-                    row = (order, answer, float(x[p] @ queries[j] / norm[p]))
-                    found[d, j] = max(found.get((d, j), row), row)
+                for size, members in bands:
+                    owner = np.repeat(np.arange(len(terms)), counts)
+                    if size != now:  # blocks of a wider band are sums of narrower ones
+                        local = np.arange(len(one)) - first[owner]
+                        counts = np.array([-(-len(s) // size) for s in seqs], np.int64)
+                        first = np.concatenate([[0], np.cumsum(counts)])
+                        one, now = row_sums(first[owner] + local // (size // now), one, int(first[-1])), size
+                        owner = np.repeat(np.arange(len(terms)), counts)
+                    # a passage is a block with the next two of its document
+                    n = len(one)
+                    last, here = np.repeat(first[1:], counts), np.arange(n)
+                    x = one.copy()
+                    for k in (1, 2):
+                        x[: n - k] += np.where((here[: n - k] + k < last[: n - k])[:, None], one[k:], 0)
+                    norm = np.linalg.norm(x, axis=1)
+                    some = np.flatnonzero(norm > 0)
+                    near = np.argwhere(x[some] @ queries[members].T >= COSINE * norm[some][:, None])
+                    pairs = {(int(some[i]), int(members[j])) for i, j in near.tolist()}
+                    pairs.update((int(first[d]) + place // size, j) for j in members.tolist() for d, place in whole.get(j, ()))
+                    for p, j in pairs:
+                        d = int(owner[p])
+                        lo = (p - int(first[d])) * size
+                        passage = seqs[d][lo : lo + 3 * size]
+                        passage = passage[passage >= 0].tolist()
+                        if len(passage) < ORDER * len(exact[j]):
+                            continue
+                        order = common_order(exact[j], passage) / len(exact[j])
+                        if order < ORDER:
+                            continue
+                        answer = len(answers[j] & {*passage}) / len(answers[j])
+                        if answer < ANSWER:
+                            continue
+                        row = (order, answer, float(x[p] @ queries[j] / max(norm[p], 1e-12)))
+                        found[d, j] = max(found.get((d, j), row), row)
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[d], items.ids[j], c, o, a) for (d, j), (o, a, c) in found.items()]
                 if rows:

@@ -90,6 +90,21 @@ def test_leaks_by_paraphrase_and_odd_rows(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_beside_a_long_one(spark):
+    """One long item must not hide short ones that stand word for word in long documents."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    lengths = [2000, 300, 90, 40, 15, 15, 15, 9, 6, 4, 2, 1]
+    items = [(j, say(n) if n > 2 else " ".join(f"only{n}{k}" for k in range(n))) for j, n in enumerate(lengths)]
+    docs = [(j, f"{say(1500)} {t} {say(1500)}") for j, t in items] + [(100 + i, say(2000)) for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = leaks.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    full = {(r.doc_id, r.item_id) for r in got if r.in_order == 1 and r.answer == 1}
+    assert {(j, j) for j in range(len(items))} <= full
+    # a long text keeps only what its own passage retells
+    assert not any(r.doc_id >= 100 and r.in_order == 1 and lengths[r.item_id] > 4 for r in got)
+
+
 def test_common_order_is_the_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(40):
