@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, jaccard, leaks, lines, quality
-from quire.llm.base import lasting, ready, same, table
+from quire.llm.base import lasting, ready, table
 from quire.llm.queries import vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,21 +25,31 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return lines.replaced(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for each row, written so that it stays the same:
+    ids may be missing or repeated, so rows are judged and dropped by this."""
+    return lasting(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of near-duplicates; rows in no group, those
-    without words and those without an id among them, stay."""
+    """One row of every group of near-duplicates: that of smallest id, or any one where none has an
+    id or several have that id; rows in no group, those without words among them, stay."""
     ready(spark)
-    groups = jaccard.near_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti").select(*COLUMNS)
+    docs = numbered(docs)
+    groups = jaccard.near_components(docs, k=5, percent=80, id_col="_row").where("n_shingles > 0")
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
+    placed = lasting(groups.join(docs.select("_row", "doc_id"), "_row"), "groups")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row"))["_row"].alias("_first"))
+    gone = placed.join(first, "component_id").where("_row != _first").select("_row")
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is retold."""
+    """Rows in which no benchmark item is retold, each judged by its own text."""
     ready(spark)
-    found = leaks.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    found = lasting(found, "leaking")
-    return docs.join(found, same(docs.doc_id, found._gone), "left_anti").select(*COLUMNS)
+    docs = numbered(docs)
+    found = leaks.leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(lasting(found, "leaking"), "_row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

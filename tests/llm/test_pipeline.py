@@ -50,3 +50,18 @@ def test_an_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_are_judged_not_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    say = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    rows = [(None, f"{say('a')} {item} {say('b')}"), (None, say("clean")), (7, say("seven")), (7, item), (8, say("eight"))]
+    kept = corpus_pipeline.without_leaks(spark, frame(rows), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, say("clean")), (7, say("seven")), (8, say("eight"))])
+    near = f"{say('x')} more"
+    rows = [(None, say("x")), (None, near), (5, near), (5, say("x")), (5, say("other")), (9, say("x")), (None, say("y")), (None, say("y")), (None, ""), (None, "")]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, frame(rows), SF).collect()]
+    assert len(kept) == 5 and {(5, say("other")), (None, say("y"))} <= {*kept} and kept.count((None, "")) == 2
+    assert sum(i == 5 and t in (say("x"), near) for i, t in kept) == 1
