@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,4 +64,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _record(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+#: Paths written in the scopes that are open just now, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def _record(spark: SparkSession, path: str) -> None:
+    if _scopes:
+        _scopes[-1].append(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove one of our own folders, through the file system it lies in."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Remove a table made by :func:`written` that nothing reads any more; any other is left alone."""
+    path = getattr(df, "written_path", None)
+    if path:
+        remove_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written inside the block are removed at its end, so what leaves it has to be written
+    outside, or be taken from the list that the block is given. Nothing is removed after an error:
+    the next try may look at it."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    except BaseException:
+        _scopes.pop()
+        raise
+    for path in _scopes.pop():
+        remove_path(spark, path)
