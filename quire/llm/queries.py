@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, jaccard, leaks, lines, quality, quotes, substrings, suffixes, toxicity, vectors
+from quire.llm import bpe, codes, fingerprints, jaccard, leaks, lines, periods, quality, quotes, substrings, suffixes, toxicity, vectors
 from quire.llm.base import ready, table
 
 QUERIES: dict = {}
@@ -80,6 +80,21 @@ def op10_bpe(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), vocabulary_path())
 
 
+@query("op11_periods")
+def op11_periods(spark, sf):
+    return periods.digests(table(spark, sf, "documents"))
+
+
+@query("op12_codes", codes.ORACLE)
+def op12_codes(spark, sf):
+    return codes.digests(table(spark, sf, "embeddings"))
+
+
+@query("op13_fingerprints")
+def op13_fingerprints(spark, sf):
+    return fingerprints.digests(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
