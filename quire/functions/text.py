@@ -87,12 +87,14 @@ _FOLDINGS = _foldings()
 
 
 def fold_case(c: str | Column) -> Column:
-    """Full case folding. Text without one of the rare letters takes the short way, lower case."""
+    """Full case folding. Plain text (as many bytes as letters) and text without one of the rare
+    letters take the short way, lower case; only text that is not plain is searched for them."""
     col = _col(c)
     table = F.create_map(*(F.lit(x) for pair in _FOLDINGS.items() for x in pair))
     letters = F.transform(F.split(col, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
     some = col.rlike("[" + "".join(_FOLDINGS) + "]")
-    return F.lower(F.when(some, F.array_join(letters, "")).otherwise(col))
+    plain = F.length(col) == F.octet_length(col)
+    return F.when(plain, F.lower(col)).otherwise(F.lower(F.when(some, F.array_join(letters, "")).otherwise(col)))
 
 
 @F.pandas_udf(T.StringType())

@@ -38,8 +38,9 @@ def with_features(blocks: DataFrame) -> DataFrame:
 
 def with_repeat_key(blocks: DataFrame) -> DataFrame:
     """Text and coarse position: the same words at another place are another thing."""
+    bare = F.col("_bare") if "_bare" in blocks.columns else tx.strip("text")
     return (
-        blocks.withColumn("rep_text", tx.fold_case(tx.strip("text")))
+        blocks.withColumn("rep_text", tx.fold_case(bare))
         .withColumn("rep_x", F.rint(F.col("x") * 20).cast("bigint"))
         .withColumn("rep_y", F.rint(F.col("y") * 20).cast("bigint"))
     )
@@ -55,32 +56,47 @@ def repetition_index(blocks: DataFrame) -> DataFrame:
     return per_page.groupBy(*REPEAT_KEY).agg(F.count(F.lit(1)).alias("pages_seen"))
 
 
-def furniture(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Repeated short texts that count as furniture, with the number of pages of their deck.
+def furniture_by_shard(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Keys of repeated short texts that count as furniture, for every shard of a deck that holds one,
+    with the pages they stand on and the number of pages of their deck.
 
-    ``sizes`` (deck_id, n_pages) saves a pass over the blocks where it is known already.
+    ``sizes`` (deck_id, n_pages) saves a pass over the blocks where it is known already. A page lies in
+    one shard, so pages are counted where the blocks are, and only counts are dealt out by key: a header
+    on every page of a huge deck is one row a shard.
     """
     # Folding may double the length, so texts of up to twice the limit can share a key.
-    short = blocks.where(F.length(tx.strip("text")) <= 2 * FURNITURE_MAX_CHARS)
+    short = with_repeat_key(blocks.where(F.length(tx.strip("text")) <= 2 * FURNITURE_MAX_CHARS))
+    per_shard = (
+        short.select(*REPEAT_KEY, "shard", "page_index").distinct()
+        .groupBy(*REPEAT_KEY, "shard").agg(F.count(F.lit(1)).alias("_pages"))
+    )
+    seen = per_shard.withColumn("pages_seen", F.sum("_pages").over(Window.partitionBy(*REPEAT_KEY)))
     threshold = F.greatest(F.lit(FURNITURE_MIN_PAGES), F.floor(F.col("n_pages") * FURNITURE_SHARE))
     return (
         scale.salted_join(
-            repetition_index(short).where(F.col("pages_seen") >= FURNITURE_MIN_PAGES),
+            seen.where(F.col("pages_seen") >= FURNITURE_MIN_PAGES),
             model.deck_sizes(blocks) if sizes is None else sizes, ["deck_id"], "rep_text", how="inner",
         )
         .where(F.col("pages_seen") >= threshold)
-        .select(*REPEAT_KEY, "pages_seen", "n_pages")
+        .select(*REPEAT_KEY, "shard", "pages_seen", "n_pages")
     )
 
 
+def furniture(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Repeated short texts that count as furniture, one row a key."""
+    return furniture_by_shard(blocks, sizes).drop("shard").distinct()
+
+
 def with_furniture(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Featured blocks with ``pages_seen``/``n_pages`` where they are repeated furniture, else null."""
-    # Only texts of furniture size look theirs up, by key and place; the texts stay where they are.
-    short = with_repeat_key(blocks.where(F.length(F.col("_bare")) <= FURNITURE_MAX_CHARS))
-    place = [*PAGE, "block_index"]
-    keys = short.select(*place, *(c for c in REPEAT_KEY if c not in place))
-    marked = keys.join(furniture(blocks, sizes), REPEAT_KEY).select(*place, "pages_seen", "n_pages")
-    return blocks.join(marked, place, "left")
+    """Featured blocks with ``pages_seen``/``n_pages`` where they are repeated furniture, else null.
+
+    The key of a block of furniture size is one more column, and the few keys that are furniture are
+    joined by deck and shard too, so blocks stay where their pages were dealt to.
+    """
+    rep_text = F.when(F.length("_bare") <= FURNITURE_MAX_CHARS, F.col("rep_text"))
+    keyed = with_repeat_key(blocks).withColumn("rep_text", rep_text)
+    found = furniture_by_shard(blocks, sizes)
+    return keyed.join(found, [*REPEAT_KEY, "shard"], "left").select(*blocks.columns, "pages_seen", "n_pages")
 
 
 def is_page_number() -> Column:

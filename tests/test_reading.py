@@ -93,15 +93,16 @@ def test_chat_request_rows(spark):
 
 def test_titles_append_and_edit(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "  "), (1, 2, "user", "y" * 50), (2, 0, "assistant", "a")], TURNS)
-    assert {r.conv_id: r.title for r in conv.titles(turns).collect()} == {1: "y" * 40, 2: conv.DEFAULT_TITLE}
+    assert {r.conv_id: r.title for r in conv.titles(turns).collect()} == {1: "y" * 50, 2: conv.DEFAULT_TITLE}
+    assert {r.conv_id: r.title for r in conv.titles(turns, most=40).collect()} == {1: "y" * 40, 2: conv.DEFAULT_TITLE}
     fresh = spark.createDataFrame([(2, 0, "user", "late"), (3, 0, "user", "new")], TURNS)
     after = conv.append(turns, fresh)
     assert [(r.turn, r.text) for r in after.where("conv_id = 2").orderBy("turn").collect()] == [(0, "a"), (1, "late")]
     titles = conv.titles(after)
-    assert {r.conv_id: r.title for r in titles.collect()} == {1: "y" * 40, 2: "late", 3: "new"}
+    assert {r.conv_id: r.title for r in titles.collect()} == {1: "y" * 50, 2: "late", 3: "new"}
     renames = spark.createDataFrame([(1, " " + "z" * 70), (2, "  ")], "conv_id bigint, new_title string")
     edited = conv.edit(titles, renames, spark.createDataFrame([(3,)], "conv_id bigint"))
-    assert {r.conv_id: r.title for r in edited.collect()} == {1: "z" * 60, 2: conv.DEFAULT_TITLE}
+    assert {r.conv_id: r.title for r in edited.collect()} == {1: "z" * 70, 2: conv.DEFAULT_TITLE}
 
 
 def test_message_text(spark):
