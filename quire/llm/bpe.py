@@ -27,6 +27,36 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
+#: Stands for letters and numbers that only a newer Unicode knows, while a text is cut into words.
+OTHER = "\ue000"
+
+# Letters and numbers of the pattern library that the tokenizer library's pattern does not
+# know (first and last code point), and capitals it lowers that the standard library does not know
+# (first and last code point, first small letter).
+UNKNOWN = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+
+@functools.cache
+def newer_signs() -> tuple[dict[int, str], dict[int, str]]:
+    """Code points that take no part in words as letters or numbers, and small letters of newer capitals."""
+    unknown = {i: OTHER for a, z in UNKNOWN for i in range(a, z + 1)}
+    return unknown, {i: chr(small + i - a) for a, z, small in CAPITALS for i in range(a, z + 1)}
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where printable, else the next free one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -66,6 +96,7 @@ class Vocabulary:
         self.last = [self.ids.get(x + self.end) for x in letters]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.word = regex.compile(WORD)
+        self.newer = frozenset(chr(i) for table in newer_signs() for i in table)
         self.known = KnownWords(self.word_ids)
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -110,7 +141,12 @@ class Vocabulary:
         # Runs of white space need no rewriting, as no word holds any. Letters are lowered one by
         # one: a sigma at the end of a word like any other.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.known.__getitem__, self.word.findall(text)))
+        if text.isascii() or self.newer.isdisjoint(text):
+            return b"".join(map(self.known.__getitem__, self.word.findall(text)))
+        unknown, small = newer_signs()
+        text = text.translate(small)
+        spans = (m.span() for m in self.word.finditer(text.translate(unknown)))
+        return b"".join(self.known[text[a:z]] for a, z in spans)
 
     def encode(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.special):
@@ -136,8 +172,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``path`` is the vocabulary file on every machine. No shuffle: each text is encoded where it is
     read. A null or empty text gives no ids; repeated rows give a row each; a null id stays null;
-    an empty table gives no rows; other columns are not read, so their names do not matter.
-    Letters and numbers are those of the installed pattern library's Unicode tables.
+    an empty table gives no rows; other columns are not read, so their names do not matter. A text of
+    any length is encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +190,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """The decoded text of packed ids, beside what :func:`encode` returned."""
+    """The decoded text of packed ids, beside what :func:`encode` returned. No ids, or null ones, give
+    an empty text; repeated rows give a row each; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)

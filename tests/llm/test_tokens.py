@@ -56,3 +56,18 @@ def test_merges_go_by_rank_and_skip_stale_pairs():
         raw = word.encode()
         ids = [*(voc.inner[b] for b in raw[:-1]), voc.last[raw[-1]]]
         assert voc.merge([*ids]) == plain(ids), word
+
+
+def test_every_code_point_like_the_library():
+    lib = Tokenizer.from_file(PATH)
+    lib.no_truncation()
+    lib.no_padding()
+    voc = bpe.Vocabulary(PATH)
+    signs = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    for at in range(0, len(signs), 64):
+        part = signs[at : at + 64]
+        text = " ".join(f"a{c}b 1{c}{c}2 {c}" for c in part)
+        if list(np.frombuffer(voc.encode(text), "<u4")) != lib.encode(text, add_special_tokens=False).ids:
+            for c in part:
+                one = f"a{c}b 1{c}{c}2 {c}"
+                assert list(np.frombuffer(voc.encode(one), "<u4")) == lib.encode(one, add_special_tokens=False).ids, hex(ord(c))
