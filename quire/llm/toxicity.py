@@ -133,12 +133,12 @@ def counted(sample: DataFrame) -> DataFrame:
     return parts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, terms: int = TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, terms: int | None = None) -> Lexicon:
     """Lexicon and probability from labelled rows outside the held-out fold.
 
     At most ``rows`` labelled ids are used, the first by a hash, so the sample is bounded and the
     same each time; seven tenths of them weigh the entries and the rest fit the probability. The
-    lexicon keeps the ``terms`` clearest entries. Without labels of both kinds it is empty and every
+    lexicon keeps every clear entry of the sample, or the ``terms`` clearest where a number is given. Without labels of both kinds it is empty and every
     score is one half.
     """
     known = (
@@ -147,7 +147,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         .orderBy(F.xxhash64("_id"), "_id", "y").limit(rows)
         .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(10)))
     )
-    sample = docs.join(F.broadcast(known), docs.doc_id == known._id).select("text", "y", "part")
+    # one text an id, the first by a hash: rows that repeat an id add nothing
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    found = texts.join(F.broadcast(known), texts._doc == known._id).groupBy("_id", "y", "part")
+    sample = found.agg(F.min_by(F.coalesce("_text", F.lit("")), F.xxhash64("_text")).alias("text")).select("text", "y", "part")
     sizes = {y: n for y, n in sample.where("part < 7").groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Lexicon(())
@@ -156,13 +159,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     strong = counted(sample.where("part < 7")).where("toxic + clean >= 4").select("entry", "toxic", "clean", rate)
     clear = F.col("rate") - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     strong = strong.withColumn("clear", clear).cache()
-    chosen = {r.entry: r.rate for r in strong.where("clear > 0.7").orderBy(F.desc("clear"), "entry").limit(terms).collect()}
+    most = lambda rows: rows if terms is None else rows.limit(terms)
+    chosen = {r.entry: r.rate for r in most(strong.where("clear > 0.7").orderBy(F.desc("clear"), "entry")).collect()}
     # exceptions: longer entries that begin with a chosen one and are no likelier in toxic texts
     doubt = strong.where((F.col("rate") < 0.7) & (F.col("toxic") + F.col("clean") >= 6) & F.col("entry").endswith(" "))
     begins = [F.substring("entry", 1, k).isin([e for e in chosen if len(e) == k]) for k in sorted({len(e) for e in chosen})]
     if begins:
         within = functools.reduce(lambda a, b: a | b, begins)
-        for r in doubt.where(within).orderBy("rate", "entry").limit(terms).collect():
+        for r in most(doubt.where(within).orderBy("rate", "entry")).collect():
             chosen.setdefault(r.entry, 0.0)
     strong.unpersist()
     lexicon = Lexicon(tuple(sorted(chosen.items())))
