@@ -393,10 +393,11 @@ def second_round(units: Units) -> Callable:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, k1, k2)."""
+    """(doc_id, text, k1, k2): 96 bits of hashes of id and text tell rows apart, whatever the id's type and
+    with or without one. Rows equal in both share them, and their repeats, too."""
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("k1"), F.hash(id_col, text_col).cast("bigint").alias("k2"),
+        F.xxhash64(id_col, text_col).alias("k1"), F.hash(id_col, text_col).cast("bigint").alias("k2"),
     )
 
 
