@@ -114,19 +114,35 @@ def finite_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col:
     return vectors.select(F.col(id_col).alias("vec_id"), label.alias("label"), v.alias("vector")).where(good)
 
 
+def lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1]))
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def entries_of(batch: pa.RecordBatch) -> np.ndarray | None:
+    """The entry of every part, as the state holds them; None before the first round."""
+    stored = batch.column(4).to_pylist()
+    return np.frombuffer(b"".join(stored), np.uint8).reshape(len(stored), PARTS) if stored and stored[0] is not None else None
+
+
 def as_state(kept: DataFrame, width: int) -> DataFrame:
     """Whole numbers of the vectors: 64 bits in ``narrow``, or as text in ``parts`` where one is too large."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            plain = [max(map(abs, r), default=0.0) * SCALE < NARROW for r in rows]
-            narrow = [np.floor(np.array(r) * SCALE).astype(np.int64).tolist() if ok else None for r, ok in zip(rows, plain)]
-            wide = [None if ok else [str(whole(x)) for x in r] for r, ok in zip(rows, plain)]
-            n = len(rows)
+            n = batch.num_rows
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+            plain = (np.abs(x) < NARROW // SCALE).all(axis=1)
+            if plain.all():
+                narrow, wide = lists(np.floor(x * SCALE).astype(np.int64)), pa.nulls(n, pa.list_(pa.string()))
+            else:
+                rows = list(zip(plain.tolist(), x.tolist()))
+                narrow = pa.array([[whole(v) for v in r] if ok else None for ok, r in rows], pa.list_(pa.int64()))
+                wide = pa.array([None if ok else [str(whole(v)) for v in r] for ok, r in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(wide, pa.list_(pa.string())), pa.array(narrow, pa.list_(pa.int64())),
+                    batch.column(0), batch.column(1), wide, narrow,
                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64())),
                 ],
                 names=STATE_NAMES,
@@ -163,17 +179,13 @@ def assigned(state: DataFrame, books: Books, width: int) -> DataFrame:
         matrices = [numbers(book) for book in books.entries]
         for batch in batches:
             n = batch.num_rows
-            entry = np.zeros((n, PARTS), np.uint8)
-            near: list = [None] * n
-            wide: list = [None] * n
-            stored = batch.column(4).to_pylist()
+            entry, near = np.zeros((n, PARTS), np.uint8), np.zeros((n, PARTS), object)
+            stored = entries_of(batch) if books.moved is not None else None
+            known, all_narrow = stored is not None, True
             for at, x in groups_of(batch):
-                out_e = np.zeros((len(at), PARTS), np.int64)
-                out_d = np.zeros((len(at), PARTS), object)
-                known = books.moved is not None and stored[at[0]] is not None
+                out_e, out_d = np.zeros((len(at), PARTS), np.int64), np.zeros((len(at), PARTS), object)
                 if known:
-                    old_e = np.array([list(stored[i]) for i in at], np.int64)
-                    old_d = distances_of(batch, at)
+                    old_e, old_d = stored[at].astype(np.int64), distances_of(batch, at)
                 for p, book in enumerate(matrices):
                     part = x[:, edge[p] : edge[p + 1]]
                     if known:
@@ -182,18 +194,16 @@ def assigned(state: DataFrame, books: Books, width: int) -> DataFrame:
                         d = distances(part, book)
                         best = first_least(d)
                         out_e[:, p], out_d[:, p] = best, d[np.arange(len(at)), best]
-                entry[at] = out_e
-                for i, row in zip(at.tolist(), out_d.tolist()):
-                    if max(row) <= LARGEST:
-                        near[i] = row
-                    else:
-                        wide[i] = [str(v) for v in row]
+                entry[at], near[at] = out_e, out_d
+                all_narrow &= x.dtype != object and max(out_d.ravel().tolist(), default=0) <= LARGEST
+            if all_narrow:
+                low, high = lists(near.astype(np.int64)), pa.nulls(n, pa.list_(pa.string()))
+            else:
+                fits = [max(row) <= LARGEST for row in near.tolist()]
+                low = pa.array([row if ok else None for row, ok in zip(near.tolist(), fits)], pa.list_(pa.int64()))
+                high = pa.array([None if ok else [str(v) for v in row] for row, ok in zip(near.tolist(), fits)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:4], pa.array([e.tobytes() for e in entry], pa.binary()),
-                    pa.array(wide, pa.list_(pa.string())), pa.array(near, pa.list_(pa.int64())),
-                ],
-                names=STATE_NAMES,
+                [*batch.columns[:4], pa.array([e.tobytes() for e in entry], pa.binary()), high, low], names=STATE_NAMES
             )
 
     return state.select(*STATE_NAMES).mapInArrow(work, shape)
@@ -220,9 +230,9 @@ def totals(state: DataFrame, width: int) -> dict[tuple[int, int], tuple[int, lis
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[int, int], list] = {}
         for batch in batches:
-            stored = batch.column(4).to_pylist()
+            stored = entries_of(batch)
             for at, x in groups_of(batch):
-                entry = np.array([list(stored[i]) for i in at], np.int64)
+                entry = stored[at].astype(np.int64)
                 for p in range(PARTS):
                     part = x[:, edge[p] : edge[p + 1]]
                     for e in np.unique(entry[:, p]).tolist():
