@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import partitions
+from quire.llm.base import lasting, partitions
+from quire.session import forgotten
 
-#: Ranges of ids for each task, so that tasks differ little in size.
-RANGES = 8
+#: Ranges of ids for each task, so that tasks differ little in size, and rows that a key has at least
+#: before it counts as frequent.
+RANGES, MANY = 8, 1000
 
 _U = np.uint64
 
@@ -135,80 +137,95 @@ def likeness_column(a: str, b: str, rule: Order = Order()) -> F.Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h, row, text): what documents are ordered by. Of equal ids the smaller text hash comes
-    first; equal rows are told apart by their place in the table, so that many of them are no single range."""
+    """(doc_id, h, text): what documents are ordered by, descending by id, those without an id last; of
+    equal ids the smaller text hash comes first. Rows equal in both are equal texts of one id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"),
-        F.monotonically_increasing_id().alias("row"), text.alias("text"),
-    )
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def sort_key(doc_id: int | None, h: int, row: int) -> tuple:
-    """Descending by id, those without an id last."""
-    return (doc_id is None, -(doc_id or 0), h, row)
+def sort_key(doc_id: int | None, h: int) -> tuple:
+    return (doc_id is None, -(doc_id or 0), h)
 
 
-def range_starts(rows: DataFrame, ranges: int) -> list[tuple]:
-    """The first key of each of about ``ranges`` ranges of equal size, in order: only keys are shuffled,
-    and one key for each range comes to the driver."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("row")]
-    dealt = rows.select("doc_id", "h", "row").repartitionByRange(ranges, *order)
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), (-F.col("doc_id")).alias("down"), "h", "row"))
+def range_starts(rows: DataFrame, ranges: int) -> tuple[list[tuple], dict[tuple, int]]:
+    """The first key of each of about ``ranges`` ranges of equal size, in order, and the keys of more rows
+    than such a range with their counts. Only keys are shuffled, counted before; what comes to the driver
+    is one key for each range and as many frequent ones at most."""
+    counts = lasting(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "key_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") > max(MANY, total // ranges)).collect()
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    dealt = counts.select("doc_id", "h").repartitionByRange(ranges, *order)
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), (-F.col("doc_id")).alias("down"), "h"))
     found = dealt.groupBy(F.spark_partition_id().alias("part")).agg(first.alias("f")).collect()
-    return sorted((r.f.none, r.f.down or 0, r.f.h, r.f.row) for r in found)
+    forgotten(counts)
+    return sorted((r.f.none, r.f.down or 0, r.f.h) for r in found), {sort_key(r.doc_id, r.h): r.n for r in often}
 
 
-def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents by range of descending id, sorted, each range followed by the first document of the
-    next (``tail``), the last one by the very first: so every document has its successor beside it.
-    Each text is shuffled once; a range is read as a stream."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = keyed(docs, id_col, text_col)
-    starts = range_starts(rows, RANGES * n)
+def in_ranges(rows: DataFrame, starts: list[tuple], often: dict[tuple, int]) -> DataFrame:
+    """Documents by range, sorted, each range followed by the first document of the next (``tail``), the
+    last one by the very first: so every document has its successor beside it. Each text is shuffled
+    once, of a frequent one a copy for each task; a range is read as a stream."""
+    n = partitions(rows.sparkSession)
     before = {key: (i - 1) % len(starts) for i, key in enumerate(starts)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
-            keys = [sort_key(*k) for k in zip(*(batch.column(c).to_pylist() for c in range(3)))]
-            own = [bisect.bisect_right(starts, key) - 1 for key in keys]
-            extra = [i for i, key in enumerate(keys) if key in before]
-            take = pa.array([*range(len(keys)), *extra], pa.int64())
-            part = pa.array([*own, *(before[keys[i]] for i in extra)], pa.int32())
-            tail = pa.array([False] * len(keys) + [True] * len(extra), pa.bool_())
-            yield pa.RecordBatch.from_arrays([part, tail, *batch.take(take).columns], names=["part", "tail", *batch.schema.names])
-
-    dealt = rows.mapInArrow(deal, "part int, tail boolean, doc_id bigint, h bigint, row bigint, text string")
-    order = ["part", "tail", F.col("doc_id").desc_nulls_last(), "h", "row"]
-    return dealt.repartition(n, "part").sortWithinPartitions(*order).select("part", "tail", "doc_id", "text")
+            keys = [sort_key(*k) for k in zip(*(batch.column(c).to_pylist() for c in range(2)))]
+            main = []
+            for i, key in enumerate(keys):
+                if key in often:
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                main.append(i)
+            extra = [i for i in main if keys[i] in before]
+            part = [bisect.bisect_right(starts, keys[i]) - 1 for i in main] + [before[keys[i]] for i in extra]
+            tail = pa.array([False] * len(main) + [True] * len(extra), pa.bool_())
+            taken = batch.take(pa.array([*main, *extra], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), tail, *taken.columns], names=["part", "tail", *batch.schema.names])
+
+    dealt = rows.mapInArrow(deal, "part int, tail boolean, doc_id bigint, h bigint, text string")
+    order = ["part", "tail", F.col("doc_id").desc_nulls_last(), "h", "text"]
+    return dealt.repartition(n, "part").sortWithinPartitions(*order)
 
 
 def beside_next(docs: DataFrame, each: Callable, names: list[str], kinds: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``each()`` gives a function of (text, next text, a store of its own) for every document; rows (doc_id, *names).
+    """Rows (doc_id, *names) for every document: what the function that ``each()`` gives makes of its text
+    and the next one's.
 
     The next document is that of the next smaller id, after the last the first. Rows without an id come
-    last; rows of one id are ordered by a hash of their text. A single row is its own next. The table has
-    to give the same rows when it is read again, as tables do.
+    last; rows of one id are ordered by a hash of their text, so a row that is there several times is
+    its own next but for the last of them. A single row is its own next. Results of a text that more
+    rows share than a range holds are worked out once and repeated.
     """
+    rows = keyed(docs, id_col, text_col)
+    starts, often = range_starts(rows, RANGES * partitions(docs.sparkSession))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn, held = each(), None
         for batch in batches:
-            ids, done = [], []
-            for part, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            done: list[tuple] = []
+            for part, tail, doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                key = sort_key(doc_id, h)
                 if held is not None and held[0] == part:
-                    ids.append(held[1])
-                    done.append(fn(held[2], text))
-                held = None if tail else (part, doc_id, text)
-            columns = [*zip(*done)] if done else [()] * len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, arrow))], names=["doc_id", *names]
-            )
-
-    arrow = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}[k] for k in kinds.split()]
-    shape = ", ".join(["doc_id bigint", *(f"{n} {k}" for n, k in zip(names, kinds.split()))])
-    return in_ranges(docs, id_col, text_col).mapInArrow(work, shape)
+                    if key in often and key == held[1] and not tail:
+                        continue  # the copy of another task
+                    if held[1] in often:
+                        done.append((held[2], often[held[1]] - 1, *fn(held[3], held[3])))
+                    done.append((held[2], 1, *fn(held[3], text)))
+                held = None if tail else (part, key, doc_id, text)
+            columns = [*zip(*done)] if done else [()] * (len(names) + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow)], names=["doc_id", "_rows", *names])
+
+    known = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
+    arrow = [pa.int64(), pa.int64(), *(known[k] for k in kinds.split())]
+    shape = ", ".join(["doc_id bigint, _rows bigint", *(f"{n} {k}" for n, k in zip(names, kinds.split()))])
+    out = in_ranges(rows, starts, often).mapInArrow(work, shape)
+    if not often:
+        return out.drop("_rows")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows"))).drop("_rows", "_copy")
 
 
 def edited_end(text: str, following: str) -> str:

@@ -98,10 +98,11 @@ def want(data, hashes):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("parts", [1, 5, 8])
-def test_the_query_over_all_kinds_of_rows(spark, parts):
+@pytest.mark.parametrize("parts, many", [(1, 1000), (5, 1000), (8, 2), (8, 1)])
+def test_the_query_over_all_kinds_of_rows(spark, parts, many, monkeypatch):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(fp, "MANY", many)
     data = rows()
     df = spark.createDataFrame([(i, t, 1, "tail", 2) for i, t in data], "doc_id bigint, text string, h int, tail string, part int")
     hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
