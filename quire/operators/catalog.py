@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import text as tx
 from quire.plans import scale
 from quire.sources.corpus import READABLE_FORMATS
@@ -136,25 +137,93 @@ def unique_names(items: DataFrame, order: str) -> DataFrame:
     )
 
 
-def hierarchy_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Full path of every node of a table ``(id, parent, name)``.
+def _doubled(rows: DataFrame, rounds: int, text: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Walk up from every node of ``rows`` (id, up, path, levels), twice as far each round.
 
-    Walks up from every node at once, one level per step; a node met before on the way ends the
-    walk, so a cycle cannot run on.
+    A row holds what lies from the node to just before ``up``; joined with the row of ``up`` it holds
+    both halves. Rows that have reached the top (``up`` is null) leave the work. Returned are these, a
+    table a round, and what is still open after ``rounds``.
     """
-    view = f"quire_nodes_{uuid.uuid4().hex}"
-    nodes.select("id", "parent", "name").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, parent, path, seen, top) MAX RECURSION LEVEL 1000 AS (
-          SELECT id, parent, name, array(id), parent IS NULL FROM {view}
-          UNION ALL
-          SELECT u.id, n.parent, concat(n.name, '/', u.path), array_append(u.seen, n.id),
-                 n.parent IS NULL
-          FROM up u JOIN {view} n ON n.id = u.parent
-          WHERE NOT array_contains(u.seen, n.id)
+    rows = session.written(rows, "hierarchy_walk")
+    done, still = [rows.where("up IS NULL")], rows.where("up IS NOT NULL")
+    for _ in range(rounds):
+        if still.isEmpty():
+            break
+        halves = functools.reduce(DataFrame.unionByName, [still, *done])
+        halves = halves.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("levels").alias("_levels"))
+        path = F.concat("_path", F.lit("/"), "path") if text else F.col("path")
+        met = still.join(halves, F.col("up") == F.col("_id")).select(
+            "id", F.col("_up").alias("up"), path.alias("path"), (F.col("levels") + F.col("_levels")).alias("levels")
         )
-        SELECT id, max_by(path, size(seen)) AS path, max(size(seen)) AS levels FROM up GROUP BY id
-    """)
+        met = session.written(met, "hierarchy_walk")
+        done.append(met.where("up IS NULL"))
+        still = met.where("up IS NOT NULL")
+    return done, still
+
+
+def _cycle_paths(nodes: DataFrame, on_cycle: DataFrame, rounds: int, text: bool) -> DataFrame:
+    """(id, up, path, levels) of nodes on a cycle: once around it, up to the node itself.
+
+    A cycle is cut above its least id. From there down every node has a distance, and the walk up from
+    a node is first the nodes at smaller distances, then those at larger ones.
+    """
+    ring = session.written(nodes.join(on_cycle, "id").select("id", "up", "name"), "hierarchy_ring")
+    least = ring.select("id", "up", F.col("id").alias("leader"))
+    for _ in range(rounds):
+        other = least.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("leader").alias("_leader"))
+        met = least.join(other, F.col("up") == F.col("_id"))
+        least = session.written(met.select("id", F.col("_up").alias("up"), F.least("leader", "_leader").alias("leader")), "hierarchy_least")
+    leaders = least.select("id", "leader")
+    cut = ring.join(leaders, "id").withColumn("up", F.when(F.col("id") != F.col("leader"), F.col("up")))
+    walked, _ = _doubled(cut.select("id", "up", F.lit("").alias("path"), F.lit(1).cast("bigint").alias("levels")), rounds, False)
+    at = functools.reduce(DataFrame.unionByName, walked).select("id", F.col("levels").alias("at"))
+    placed = session.written(ring.join(leaders, "id").join(at, "id").select("id", "leader", "name", "at"), "hierarchy_placed")
+    if text:  # a path names the whole cycle, so a row with all its names is no larger than a row of the result
+        around = placed.groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("_all"))
+    else:
+        around = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("_all"))
+    size = F.size("_all").cast("bigint") if text else F.col("_all")
+    here = F.col("at").cast("int")
+    path = F.array_join(F.concat(F.slice("_all", here + 1, F.size("_all")), F.slice("_all", F.lit(1), here)), "/") if text else F.lit("")
+    return placed.join(around, "leader").select("id", F.lit(None).cast("bigint").alias("up"), path.alias("path"), size.alias("levels"))
+
+
+def hierarchy_paths(spark: SparkSession, nodes: DataFrame, text: bool = True) -> DataFrame:
+    """(id, path, levels) of every node of a table ``(id, parent, name)``, ids whole numbers: its full path
+    and the number of names in it; without ``text`` the path is left empty and only levels are counted.
+
+    Pointer doubling: every round joins half paths to paths twice as long, so a tree of any depth takes
+    the logarithm of its depth in rounds, and each round is a written table. A parent that is not in the
+    table counts as none. What is still open after as many rounds as the table can be deep leads to a
+    cycle: its nodes are those the walks ended at. They are walked once around and then count as the tops
+    of the trees below them. A node met before ends a walk, so a node on a cycle of n has n levels. Of rows that
+    repeat an id the one of least name counts.
+    """
+    first = F.min_by(F.struct("parent", "name"), F.struct(F.coalesce("name", F.lit("")), F.coalesce("parent", F.lit(-1))))
+    one = nodes.where("id IS NOT NULL").groupBy(F.col("id").cast("bigint").alias("id")).agg(first.alias("_n"))
+    one = one.select("id", F.col("_n.parent").cast("bigint").alias("parent"), F.coalesce("_n.name", F.lit("")).alias("name"))
+    one = session.written(one, "hierarchy_nodes")
+    known = one.select(F.col("id").alias("up"))
+    linked = one.where("parent IS NOT NULL").join(known, F.col("parent") == F.col("up")).select("id", "up", "name")
+    tops = one.join(linked.select("id"), "id", "left_anti").select("id", F.lit(None).cast("bigint").alias("up"), "name")
+    rows = session.written(linked.unionByName(tops), "hierarchy_rows")
+    rounds = max(1, rows.count().bit_length())
+
+    def start(df: DataFrame, named: bool) -> DataFrame:
+        return df.select("id", "up", (F.col("name") if named else F.lit("")).alias("path"), F.lit(1).cast("bigint").alias("levels"))
+
+    # numbers first: on a cycle texts would double with every round
+    done, still = _doubled(start(rows, False), rounds, False)
+    ring = None
+    if not still.isEmpty():
+        on_cycle = session.written(still.select(F.col("up").alias("id")).distinct(), "hierarchy_cycle")
+        ring = session.written(_cycle_paths(rows, on_cycle, rounds, text), "hierarchy_ring_paths")
+    if text or ring is not None:
+        trees = start(rows, text)
+        if ring is not None:
+            trees = trees.join(ring.select("id"), "id", "left_anti").unionByName(ring)
+        done, _ = _doubled(trees, rounds, text)
+    return functools.reduce(DataFrame.unionByName, done).select("id", "path", "levels")
 
 
 def reject_reason() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire import session
 from quire.functions import text as tx
 from quire.operators import catalog as cat
 from quire.operators import glossary as gl
@@ -14,7 +15,7 @@ from quire.oracles import base as o
 from quire.oracles import tables  # noqa: F401 - registers the views
 from quire.plans import stages
 from quire.plans.queries_memory import pinned_terms
-from quire.sources import derived
+from quire.sources import derived, files
 from quire.sources.corpus import json_rows_tolerant, table
 
 QUERIES: dict = {}
@@ -150,12 +151,23 @@ def import_triage(spark, sf):
     return cat.import_triage(items).select("doc_id", "reject_reason")
 
 
-@query("export_nested")
+PAGE_JSON = """index bigint, title string, images bigint,
+  blocks array<struct<block_index:bigint,kind:string,reason:string,text:string,sentences:array<string>,box:array<double>>>"""
+
+
+@query(
+    "export_nested",
+    f"""SELECT deck_id, page_index, coalesce(arg_min(text, block_index) FILTER (kind = 'title'), '') AS title,
+          max(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS images, count(*) AS blocks, sum(len(parts))::BIGINT AS sentences,
+          sha256(string_agg(concat_ws(chr(31), kind, reason, text, array_to_string(parts, chr(30)),
+            round(x * 1e4)::BIGINT, round(y * 1e4)::BIGINT, round(w * 1e4)::BIGINT), chr(29) ORDER BY block_index)) AS digest
+        FROM (SELECT *, {o.segment('text')} AS parts FROM rescued) GROUP BY 1, 2""",
+    "rescued",
+)
 def export_nested(spark, sf):
-    """One JSON document per page of a deck; a deck's pages stay rows, as a deck has no bound."""
-    sentences = F.transform(tx.segment("text"), lambda s: s)
+    """Decks written as one JSON document each, pages and blocks and sentences, and read again page by page."""
     block = F.struct(
-        "block_index", "kind", "reason", "text", sentences.alias("sentences"), F.array("x", "y", "w", "h").alias("box")
+        "block_index", "kind", "reason", "text", tx.segment("text").alias("sentences"), F.array("x", "y", "w", "h").alias("box")
     )
     c = stages.classified(spark, sf)
     title = F.min_by(F.when(F.col("kind") == "title", F.col("text")), F.when(F.col("kind") == "title", F.col("block_index")))
@@ -163,7 +175,22 @@ def export_nested(spark, sf):
         F.coalesce(title, F.lit("")).alias("title"), F.max(F.size("page_images")).alias("images"),
         F.array_sort(F.collect_list(block)).alias("blocks"),
     )
-    return pages.select("deck_id", "page_index", F.to_json(F.struct(F.col("page_index").alias("index"), "title", "images", "blocks")).alias("json"))
+    text = F.to_json(F.struct(F.col("page_index").alias("index"), "title", "images", "blocks"))
+    folder = session.work_path(spark, "exported")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files.export_decks(session.written(pages.select("deck_id", "page_index", text.alias("json")), "pages"), folder, tasks)
+    read = files.read_exported(spark, folder, PAGE_JSON)
+    box = lambda b, i: F.round(b["box"][i] * 1e4).cast("bigint").cast("string")
+    lines = F.transform(
+        "page.blocks",
+        lambda b: F.concat_ws("\u001f", b["kind"], b["reason"], b["text"], F.array_join(b["sentences"], "\u001e"), box(b, 0), box(b, 1), box(b, 2)),
+    )
+    return read.select(
+        F.col("deck").alias("deck_id"), F.col("page.index").alias("page_index"), "page.title", "page.images",
+        F.size("page.blocks").cast("bigint").alias("blocks"),
+        F.aggregate("page.blocks", F.lit(0).cast("bigint"), lambda n, b: n + F.size(b["sentences"])).alias("sentences"),
+        F.sha2(F.array_join(lines, "\u001d"), 256).alias("digest"),
+    )
 
 
 _HTML = "html"

@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import text as tx
 from quire.operators import classify as cl
 from quire.operators import model
 from quire.operators import segmentation as sg
 from quire.oracles import base as o
 from quire.plans import stages
-from quire.sources import views
+from quire.sources import files, views
 from quire.sources.corpus import table
 
 QUERIES: dict = {}
@@ -39,6 +40,25 @@ def scan_corpus(spark, sf):
     )
 
 
+@query(
+    "scan_files",
+    f"""SELECT 'd' || doc_id % 16 || '/' || doc_id || '.' || ending AS path, ending AS format,
+          CASE WHEN ending <> 'key' THEN length(t) END AS chars, CASE WHEN ending <> 'key' THEN {o.content_id('t')} END AS content_id,
+          CASE WHEN ending = 'key' THEN 'unsupported format' END AS error
+        FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t,
+                CASE WHEN doc_id % 50 = 7 THEN 'key' ELSE (['md', 'txt', 'markdown'])[doc_id % 3 + 1] END AS ending FROM documents)""",
+)
+def scan_files(spark, sf):
+    """The documents laid down as files of several formats, one of them not known, and read by format."""
+    n = F.col("doc_id")
+    ending = F.when(n % 50 == 7, "key").otherwise(F.element_at(F.array(*map(F.lit, ("md", "txt", "markdown"))), (n % 3 + 1).cast("int")))
+    name = F.concat(F.lit("d"), (n % 16).cast("string"), F.lit("/"), n.cast("string"), F.lit("."), ending)
+    folder = session.work_path(spark, "decks")
+    files.write_decks(table(spark, sf, "documents").select(name.alias("path"), "text"), folder)
+    read = files.read_decks(spark, folder)
+    return read.select("path", "format", F.length("text").cast("bigint").alias("chars"), tx.content_id("text").alias("content_id"), "error")
+
+
 @query("content_id", f"SELECT doc_id, {o.content_id('text')} AS content_id FROM documents")
 def content_id(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.content_id("text").alias("content_id"))
