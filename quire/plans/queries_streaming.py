@@ -10,7 +10,7 @@ from quire.oracles import base as o
 from quire.oracles import tables  # noqa: F401 - registers the views
 from quire.sources import derived
 from quire.sources.corpus import table
-from quire.streaming import feeds
+from quire.streaming import decks, feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,29 @@ def stream_page_state(spark, sf):
     return feeds.run_to_end(spark, feeds.page_state(feed, ["deck", "page"], "event_id"), ["deck", "page"], "pages")
 
 
+@query(
+    "stream_deck_sync",
+    """WITH snaps AS (SELECT user_id AS deck, event_id AS seq FROM events WHERE event_id % 97 = 5),
+       pages AS (
+         SELECT user_id AS deck, event_type AS page, event_id AS seq, props AS body FROM events WHERE event_id % 97 <> 5
+         UNION ALL SELECT deck, unnest(['click', 'extra']), seq, 'snapshot ' || seq FROM snaps)
+       SELECT deck::VARCHAR AS deck, page, max(seq) AS seq, arg_max(coalesce(body, chr(0)), seq) AS body FROM pages
+       WHERE seq >= coalesce((SELECT max(s.seq) FROM snaps s WHERE s.deck = pages.deck), -1) GROUP BY 1, 2""",
+)
+def stream_deck_sync(spark, sf):
+    """Decks of users: most events carry a page, some are snapshots of two pages that replace all others."""
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("deck"), F.col("event_type").alias("page"), F.col("event_id").alias("seq"),
+        F.timestamp_seconds(F.lit(derived.EPOCH) + F.col("event_id")).alias("at"), F.col("props").alias("body"),
+    )
+    whole = F.col("seq") % 97 == 5
+    text = F.concat(F.lit("snapshot "), F.col("seq").cast("string"))
+    held = F.array(*(F.struct(F.lit(p).alias("page"), text.alias("body")) for p in ("click", "extra")))
+    feed = as_feed(spark, decks.events(rows.where(~whole), rows.where(whole).select("deck", "seq", "at", held.alias("pages"))), "decks")
+    state = feeds.run_to_end(spark, decks.deck_changes(feed), ["deck", "page"], "decks")
+    return state.where("NOT gone").select("deck", "page", "seq", F.coalesce("body", F.lit("\u0000")).alias("body"))
+
+
 @query(
     "stream_glossary",
     f"""SELECT {o.fold(o.strip('term'))} AS term, arg_min({o.strip('translation')}, seq) AS translation, min(seq) AS first_seq, count(*) AS count

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import session
+from quire.streaming.decks import ROCKS
 
 
 def page_state(events: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -47,6 +48,7 @@ def run_to_end(spark: SparkSession, state: DataFrame, keys: Sequence[str], name:
 
     The checkpoint and the change log go to the shared folder.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # state off the heap
     out = session.work_path(spark, f"{name}-changes")
 
     def write(changes: DataFrame, batch: int) -> None:

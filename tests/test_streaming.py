@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import datetime
+
+from pyspark.sql import functions as F
+
 from quire import session
-from quire.streaming import feeds
+from quire.streaming import decks, feeds
 
 
 def feed(spark, rows, ddl, name):
@@ -24,3 +28,53 @@ def test_first_rendering_is_by_event_order(spark):
     state = feeds.glossary_state(feed(spark, rows, "seq int, term string, translation string", "terms"))
     got = {r.term: (r.translation, r["count"]) for r in feeds.run_to_end(spark, state, ["term"], "terms").collect()}
     assert got == {"key": ("first", 2), "row": ("r", 2)}
+
+
+def at(seconds):
+    return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
+
+
+PAGES = "deck string, page string, seq bigint, at timestamp, body string"
+SNAPSHOTS = "deck string, seq bigint, at timestamp, pages array<struct<page:string,body:string>>"
+
+
+def deck_feed(spark, batches, slots=4):
+    """One file a batch, each of page events and snapshots."""
+    path = session.work_path(spark, "decks")
+    for pages, snapshots in batches:
+        rows = decks.events(spark.createDataFrame(pages, PAGES), spark.createDataFrame(snapshots, SNAPSHOTS), slots)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return feeds.read_feed(spark, path, rows.schema, files_per_batch=1)
+
+
+def final(spark, feed, keep=None):
+    done = feeds.run_to_end(spark, decks.deck_changes(feed, keep), ["deck", "page"], "decks").where("NOT gone")
+    return {(r.deck, r.page): (r.seq, r.body) for r in done.collect()}
+
+
+def test_a_late_or_repeated_snapshot_and_replayed_pages_change_nothing(spark):
+    pages = [("d", f"p{i}", i, at(i), f"old {i}") for i in range(6)]
+    snapshot = ("d", 10, at(10), [("p1", "snap"), ("p9", "snap")])
+    later = [("d", "p1", 12, at(12), "new"), ("d", "p3", 11, at(11), None)]
+    early = ("d", 3, at(3), [("p0", "early"), ("p5", "early")])
+    want = {("d", "p1"): (12, "new"), ("d", "p9"): (10, "snap"), ("d", "p3"): (11, None), ("e", "x"): (1, "other")}
+    other = [("e", "x", 1, at(1), "other")]
+    orders = [
+        [(pages, []), (other, [snapshot]), (later, [])],  # as it happened
+        [(later, []), (other, [snapshot]), (pages, []), ([], [early]), (pages, [snapshot])],  # late, repeated, replayed
+    ]
+    for batches in orders:
+        assert final(spark, deck_feed(spark, batches)) == want
+
+
+def test_decks_without_events_are_dropped_by_a_timer(spark):
+    batches = [([("old", "a", 1, at(0), "x"), ("new", "b", 2, at(0), "y")], [])]
+    batches += [([("new", "b", 2 + i, at(100 * i), f"y{i}")], []) for i in range(1, 6)]
+    assert final(spark, deck_feed(spark, batches), keep=150_000) == {("new", "b"): (7, "y5")}
+    assert ("old", "a") in final(spark, deck_feed(spark, batches))
+
+
+def test_a_hot_deck_is_spread_over_slots(spark):
+    rows = spark.range(1000).select(F.lit("hot").alias("deck"), F.col("id").cast("string").alias("page"), F.col("id").alias("seq"), F.lit(at(0)).alias("at"), F.lit("b").alias("body"))
+    slots = decks.events(rows, spark.createDataFrame([("hot", 500, at(1), [])], SNAPSHOTS)).groupBy("slot").count().collect()
+    assert len(slots) == decks.SLOTS and max(r["count"] for r in slots) < 120
