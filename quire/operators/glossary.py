@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import text as tx
 from quire.operators import catalog as cat
 from quire.plans import scale
@@ -68,11 +69,11 @@ def ordered(glossary: DataFrame) -> DataFrame:
     return glossary.orderBy(*prompt_order())
 
 
-def top_terms(terms: DataFrame, by: str, order: Sequence[Column], limit: int) -> DataFrame:
-    """The first ``limit`` terms of each group. Every task keeps its own first ones before the
-    shuffle, so a group with most of the rows is no burden."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return terms.withColumn("_rank", rank).where(F.col("_rank") <= limit)
+def top_terms(terms: DataFrame, by: str, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The terms of each group ranked, all of them or the first ``limit``: then every task keeps its own
+    first ones before the shuffle, so a group with most of the rows is no burden."""
+    ranked = terms.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked if limit is None else ranked.where(F.col("_rank") <= limit)
 
 
 def prompt_lines(ranked: DataFrame, by: str) -> DataFrame:
@@ -81,12 +82,12 @@ def prompt_lines(ranked: DataFrame, by: str) -> DataFrame:
     return ranked.groupBy(by).agg(F.array_join(lines, "\n").alias("terms"))
 
 
-def prompt_terms(resolved: DataFrame, limit: int = 60) -> DataFrame:
+def prompt_terms(resolved: DataFrame, limit: int | None = None) -> DataFrame:
     """The terms of a scope as a prompt shows them."""
     return prompt_lines(top_terms(resolved, "leaf", resolved_order(), limit), "leaf")
 
 
-def scope_terms(glossary: DataFrame, limit: int = 60) -> DataFrame:
+def scope_terms(glossary: DataFrame, limit: int | None = None) -> DataFrame:
     """The same for glossaries that stand alone, one per scope."""
     return prompt_lines(top_terms(glossary, "scope", prompt_order(), limit), "scope")
 
@@ -105,18 +106,78 @@ def resolve_scoped(leaves: DataFrame, glossary: DataFrame) -> DataFrame:
     )
 
 
-def scoped_observe(current: DataFrame, resolved: DataFrame, proposals: DataFrame) -> DataFrame:
+def broader(rows: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(scope, term, over_scope, over_translation): for each (scope, term) what applies from the nearest
+    broader scope that holds the term; rows without one are left out.
+
+    A row meets the terms of the scopes above it by equality of scope and term, so the work grows with
+    the rows and the depth of their scopes, not with scopes times terms."""
+    above = cat.scope_chain(rows.select("scope", "term").distinct().withColumnRenamed("scope", "_own"), "_own").where("scope <> _own")
+    held = glossary.select("scope", "term", "translation")
+    nearest = F.max_by(F.struct("scope", "translation"), "scope_depth").alias("_n")
+    met = above.join(held, ["scope", "term"]).groupBy(F.col("_own").alias("_scope"), "term").agg(nearest)
+    return met.select(F.col("_scope").alias("scope"), "term", F.col("_n.scope").alias("over_scope"), F.col("_n.translation").alias("over_translation"))
+
+
+def scope_layers(glossary: DataFrame) -> DataFrame:
+    """The glossaries of all scopes as one table of the same number of rows: every own term with the
+    broader one it overrides, if any. What applies in a scope are its own rows and those of the scopes
+    above that no narrower one overrides."""
+    return glossary.join(broader(glossary, glossary), ["scope", "term"], "left")
+
+
+def revealed(glossary: DataFrame, removed: DataFrame) -> DataFrame:
+    """(scope, term, over_scope, over_translation) for every term taken out of a scope: what applies there
+    afterwards, null where nothing does. ``removed`` is (scope, term)."""
+    gone = removed.select("scope", term_key().alias("term")).distinct()
+    return gone.join(broader(gone, unset(glossary, gone, ["scope"])), ["scope", "term"], "left")
+
+
+def scope_tree(scopes: DataFrame) -> DataFrame:
+    """(scope, enter, leave) of all scopes and those above them: numbers of a tour of the tree, in which the
+    scopes inside a scope are those numbered from ``enter`` to ``leave``."""
+    chains = cat.scope_chain(scopes.select("scope").distinct().withColumnRenamed("scope", "_leaf"), "_leaf")
+    every = chains.select("scope").distinct()
+    # a scope comes right before what it holds
+    toured = scale.global_rank(every.withColumn("_key", F.replace("scope", F.lit("/"), F.lit("\u0001"))), ["_key"], "enter")
+    inside = cat.scope_chain(every.withColumnRenamed("scope", "_leaf"), "_leaf").groupBy("scope").agg(F.count(F.lit(1)).alias("_held"))
+    return toured.join(inside, "scope").select("scope", "enter", (F.col("enter") + F.col("_held") - 1).alias("leave"))
+
+
+def scope_counts(scopes: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(scope, own, inherited): how many terms of its own and of broader scopes apply in each scope.
+
+    A term counts from the broadest scope that holds it, for all scopes inside: it comes in where that
+    scope is entered in the tour of the tree and goes out behind it, and a running total along the tour
+    is the number of terms that apply. No scope meets the terms of another.
+    """
+    tree = session.written(scope_tree(scopes.select("scope").union(glossary.select("scope"))), "scope_tree")
+    layers = scope_layers(glossary).groupBy("scope").agg(
+        F.count(F.lit(1)).alias("own"), F.count_if(F.col("over_scope").isNull()).alias("_fresh")
+    )
+    placed = session.written(tree.join(layers, "scope", "left").fillna(0, ["own", "_fresh"]), "scope_layers")
+    come = placed.select(F.col("enter").alias("at"), F.col("_fresh").alias("v"))
+    go = placed.select((F.col("leave") + 1).alias("at"), (-F.col("_fresh")).alias("v"))
+    steps = come.unionByName(go).groupBy("at").agg(F.sum("v").alias("v")).withColumn("tour", F.lit(0))
+    total = scale.sharded_running_total(steps, ["tour"], "at", "v", "_before").select("at", (F.col("_before") + F.col("v")).alias("_all"))
+    wanted = placed.join(scopes.select("scope").distinct(), "scope", "left_semi")
+    return wanted.join(total, F.col("enter") == F.col("at")).select("scope", "own", (F.col("_all") - F.col("own")).alias("inherited"))
+
+
+def scoped_observe(current: DataFrame, proposals: DataFrame) -> DataFrame:
     """Proposals made in a folder land in that folder's glossary, unless the term applies there
     already; a known term is not counted again. ``proposals`` carries ``leaf``."""
     keyed = proposals.withColumn("term", term_key())
-    fresh = keyed.join(resolved.select("leaf", "term"), ["leaf", "term"], "left_anti").withColumnRenamed("leaf", "scope")
+    asked = keyed.select("leaf", "term").distinct()
+    known = cat.scope_chain(asked, "leaf").join(current.select("scope", "term"), ["scope", "term"], "left_semi")
+    fresh = keyed.join(known.select("leaf", "term").distinct(), ["leaf", "term"], "left_anti").withColumnRenamed("leaf", "scope")
     return observe(current, fresh, ["scope"])
 
 
-def own_vs_inherited(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("leaf").agg(
-        F.count_if(~F.col("inherited")).alias("own"), F.count_if("inherited").alias("inherited")
-    )
+def own_vs_inherited(leaves: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Own and inherited terms of every folder in which a term applies."""
+    counts = scope_counts(leaves.select(F.col("folder").alias("scope")), glossary)
+    return counts.where("own + inherited > 0").withColumnRenamed("scope", "leaf")
 
 
 def affected_decks(homes: DataFrame, edited: DataFrame, hits: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.plans import scale
+from quire.sources import files
 from quire.sources.views import PAGE
 
 UNIT = ["deck_id", "page_index", "block_index", "sent_index"]
@@ -68,39 +69,59 @@ def select_range(units: DataFrame, ranges: DataFrame) -> DataFrame:
     return inside.select("range_id", "deck_id", "key").unionByName(lone)
 
 
-def copy_text(chosen: DataFrame) -> DataFrame:
-    """Selected sentences as text: neighbours rejoined into paragraphs, a blank line between.
+def copied_paragraphs(chosen: DataFrame) -> DataFrame:
+    """(selection_id, position, source, target): selected neighbours rejoined into paragraphs, each at the
+    position of its first sentence.
 
-    ``chosen`` has ``selection_id`` and ``position``. A paragraph ends with its block or page, or
-    at a gap in the selection. Source sentences are joined with a space, translations with nothing.
+    A paragraph ends with its block or page, or at a gap in the selection, so it never leaves a block, and
+    neighbours are looked for there: a selection of a whole deck is as many groups as it has blocks.
+    Source sentences are joined with a space, translations with nothing.
     """
-    w = Window.partitionBy("selection_id").orderBy("position")
-    same = (
-        (F.lag("deck_id").over(w) == F.col("deck_id")) & (F.lag("page_index").over(w) == F.col("page_index"))
-        & (F.lag("block_index").over(w) == F.col("block_index")) & (F.lag("sent_index").over(w) + 1 == F.col("sent_index"))
-    )
-    marked = chosen.withColumn("_new", F.when(same, 0).otherwise(1))
-    numbered = marked.withColumn("_para", F.sum("_new").over(w))
+    w = Window.partitionBy("selection_id", *UNIT[:3]).orderBy("sent_index")
+    # sentences in a row keep their distance from the row's number
+    island = F.col("sent_index") - F.row_number().over(w)
 
     def joined(value: Column, by: str) -> Column:
         parts = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("position", value.alias("t")))))
         return F.array_join(F.transform(parts, lambda p: p["t"]), by)
 
     target = F.when(F.coalesce(F.col("translation"), F.lit("")) != "", tx.strip("translation"))
-    paragraphs = numbered.groupBy("selection_id", "_para").agg(
-        joined(tx.strip("text"), " ").alias("_src"), joined(target, "").alias("_dst")
-    )
-    both = F.when(F.col("_dst") != "", F.concat("_src", F.lit("\n"), "_dst")).otherwise(F.col("_src"))
+    return chosen.withColumn("_island", island).groupBy("selection_id", *UNIT[:3], "_island").agg(
+        F.min("position").alias("position"), joined(tx.strip("text"), " ").alias("source"), joined(target, "").alias("target")
+    ).select("selection_id", "position", "source", "target")
+
+
+def _laid_out(order: str, value: Column) -> Column:
+    parts = F.array_sort(F.collect_list(F.when(value != "", F.struct(order, value.alias("t")))))
+    return F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")
 
-    def laid_out(value: Column) -> Column:
-        parts = F.array_sort(F.collect_list(F.when(value != "", F.struct("_para", value.alias("t")))))
-        return F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")
 
-    return paragraphs.groupBy("selection_id").agg(
-        laid_out(F.col("_src")).alias("source"), laid_out(F.col("_dst")).alias("target"), laid_out(both).alias("both")
+def copy_parts(chosen: DataFrame, span: int = scale.SPAN) -> DataFrame:
+    """(selection_id, part, source, target, both): the copied text of a selection of any size in ordered
+    parts of at most ``span`` positions, paragraphs with a blank line between. The parts that are not
+    empty, in order and with a blank line between, are the whole text."""
+    paragraphs = copied_paragraphs(chosen)
+    both = F.when(F.col("target") != "", F.concat("source", F.lit("\n"), "target")).otherwise(F.col("source"))
+    return paragraphs.groupBy("selection_id", scale.shard_of("position", span).alias("part")).agg(
+        _laid_out("position", F.col("source")).alias("source"), _laid_out("position", F.col("target")).alias("target"),
+        _laid_out("position", both).alias("both"),
     )
 
 
+def copy_text(chosen: DataFrame) -> DataFrame:
+    """Selected sentences as one text for each selection, in the three ways of :func:`copy_parts`. The row
+    holds the whole text; larger selections are better left in parts, or written by :func:`save_copied`."""
+    texts = [_laid_out("part", F.col(c)).alias(c) for c in ("source", "target", "both")]
+    return copy_parts(chosen).groupBy("selection_id").agg(*texts)
+
+
+def save_copied(parts: DataFrame, folder: str, mode: str = "both") -> None:
+    """Parts as text files ``<selection>/part-<number>.txt`` below ``folder``; put together in the order of
+    their names they are the copied text."""
+    name = F.concat(F.url_encode(F.col("selection_id").cast("string")), F.lit("/part-"), F.lpad(F.col("part").cast("string"), 19, "0"), F.lit(".txt"))
+    files.write_decks(parts.where(F.col(mode) != "").select(name.alias("path"), F.concat(mode, F.lit("\n\n")).alias("text")), folder)
+
+
 def page_ranges(pages: str | Column) -> Column:
     """A set of 0-based pages as a reader would write them: ``3、5–8、12``; a run of two is spelled out."""
     col = F.col(pages) if isinstance(pages, str) else pages

@@ -130,7 +130,7 @@ view("glossary", f"""
 SELECT scope, term, arg_min('tr:' || term || ':' || page_id, page_id) AS translation, bool_or(page_id % 11 = 0) AS locked,
   count(*) AS count
 FROM (SELECT page_id, array_to_string(list_slice(string_split(folder, '/'), 1, page_id % 3), '/') AS scope,
-        CASE WHEN page_id % 4 = 0 THEN array_to_string(list_slice(w, 1, 2), ' ') ELSE w[1] END AS term
+        unnest(CASE WHEN page_id % 4 = 0 THEN list_transform(w[:-2], lambda x, i: x || ' ' || w[i + 1]) ELSE w END) AS term
       FROM (SELECT page_id, list_filter(string_split_regex({fold("regexp_extract(html, '<title>([^<]*)', 1)")}, '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM pages)
       JOIN catalog USING (page_id))
 WHERE term <> '' GROUP BY 1, 2

@@ -277,12 +277,11 @@ def glossary_order(spark, sf):
 @query(
     "prompt_terms",
     """SELECT scope, string_agg(term || ' -> ' || translation, chr(10) ORDER BY rn) AS terms FROM (
-         SELECT *, row_number() OVER (PARTITION BY scope ORDER BY locked DESC, count DESC, term) AS rn FROM glossary)
-       WHERE rn <= 60 GROUP BY 1""",
+         SELECT *, row_number() OVER (PARTITION BY scope ORDER BY locked DESC, count DESC, term) AS rn FROM glossary) GROUP BY 1""",
     "glossary",
 )
 def prompt_terms(spark, sf):
-    return gl.scope_terms(derived.glossary(spark, sf), 60)
+    return gl.scope_terms(derived.glossary(spark, sf))
 
 
 def leaves(spark, sf):
@@ -312,8 +311,7 @@ def scoped_observe(spark, sf):
     homes = derived.deck_homes(spark, sf).withColumnRenamed("folder", "leaf")
     g = derived.glossary(spark, sf)
     offered = scale.salted_join(derived.proposals(spark, sf), homes, ["deck_id"], "seq", how="inner")
-    resolved = gl.resolve_scoped(homes.select(F.col("leaf").alias("folder")).distinct(), g)
-    return gl.scoped_observe(g, resolved, offered.select("leaf", "seq", "term", "translation"))
+    return gl.scoped_observe(g, offered.select("leaf", "seq", "term", "translation"))
 
 
 @query(
@@ -334,7 +332,34 @@ def unset_reveals(spark, sf):
     "resolved",
 )
 def own_vs_inherited(spark, sf):
-    return gl.own_vs_inherited(gl.resolve_scoped(leaves(spark, sf), derived.glossary(spark, sf)))
+    return gl.own_vs_inherited(leaves(spark, sf), derived.glossary(spark, sf))
+
+
+@query(
+    "scope_layers",
+    """SELECT g.scope, g.term, any_value(g.translation) AS translation, any_value(g.locked) AS locked, any_value(g.count) AS count,
+         arg_max(b.scope, length(b.scope)) AS over_scope, arg_max(b.translation, length(b.scope)) AS over_translation
+       FROM glossary g LEFT JOIN glossary b ON b.term = g.term AND b.scope <> g.scope AND (b.scope = '' OR starts_with(g.scope, b.scope || '/'))
+       GROUP BY 1, 2""",
+    "glossary",
+)
+def scope_layers(spark, sf):
+    g = session.written(derived.glossary(spark, sf), "glossary")
+    return gl.scope_layers(g).select("scope", "term", "translation", "locked", "count", "over_scope", "over_translation")
+
+
+@query(
+    "unset_terms",
+    """SELECT r.scope, r.term, arg_max(b.scope, length(b.scope)) AS over_scope, arg_max(b.translation, length(b.scope)) AS over_translation
+       FROM (SELECT scope, term FROM glossary WHERE scope <> '' AND locked) r
+       LEFT JOIN (SELECT * FROM glossary WHERE NOT (scope <> '' AND locked)) b
+         ON b.term = r.term AND b.scope <> r.scope AND (b.scope = '' OR starts_with(r.scope, b.scope || '/')) GROUP BY 1, 2""",
+    "glossary",
+)
+def unset_terms(spark, sf):
+    """Pinned terms taken out of every folder: what applies there then."""
+    g = session.written(derived.glossary(spark, sf), "glossary")
+    return gl.revealed(g, g.where("scope <> '' AND locked").select("scope", "term"))
 
 
 @query(

@@ -105,6 +105,30 @@ def copy_text(spark, sf):
     return sel.copy_text(chosen)
 
 
+_PARAGRAPHS = f"""SELECT deck_id, min(position) AS position, string_agg({o.strip('text')}, ' ' ORDER BY position) AS src,
+    coalesce(string_agg({o.strip('translation')}, '' ORDER BY position) FILTER (coalesce(translation, '') <> ''), '') AS dst
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY deck_id ORDER BY position) AS para FROM (
+    SELECT *, CASE WHEN lag(page_index) OVER w = page_index AND lag(block_index) OVER w = block_index
+        AND lag(sent_index) OVER w + 1 = sent_index THEN 0 ELSE 1 END AS fresh
+    FROM chosen WINDOW w AS (PARTITION BY deck_id ORDER BY position))) GROUP BY deck_id, para"""
+
+
+@query(
+    "copy_parts",
+    f"""SELECT deck_id AS selection_id, position // 4096 AS part,
+          coalesce(string_agg(src, chr(10) || chr(10) ORDER BY position) FILTER (src <> ''), '') AS source,
+          coalesce(string_agg(dst, chr(10) || chr(10) ORDER BY position) FILTER (dst <> ''), '') AS target,
+          coalesce(string_agg(CASE WHEN dst <> '' THEN src || chr(10) || dst ELSE src END, chr(10) || chr(10) ORDER BY position), '') AS both
+        FROM ({_PARAGRAPHS}) GROUP BY 1, 2""",
+    "chosen",
+)
+def copy_parts(spark, sf):
+    """Three of four sentences of each whole deck, copied at once."""
+    units = sel.screen_order(session.written(derived.translated(stages.written_sentences(spark, sf)), "translated"))
+    chosen = units.where((F.col("block_index") * 3 + F.col("sent_index")) % 4 != 0)
+    return sel.copy_parts(chosen.withColumn("selection_id", F.col("deck_id")))
+
+
 @query(
     "page_ranges",
     """SELECT request_id, string_agg(CASE WHEN a = b THEN (a + 1)::VARCHAR WHEN b = a + 1 THEN (a + 1) || '、' || (b + 1)

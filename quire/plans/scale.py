@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import session
+
 # Rows of one key that one task ranks. 4096 documents of a few KB are tens of MB.
 SPAN = 4096
 # Copies made of the small side of a join whose large side may have a hot key.
@@ -74,6 +76,24 @@ def sharded_running_total(
     )
 
 
+def global_rank(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """``df`` with its place in the order of all rows, from 0, written so that it stays.
+
+    Rows are dealt out by range and numbered in each task; only the number of rows of each task is
+    added up in one place.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = session.written(placed, "ranked")
+    # the id holds the task in its upper bits and the row of the task in the lower 33
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row a task
+    return ranked.withColumn(out, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_before")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -158,13 +158,13 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def glossary(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of page titles, at a level of the page's folder chain."""
+    """Every word of the page titles, of some pages every two neighbouring words, as terms at a level of
+    the page's folder chain."""
     title = tx.fold_case(F.regexp_extract("html", r"<title>([^<]*)", 1))
     words = F.filter(F.split(title, r"[^\p{L}]+"), lambda w: w != "")
     n = F.col("page_id")
-    titled = table(spark, sf, "pages").select(
-        "page_id", F.when(n % 4 == 0, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.get(words, F.lit(0))).alias("term")
-    )
+    pairs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    titled = table(spark, sf, "pages").select("page_id", F.explode(F.when(n % 4 == 0, pairs).otherwise(words)).alias("term"))
     rows = titled.join(catalog(spark, sf).select("page_id", "folder"), "page_id").where("term <> ''")
     level = F.slice(F.split("folder", "/"), 1, (n % 3).cast("int"))
     return (

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import catalog as cat
@@ -38,11 +40,56 @@ def test_the_narrower_scope_wins_and_unset_reveals(spark):
 def test_scoped_observe_does_not_shadow_what_applies(spark):
     g = spark.createDataFrame([("", "key", "Schlüssel", True, 1)], G)
     seen = spark.createDataFrame([("a/b", 1, "Key", "Taste"), ("a/b", 2, "row", "Zeile")], "leaf string, seq int, term string, translation string")
-    resolved = gl.resolve_scoped(spark.createDataFrame([("a/b",)], "folder string"), g)
-    got = {(r.scope, r.term): (r.translation, r["count"]) for r in gl.scoped_observe(g, resolved, seen).collect()}
+    got = {(r.scope, r.term): (r.translation, r["count"]) for r in gl.scoped_observe(g, seen).collect()}
     assert got == {("", "key"): ("Schlüssel", 1), ("a/b", "row"): ("Zeile", 1)}
 
 
+def random_scopes(seed):
+    rng = random.Random(seed)
+    scopes = sorted({"/".join(rng.choice("abc") for _ in range(rng.randrange(5))) for _ in range(40)} | {"", "a b", "a-b/c", "a"})
+    terms = {(rng.choice(scopes), rng.choice("tuvwxyz")) for _ in range(60)}
+    return scopes, [(s, t, f"{s}:{t}", False, 1) for s, t in sorted(terms)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_layers_counts_and_what_removal_reveals_equal_the_resolved_lists(spark, seed):
+    scopes, terms = random_scopes(seed)
+    g, leaves = spark.createDataFrame(terms, G), spark.createDataFrame([(s,) for s in scopes], "folder string")
+    resolved = gl.resolve_scoped(leaves, g).collect()
+    want = {s: [0, 0] for s in scopes}
+    for r in resolved:
+        want[r.leaf][r.inherited] += 1
+    got = {r.scope: [r.own, r.inherited] for r in gl.scope_counts(leaves.withColumnRenamed("folder", "scope"), g).collect()}
+    assert got == want
+    assert {r.leaf: [r.own, r.inherited] for r in gl.own_vs_inherited(leaves, g).collect()} == {s: n for s, n in want.items() if sum(n)}
+    layers = gl.scope_layers(g)
+    assert layers.count() == len(terms)  # as many rows as terms, however many scopes inherit them
+    for r in layers.collect():
+        above = [s for s, t, *_ in terms if t == r.term and s != r.scope and (s == "" or r.scope.startswith(s + "/"))]
+        assert r.over_scope == (max(above, key=lambda s: len(s.split("/")) if s else 0) if above else None), r
+    removed = [(s, t.upper()) for s, t, *_ in terms[::3]]
+    after = gl.revealed(g, spark.createDataFrame(removed, "scope string, term string")).collect()
+    left = gl.unset(g, spark.createDataFrame(removed, "scope string, term string"), ["scope"])
+    applies = {(r.leaf, r.term): (r.scope, r.translation) for r in gl.resolve_scoped(leaves, left).collect()}
+    assert {(r.scope, r.term): (r.over_scope, r.over_translation) for r in after} == {(s, t.lower()): applies.get((s, t.lower()), (None, None)) for s, t in removed}
+
+
+def test_the_tour_numbers_every_scope_inside_its_folder(spark):
+    scopes, _ = random_scopes(5)
+    tree = {r.scope: (r.enter, r.leave) for r in gl.scope_tree(spark.createDataFrame([(s,) for s in scopes], "scope string")).collect()}
+    assert sorted(e for e, _ in tree.values()) == [*range(len(tree))] and set(scopes) <= set(tree)
+    for a, (enter, leave) in tree.items():
+        assert {s for s, (e, _) in tree.items() if enter <= e <= leave} == {s for s in tree if s == a or a == "" or s.startswith(a + "/")}
+
+
+def test_terms_of_the_root_cost_nothing_in_the_scopes_below(spark):
+    """Half of all scopes and all terms hang on the root: the work is terms and scopes, not their product."""
+    leaves = spark.range(3000).select(F.concat(F.lit("f"), (F.col("id") % 1500).cast("string"), F.lit("/g"), F.col("id").cast("string")).alias("scope"))
+    g = spark.range(2000).select(F.lit("").alias("scope"), F.concat(F.lit("t"), "id").alias("term"), F.lit("x").alias("translation"), F.lit(False).alias("locked"), F.lit(1).alias("count"))
+    got = gl.scope_counts(leaves, g)
+    assert got.count() == 3000 and got.where("own <> 0 OR inherited <> 2000").count() == 0
+
+
 def paths(spark, names):
     return cat.path_catalog(spark.createDataFrame([(n,) for n in names], "path string"))
 
