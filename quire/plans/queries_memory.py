@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from quire import session
+from quire.operators import calls
 from quire.operators import memory as mem
 from quire.oracles import base as o
 from quire.oracles import tables  # noqa: F401 - registers the views
@@ -317,6 +318,20 @@ def batch_infer(spark, sf):
     return answers.select("deck_id", "page_index", "unit_id", "answer")
 
 
+@query(
+    "infer_logged",
+    "SELECT deck_id, page_index, unit_id, '«' || text || '»' AS answer, 0 AS calls FROM pending",
+    "pending",
+)
+def infer_logged(spark, sf):
+    """The prompts asked through the log of replies, twice: the second run takes every reply from the log."""
+    log, asked = session.work_path(spark, "replies-log"), session.written(prompts(spark, sf), "prompts")
+    calls.infer_logged(asked, echo_model, log)
+    replies = calls.infer_logged(asked, echo_model, log)
+    answers = mem.parse_reply(replies.drop("call_error", "n_units"))
+    return answers.select("deck_id", "page_index", "unit_id", "answer", F.col("calls").cast("int").alias("calls"))
+
+
 @query(
     "retranslate_one",
     "SELECT deck_id, page_index, block_index, sent_index, '«' || text || '»' AS answer FROM edits JOIN sentences "
