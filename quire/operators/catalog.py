@@ -81,6 +81,71 @@ def catalog_signature(catalog: DataFrame, root: str | Column) -> DataFrame:
     return sums.select("root", "items", tx.short_hash(whole).alias("signature"))
 
 
+def library_nodes(entries: DataFrame) -> DataFrame:
+    """(path, parent, name, depth, kind, resolves) of everything a library shows: ``entries`` are (path,
+    kind, resolves), kind ``dir``, ``file`` or ``link``, and every folder that a path lies in, listed or not.
+
+    Reserved names, names at the top that begin with a dot, and files that do are not shown, nor is what
+    lies inside them. A link is shown as a file; ``resolves`` tells whether it leads anywhere.
+    """
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    hidden = F.exists(parts, lambda p: p.isin(*RESERVED)) | F.get(parts, F.lit(0)).startswith(".") | (
+        (F.col("kind") != "dir") & F.element_at(parts, -1).startswith(".")
+    )
+    shown = entries.where(F.size(parts) > 0).where(~hidden).withColumn("_parts", parts)
+    inner = F.when(F.col("kind") == "dir", F.col("_parts")).otherwise(F.slice("_parts", 1, F.size("_parts") - 1))
+    folders = shown.select(F.explode(chain(F.array_join(inner, "/"))).alias("path")).where("path <> ''").distinct()
+    files = shown.where("kind <> 'dir'").groupBy(F.array_join("_parts", "/").alias("path")).agg(
+        F.bool_or((F.col("kind") == "file") | F.coalesce("resolves", F.lit(False))).alias("resolves")
+    )
+    every = folders.select("path", F.lit("dir").alias("kind"), F.lit(True).alias("resolves")).unionByName(
+        files.select("path", F.lit("file").alias("kind"), "resolves")
+    )
+    split = F.split("path", "/")
+    parent = F.array_join(F.slice(split, 1, F.size(split) - 1), "/")
+    return every.select("path", parent.alias("parent"), F.element_at(split, -1).alias("name"), F.size(split).alias("depth"), "kind", "resolves")
+
+
+def tree_signature(nodes: DataFrame) -> DataFrame:
+    """(path, children, signature) of every folder, the root (the empty path) among them: a value that
+    changes when anything inside comes, goes, moves, is renamed, or a link breaks or is mended, and with
+    nothing else; two folders of the same inside have the same one.
+
+    Folded from the leaves, a level a round: a folder's value is made of those of its children, added up
+    in eight lanes, so a folder with a third of all names is summed by every task before it meets. Empty
+    folders are nodes like others. A level is written before the next one reads it.
+    """
+    nodes = session.written(nodes, "tree_nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    empty = F.sha2(F.lit(""), 256)
+    file = nodes.where("kind = 'file'").select(
+        "depth", "parent", F.sha2(F.concat(F.lit("f:"), "name", F.lit(":"), F.col("resolves").cast("int").cast("string")), 256).alias("_d")
+    )
+    below, found = None, []
+    for depth in range(deepest, -1, -1):
+        children = file.where(F.col("depth") == depth + 1).select("parent", "_d")
+        if below is not None:
+            inner = F.sha2(F.concat(F.lit("d["), "name", F.lit("\n"), "signature", F.lit("]")), 256)
+            children = children.unionByName(below.select("parent", inner.alias("_d")))
+        lanes = [F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+        sums = children.groupBy("parent").agg(
+            F.count(F.lit(1)).alias("children"),
+            *[F.pmod(F.sum(lane), F.lit(1 << 32).cast("decimal(30,0)")).cast("bigint").alias(f"_l{i}") for i, lane in enumerate(lanes)],
+        )
+        whole = F.concat_ws("-", F.col("children").cast("string"), *[F.col(f"_l{i}").cast("string") for i in range(8)])
+        hashed = sums.select(F.col("parent").alias("path"), "children", F.sha2(whole, 256).alias("signature"))
+        if depth:
+            own = nodes.where((F.col("kind") == "dir") & (F.col("depth") == depth)).select("path", "parent", "name")
+        else:
+            own = nodes.sparkSession.createDataFrame([("", None, "")], "path string, parent string, name string")
+        level = own.join(hashed, "path", "left").select(
+            "path", "parent", "name", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("signature", empty).alias("signature")
+        )
+        below = session.written(level, "tree_level")
+        found.append(below)
+    return functools.reduce(DataFrame.unionByName, found).select("path", "children", F.left("signature", F.lit(16)).alias("signature"))
+
+
 def tree_rows(catalog: DataFrame, levels: int) -> DataFrame:
     """The catalog as the rows of a tree: a folder, its sub-folders, then its files, by folded name.
 

@@ -90,6 +90,48 @@ def catalog_signature(spark, sf):
     return cat.catalog_signature(derived.catalog(spark, sf), F.element_at(F.split("folder", "/"), 1))
 
 
+#: Levels that the oracle of the hash tree is written out for.
+_LEVELS = 12
+
+
+def _tree_sql() -> str:
+    lanes = ", ".join(f"{lane} AS l{i}" for i, lane in enumerate(_LANES))
+    digest = "sha256(n || '-' || " + " || '-' || ".join(f"l{i}" for i in range(8)) + ")"
+    steps = ["""entries AS (
+  SELECT path, false AS dir, true AS ok FROM catalog
+  UNION ALL SELECT folder || '/empty' || page_id % 7, true, true FROM catalog WHERE page_id % 13 = 0
+  UNION ALL SELECT folder || '/to' || page_id % 5, false, page_id % 2 = 0 FROM catalog WHERE page_id % 17 = 0
+), folders AS (
+  SELECT DISTINCT array_to_string(list_slice(p, 1, i), '/') AS path FROM (
+    SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT CASE WHEN dir THEN string_split(path, '/') ELSE string_split(path, '/')[:-2] END AS p FROM entries))
+), nodes AS (
+  SELECT path, array_to_string(p[:-2], '/') AS parent, p[-1] AS name, len(p) AS depth, dir, ok FROM (
+    SELECT path, string_split(path, '/') AS p, true AS dir, true AS ok FROM folders
+    UNION ALL SELECT path, string_split(path, '/'), false, bool_or(ok) FROM entries WHERE NOT dir GROUP BY path)
+)"""]
+    for depth in range(_LEVELS, -1, -1):
+        inner = f" UNION ALL SELECT parent, sha256('d[' || name || chr(10) || h || ']') FROM level{depth + 1}" if depth < _LEVELS else ""
+        own = f"(SELECT path, parent, name FROM nodes WHERE dir AND depth = {depth})" if depth else "(SELECT '' AS path, NULL AS parent, '' AS name)"
+        steps.append(f"""level{depth} AS (SELECT o.path, o.parent, o.name, coalesce(n, 0) AS children, coalesce(h, sha256('')) AS h FROM {own} o LEFT JOIN (
+  SELECT path, n, {digest} AS h FROM (SELECT parent AS path, count(*) AS n, {lanes} FROM (
+    SELECT parent, sha256('f:' || name || ':' || ok::INT) AS d FROM nodes WHERE NOT dir AND depth = {depth + 1}{inner}) GROUP BY 1)) s ON s.path = o.path)""")
+    every = " UNION ALL ".join(f"SELECT path, children, substr(h, 1, 16) AS signature FROM level{d}" for d in range(_LEVELS + 1))
+    return f"SELECT * FROM (WITH {', '.join(steps)} {every})"
+
+
+@query("tree_signature", _tree_sql(), "catalog")
+def tree_signature(spark, sf):
+    """The catalog as a hash tree, with some empty folders and some links, half of them broken."""
+    c, n = session.written(derived.catalog(spark, sf).select("page_id", "path", "folder"), "catalog"), F.col("page_id")
+    entry = lambda name, kind, ok: [F.concat("folder", F.lit(name), *kind[1:]).alias("path"), F.lit(kind[0]).alias("kind"), ok.alias("resolves")]
+    entries = (
+        c.select("path", F.lit("file").alias("kind"), F.lit(True).alias("resolves"))
+        .unionByName(c.where(n % 13 == 0).select(*entry("/empty", ("dir", (n % 7).cast("string")), F.lit(True))))
+        .unionByName(c.where(n % 17 == 0).select(*entry("/to", ("link", (n % 5).cast("string")), n % 2 == 0)))
+    )
+    return cat.tree_signature(cat.library_nodes(entries))
+
+
 @query(
     "unique_names",
     r"""WITH items AS (SELECT doc_id, lang AS folder, 'w' || (n_chars % 7) || CASE WHEN doc_id % 11 = 0 THEN ' (' || (doc_id % 5 + 1) || ')' ELSE '' END

@@ -158,3 +158,39 @@ def test_triage_keeps_every_item(spark):
     good, bad = cat.split_triage(cat.import_triage(items))
     assert [r.name for r in good.collect()] == ["ok.md"]
     assert sorted(r.reject_reason for r in bad.collect()) == ["empty file", "empty name", "name too long", "over 200 MB"]
+
+
+def signed(spark, *entries):
+    rows = [(p.rstrip("/"), "dir" if p.endswith("/") else "file", True) if isinstance(p, str) else p for p in entries]
+    nodes = cat.library_nodes(spark.createDataFrame(rows, "path string, kind string, resolves boolean"))
+    return {r.path: (r.children, r.signature) for r in cat.tree_signature(nodes).collect()}
+
+
+def test_the_tree_changes_with_folders_decks_and_links_and_with_nothing_else(spark):
+    root = lambda *e: signed(spark, *e)[""][1]
+    start = root("y/")
+    assert root("y/", "z/") != start  # an empty folder comes
+    with_deck = root("y/Lec01.pptx")
+    assert with_deck != start and root("y/Lec01.pptx", "y/db/") != with_deck  # a deck, then a folder inside
+    assert root("a/Lec01.pptx", "b/") != root("a/", "b/Lec01.pptx")  # moved: the same names
+    assert root("y/", "y/.DS_Store", ".meta/x.db", "y/.trash/old.md") == start  # nothing that is shown
+    broken, mended = root("y/", ("y/deck.pdf", "link", False)), root("y/", ("y/deck.pdf", "link", True))
+    assert len({start, broken, mended}) == 3 and mended == root("y/deck.pdf")
+    assert signed(spark) == {"": (0, signed(spark)[""][1])}
+
+
+def test_equal_folders_have_equal_values_and_order_does_not_matter(spark):
+    rng = random.Random(2)
+    names = [f"{f}/{s}/{n}.md" for f in ("one", "two") for s in "ab" for n in range(20)] + ["one/c/", "two/c/"]
+    first = signed(spark, *names)
+    rng.shuffle(names)
+    assert signed(spark, *names) == first and first["one"] == first["two"] and first["one/a"][0] == 20
+    assert first["one/c"][0] == 0 and signed(spark, *names, "two/b/x.md")["one"] == first["one"]
+
+
+def test_one_folder_with_a_third_of_all_names(spark):
+    n = F.col("id")
+    path = F.when(n % 3 == 0, F.concat(F.lit("hot/"), n.cast("string"))).otherwise(F.concat(F.lit("f"), (n % 500).cast("string"), F.lit("/"), n.cast("string")))
+    entries = spark.range(30_000).select(path.alias("path"), F.lit("file").alias("kind"), F.lit(True).alias("resolves"))
+    got = {r.path: r.children for r in cat.tree_signature(cat.library_nodes(entries)).where("path IN ('', 'hot')").collect()}
+    assert got["hot"] == 10_000
