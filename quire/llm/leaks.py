@@ -30,6 +30,8 @@ RANK, EXTRA, COMMON, OWN_TERMS = 256, 16, 0.1, 8
 COSINE, ORDER, ANSWER = 0.3, 0.6, 0.5
 #: Words of the least block, and of those the directions are found from.
 LEAST, SKETCH = 4, 32
+#: Items that texts are scored against at a time, and members of a group that are added side by side.
+ITEMS, TOGETHER = 1024, 64
 SEED = 5
 
 
@@ -129,15 +131,43 @@ def blocks_of(terms: list[bytes], weights: np.ndarray, size: int) -> tuple[np.nd
     return block[some], flat[some], first, counts
 
 
-def row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` with the same place, places ascending."""
+def picked_sums(at: np.ndarray, rows: np.ndarray, pick: np.ndarray, n: int) -> np.ndarray:
+    """Row i is the sum of ``rows[pick]`` over the places where ``at`` is i, places ascending.
+
+    Groups are laid out by size, so the first members of all of them are added at once, then the
+    second ones, and so on: far faster than one reduction a group. What large groups hold beyond
+    that is summed group by group."""
     out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(at):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        out[at[cuts]] = np.add.reduceat(rows, cuts, axis=0)
+    if not len(at):
+        return out
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    size = np.diff(np.append(begin, len(at)))
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    total = rows[pick[begin]]
+    for k in range(1, min(int(size[0]), TOGETHER)):
+        more = int(np.searchsorted(-size, -k, side="left"))
+        total[:more] += rows[pick[begin[:more] + k]]
+    for g in range(int(np.searchsorted(-size, -TOGETHER, side="left"))):
+        for lo in range(begin[g] + TOGETHER, begin[g] + size[g], 4096):
+            total[g] += rows[pick[lo : min(lo + 4096, begin[g] + size[g])]].sum(0)
+    out[at[begin]] = total
     return out
 
 
+def passage_sums(one: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each block with the next two of its document; ``first`` are the documents' first blocks, and the end."""
+    x = np.empty_like(one)
+    if len(one) > 2:
+        np.add(one[:-2], one[1:-1], out=x[:-2])
+        x[:-2] += one[2:]
+    last = first[1:][first[1:] > first[:-1]] - 1
+    before = first[1:][first[1:] > first[:-1] + 1] - 2
+    x[last] = one[last]
+    x[before] = one[before] + one[before + 1]
+    return x
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[list[bytes]]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
@@ -172,9 +202,6 @@ def latent_terms(sequences: DataFrame, items: Items, weights: np.ndarray, rank:
     in all as the corpus does, so what tells them apart is among these directions."""
     n, size = len(weights), SKETCH
     wide = min(n, rank + EXTRA)
-    own = np.stack([np.bincount(t, minlength=n) * weights for t in items.terms])
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-
     start = np.random.default_rng(SEED).standard_normal((n, wide)).astype(np.float32)
 
     weighted = start * weights[:, None].astype(np.float32)
@@ -185,14 +212,18 @@ def latent_terms(sequences: DataFrame, items: Items, weights: np.ndarray, rank:
             return
         square = np.bincount(block, weights[term] ** 2, minlength=int(first[-1]))
         # rows have length one: the weight of a block is divided out of the sum and out of what goes back
-        b = row_sums(block, weighted[term], int(first[-1])) / np.maximum(square, 1e-12)[:, None].astype(np.float32)
+        b = picked_sums(block, weighted, term, int(first[-1])) / np.maximum(square, 1e-12)[:, None].astype(np.float32)
         order = np.argsort(term, kind="stable")
-        at = term[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        total[at[cuts]] += np.add.reduceat(b[block[order]], cuts, axis=0)
+        held = np.unique(term)
+        total[held] += picked_sums(np.searchsorted(held, term[order]), b, block[order], len(held))
 
     y = added(sequences, sketch, (n, wide)) * weights[:, None]
-    ours = own.T @ (own @ start)
+    ours = np.zeros((n, wide))
+    for t in items.terms:  # one item at a time: no matrix of items by terms
+        held, count = np.unique(t, return_counts=True)
+        own = count * weights[held]
+        own /= max(np.linalg.norm(own), 1e-12)
+        ours[held] += np.outer(own, own @ start[held])
     y = y + max(np.linalg.norm(y) / max(np.linalg.norm(ours), 1e-12), 1.0) * ours
     # the leading eigenvectors of the rows' inner products from one sketch: y = (A'A) start
     shift = max(np.linalg.norm(y), 1e-12) * 1e-6
@@ -247,9 +278,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     held, n_docs = document_counts(sequences, len(items.vocabulary))
     weights = term_weights(items, held, n_docs)
     latent = latent_terms(sequences, items, weights)
-    bands = items.bands()
-    fine = bands[0][0]
-    step = max(1, 64 * min(fine, 32) // 32)
+    # items of a band in bounded pieces, so that scores are a bounded matrix
+    bands = [(size, own) for size, members in items.bands() for own in np.split(members, range(ITEMS, len(members), ITEMS))]
     places = anchors(items, held)
     rare = np.zeros(len(weights) + 1, bool)
     rare[list(places)] = True  # the last stays for -1
@@ -260,37 +290,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, step):
-                b = big.slice(at, step)
+            for b in (big.slice(at, 32) for at in range(0, big.num_rows, 32)):
                 terms = b.column("terms").to_pylist()
                 seqs = [np.frombuffer(x, np.int32) for x in terms]
-                block, term, first, counts = blocks_of(terms, weights, fine)
-                if not len(block):
-                    continue
                 whole: dict[int, list[tuple[int, int]]] = {}
                 for d, s in enumerate(seqs):
                     for p in np.flatnonzero(rare[s]).tolist():
                         for j, off in places[int(s[p])]:
                             if p >= off and np.array_equal(s[p - off : p - off + len(exact[j])], items.terms[j]):
                                 whole.setdefault(j, []).append((d, p - off))
-                one, now = row_sums(block, latent[term], int(first[-1])), fine
                 found: dict[tuple[int, int], tuple] = {}
+                now, x = 0, None
                 for size, members in bands:
-                    owner = np.repeat(np.arange(len(terms)), counts)
-                    if size != now:  # blocks of a wider band are sums of narrower ones
-                        local = np.arange(len(one)) - first[owner]
-                        counts = np.array([-(-len(s) // size) for s in seqs], np.int64)
-                        first = np.concatenate([[0], np.cumsum(counts)])
-                        one, now = row_sums(first[owner] + local // (size // now), one, int(first[-1])), size
-                        owner = np.repeat(np.arange(len(terms)), counts)
-                    # a passage is a block with the next two of its document
-                    n = len(one)
-                    last, here = np.repeat(first[1:], counts), np.arange(n)
-                    x = one.copy()
-                    for k in (1, 2):
-                        x[: n - k] += np.where((here[: n - k] + k < last[: n - k])[:, None], one[k:], 0)
-                    norm = np.linalg.norm(x, axis=1)
-                    some = np.flatnonzero(norm > 0)
+                    if size != now:
+                        now = size
+                        block, term, first, counts = blocks_of(terms, weights, size)
+                        # a passage is a block with the next two of its document
+                        x = passage_sums(picked_sums(block, latent, term, int(first[-1])), first)
+                        owner, norm = np.repeat(np.arange(len(terms)), counts), np.sqrt(np.einsum("ij,ij->i", x, x))
+                        some = np.flatnonzero(norm > 0)
+                    if not len(x):
+                        continue
                     near = np.argwhere(x[some] @ queries[members].T >= COSINE * norm[some][:, None])
                     pairs = {(int(some[i]), int(members[j])) for i, j in near.tolist()}
                     pairs.update((int(first[d]) + place // size, j) for j in members.tolist() for d, place in whole.get(j, ()))
