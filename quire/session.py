@@ -63,8 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     known to the planner."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    _record(spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    recorded_path(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -74,9 +74,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _scopes: list[list[str]] = []
 
 
-def _record(spark: SparkSession, path: str) -> None:
+def recorded_path(path: str) -> str:
+    """Note a folder of our own in the innermost open scope."""
     if _scopes:
         _scopes[-1].append(path)
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -94,15 +96,20 @@ def forgotten(df: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables written inside the block are removed at its end, so what leaves it has to be written
-    outside, or be taken from the list that the block is given. Nothing is removed after an error:
-    the next try may look at it."""
+def recorded() -> Iterator[list[str]]:
+    """The list of the work tables written inside the block, for :func:`remove_path` later."""
     _scopes.append([])
     try:
         yield _scopes[-1]
-    except BaseException:
+    finally:
         _scopes.pop()
-        raise
-    for path in _scopes.pop():
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work tables written inside the block are removed at its end, so what leaves it has to be worked
+    out or written by then. Nothing is removed after an error: the next try may look at it."""
+    with recorded() as paths:
+        yield
+    for path in paths:
         remove_path(spark, path)
