@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.base import lasting, partitions, text_hash
-from quire.session import work_path
+from quire.session import forgotten, recorded_path, remove_path, work_path
 
 KEY = ["h1", "h2"]
 BLANK = " \t\n\x0b\x0c\r"
@@ -54,15 +54,28 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = recorded_path(work_path(self.spark, name))
         (
             rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-            .option("path", work_path(self.spark, name)).format("parquet").saveAsTable(name)
+            .option("path", self.paths[name]).format("parquet").saveAsTable(name)
         )
         return name
 
+    def _drop(self, name: str) -> None:
+        """A run nobody needs any more, its files included."""
+        self.spark.sql(f"DROP TABLE {name}")
+        remove_path(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drop all runs; what was read from them has to be written by then."""
+        for name in list(self.paths):
+            self._drop(name)
+        self.levels = [[]]
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
@@ -89,7 +102,7 @@ class LineRuns:
             if len(self.levels[at]) >= self.fanout:
                 merged = self._write(merge_runs([self.spark.table(n) for n in self.levels[at]]))
                 for name in self.levels[at]:
-                    self.spark.sql(f"DROP TABLE {name}")
+                    self._drop(name)
                 self.levels[at] = []
                 if at + 1 == len(self.levels):
                     self.levels.append([])
@@ -118,8 +131,8 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
 def marked_lines(
     docs: DataFrame, least: int = 40, documents: int = 5, batches: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with ``_kept``, the lines that stay, and the counts ``_n_lines`` and ``_n_dropped``:
-    lines that at least ``documents`` documents share go.
+    """(_row, _text, _n_lines, _kept, _n_dropped): every row of ``docs`` as a struct, with its text, the
+    lines that stay and the counts. Lines that at least ``documents`` documents share go.
 
     A key of at least ``least`` code points found in that many documents loses its lines everywhere
     but in the largest id that holds it; all its lines stay there. Documents are told apart by id:
@@ -142,12 +155,17 @@ def marked_lines(
         hashes.join(common, KEY).where(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
         .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     )
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone._gone_id), "left")
-    lines = text_lines(text_col)
+    gone = lasting(gone, "gone_lines")
+    store.close()
+    forgotten(hashes)
+    # the columns ride in a struct of their own, so that their names meet none of the work's
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    lines = text_lines("_text")
     kept = F.when(F.col("_gone").isNull(), lines).otherwise(
         F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("_gone"), key_hash(x, least)), F.lit(True)))
     )
-    out = joined.select(*(docs[c] for c in docs.columns), F.size(lines).cast("bigint").alias("_n_lines"), kept.alias("_kept"))
+    joined = rows.join(gone, rows._id.eqNullSafe(gone._gone_id), "left")
+    out = joined.select("_row", "_text", F.size(lines).cast("bigint").alias("_n_lines"), kept.alias("_kept"))
     return out.withColumn("_n_dropped", (F.col("_n_lines") - F.size("_kept")).cast("bigint"))
 
 
@@ -155,15 +173,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, kept, n_lines, n_dropped) of every row by :func:`marked_lines`."""
     done = marked_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **rule)
     return done.select(
-        "doc_id", F.array_join("_kept", "\n").alias("kept"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped")
+        F.col("_row.doc_id").alias("doc_id"), F.array_join("_kept", "\n").alias("kept"),
+        F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
     )
 
 
 def replaced(docs: DataFrame, text_col: str = "text", **rule: int) -> DataFrame:
-    """``docs`` with every column, the texts without their dropped lines. Null texts stay null."""
+    """``docs`` with every column, whatever its name, the texts without their dropped lines. Null
+    texts stay null; all else as in :func:`marked_lines`."""
     done = marked_lines(docs, text_col=text_col, **rule)
-    text = F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    return done.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    return done.select(*(text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:

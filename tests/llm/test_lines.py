@@ -6,12 +6,12 @@ from collections import defaultdict
 
 from quire.llm import lines
 
-SCHEMA = "doc_id bigint, text string, kept string, gone string"
+SCHEMA = "doc_id bigint, text string, kept string, gone string, _gone string, _kept string, _row string, _text int, h1 int, _n_lines int"
 LONG, OTHER = "a line that is well over forty characters long, is it not", "Another Line of more than forty characters, in mixed case"
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "x", "y", "a", "b", "c", 1, 2, 3) for i, t in rows], SCHEMA)
 
 
 def rows():
