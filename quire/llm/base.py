@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,45 @@ def text_hash(*cols: str | Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
+#: Bits of a key filter at most, 8 MB, and bits for each key.
+FILTER_BITS, KEY_BITS = 1 << 26, 16
+
+
+def key_filter(keys: DataFrame, col: str) -> tuple[bytes, int] | None:
+    """A bitmap of hashed keys and its number of bits, to pass over rows whose key cannot be among them
+    before they are read further; a few others are let through. None where there are too many keys for
+    ``FILTER_BITS``: then rows have to be joined. Packed on Spark, so that its bytes alone come here."""
+    bits = 1 << 16
+    n = keys.count()
+    while bits < KEY_BITS * n:
+        bits *= 2
+    if bits > FILTER_BITS:
+        return None
+    piece = 1 << 16
+
+    def packed(t: pa.Table) -> pa.Table:
+        at = t.column("at").to_numpy()
+        out = np.zeros(piece, np.uint8)
+        out[at % piece] = 1
+        return pa.table([pa.array([int(at[0]) // piece]), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["piece", "b"])
+
+    at = keys.select(filter_place(col, bits).alias("at")).distinct().withColumn("p", F.shiftright("at", 16))
+    out = bytearray(bits // 8)
+    for r in at.groupBy("p").applyInArrow(packed, "piece bigint, b binary").collect():
+        out[r.piece * piece // 8 : (r.piece + 1) * piece // 8] = r.b
+    return bytes(out), bits
+
+
+def filter_place(col: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(bits)).cast("bigint")
+
+
+def may_be_among(places: np.ndarray, known: bytes) -> np.ndarray:
+    """Whether the bits at ``places`` are set."""
+    table = np.frombuffer(known, np.uint8)
+    return (table[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (columns ``a`` and ``b``): rows (node, component_id), the
     smallest node reachable, for every node that has a link.

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import components, lasting, partitions
+from quire.llm.base import components, filter_place, key_filter, lasting, may_be_among, partitions
 from quire.llm.superstrings import Units, mix, rolled
 
 SHINGLE, PERCENT = 3, 90
@@ -173,11 +173,19 @@ def set_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s1 bigint, s2 bigint, keys binary")
 
 
-def set_arrays(docs: DataFrame, k: int) -> DataFrame:
-    """(node, n, bits, arr): bitmap and sorted shingles of every set."""
+def set_arrays(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
+    """(node, n, bits, arr): bitmap and sorted shingles of the sets of ``nodes``, and perhaps of some others.
+    Texts are told apart where they are read, by a small bitmap of the nodes; where there are too many
+    nodes for one the texts are joined."""
+    known = key_filter(nodes, "node")
+    if known is None:
+        docs = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    place = filter_place("doc_id", known[1]) if known else F.lit(0).cast("bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if known:
+                b = b.filter(pa.array(may_be_among(b.column(2).to_numpy(), known[0])))
             raws, ids = [(t or "").encode() for t in b.column(1).to_pylist()], b.column(0).to_pylist()
             rows = [(ids[i], len(s), bitmap(s), s.tobytes()) for i, s in shingle_sets(raws, k)]
             yield pa.RecordBatch.from_arrays(
@@ -185,7 +193,8 @@ def set_arrays(docs: DataFrame, k: int) -> DataFrame:
                 names=["node", "n", "bits", "arr"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, n bigint, bits binary, arr binary")
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("place"))
+    return some.mapInArrow(run, "node bigint, n bigint, bits binary, arr binary")
 
 
 def tile_rows(reps: DataFrame, buckets: int) -> DataFrame:
@@ -329,10 +338,9 @@ def near_components(
         .where("node IS NOT NULL")
     )
     tiles = lasting(tile_rows(reps, 4 * partitions(spark)), "tiles")
-    degree = tiles.groupBy("node").agg(F.sum("size").alias("degree"))
+    degree = lasting(tiles.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     chief = tiles.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("b"))
-    texts = docs.join(degree.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    arrays = lasting(set_arrays(texts, k), "arrays")
+    arrays = lasting(set_arrays(docs, k, degree), "arrays")
     star = tiles.join(chief, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     links = lasting(verified(star, arrays, percent), "star_links")
     found = lasting(components(links, "a", "b"), "found")

@@ -146,3 +146,28 @@ def test_vectors_that_no_pass_brings_together(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     got = {tuple(r) for r in vectors.near_vectors(df, count=1, window=1).collect()}
     assert got == {(i, int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(x))}
+
+
+def test_too_many_keys_for_a_filter_are_joined_instead(spark, monkeypatch):
+    from quire.llm import base
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdef") + str(rng.randrange(9)) for _ in range(40)) for _ in range(30)]
+    texts += [t + " more" for t in texts[:20]]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    run = lambda: sorted(map(tuple, jaccard.near_components(df, 3, 80).collect()))
+    with_filter = run()
+    monkeypatch.setattr(base, "FILTER_BITS", 1)
+    assert run() == with_filter and len({c for _, _, c in with_filter}) == 30
+
+
+def test_a_key_filter_passes_every_key_and_few_others(spark):
+    from quire.llm import base
+
+    keys = spark.range(0, 30_000, 3).withColumnRenamed("id", "node")
+    known, bits = base.key_filter(keys, "node")
+    places = np.array([r[0] for r in spark.range(30_000).select(base.filter_place("id", bits)).collect()])
+    passed = base.may_be_among(places, known)
+    assert passed[::3].all() and passed.mean() < 0.4
+    none, bits = base.key_filter(keys.limit(0), "node")
+    assert not any(none) and bits == 1 << 16
