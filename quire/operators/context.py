@@ -53,10 +53,9 @@ def selected_sentences(chosen: DataFrame, sentences: DataFrame) -> DataFrame:
         F.min_by(F.struct("page_index", "block_index", "sent_index", "text", "translation"), place).alias("_s")
     )
     found = chosen.join(first, ["deck_id", "sentence_id"])
-    order = Window.partitionBy("request_id").orderBy("seq")
-    return found.select("request_id", "deck_id", "seq", "sentence_id", "_s.*").withColumn(
-        "n", F.row_number().over(order).cast("bigint")
-    )
+    rows = found.select("request_id", "deck_id", "seq", "sentence_id", "_s.*")
+    # numbered in shards: a request may hold most of all chosen sentences
+    return scale.sharded_rank(rows, ["request_id"], "seq", "n").drop("shard").withColumn("n", F.col("n").cast("bigint"))
 
 
 def selection_text(selected: DataFrame) -> DataFrame:
@@ -143,18 +142,26 @@ def assemble_fragments(frames: DataFrame) -> DataFrame:
         "message_id", "seq", (F.col("_p") == "[DONE]").alias("_done"),
         F.get("_f.choices", F.lit(0))["delta"]["content"].alias("content"), F.col("_f.usage").alias("usage"),
     )
-    grouped = read.groupBy("message_id").agg(
-        F.min(F.when(F.col("_done"), F.col("seq"))).alias("_end"),
-        F.array_sort(F.collect_list(F.struct("seq", "content", "usage"))).alias("_all"),
+    ends = read.where("_done").groupBy("message_id").agg(F.min("seq").alias("_end"))
+    # the end mark is applied before anything is gathered; its table is a row a message
+    open_ = scale.salted_join(read, ends, ["message_id"], "seq").where(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
+
+    def joined(order: str, value: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
+        return F.array_join(F.transform(parts, lambda p: p[value]), "")
+
+    last = F.max_by(F.when(F.col("usage").isNotNull(), F.col("usage")), F.when(F.col("usage").isNotNull(), F.col("seq")))
+    at = F.max(F.when(F.col("usage").isNotNull(), F.col("seq")))
+    # first runs of frames, then the runs of a message: no task gathers all frames of a long one
+    runs = open_.groupBy("message_id", scale.shard_of("seq").alias("_run")).agg(
+        joined("seq", "content").alias("content"), last.alias("usage"), at.alias("seq")
     )
-    kept = F.filter("_all", lambda f: F.col("_end").isNull() | (f["seq"] < F.col("_end")))
-    used = F.element_at(F.filter("_k", lambda f: f["usage"].isNotNull()), -1)["usage"]
-    with_kept = grouped.withColumn("_k", kept)
-    parts = F.transform(F.filter("_k", lambda f: f["content"].isNotNull()), lambda f: f["content"])
-    usage = F.when(F.exists("_k", lambda f: f["usage"].isNotNull()), used)
-    return with_kept.select(
-        "message_id", F.array_join(parts, "").alias("text"), usage["prompt_tokens"].alias("prompt_tokens"),
-        usage["completion_tokens"].alias("completion_tokens"),
+    usage = F.max_by("usage", "seq")
+    found = runs.groupBy("message_id").agg(joined("_run", "content").alias("text"), usage.alias("usage"))
+    every = read.select("message_id").distinct().join(found, "message_id", "left")  # a message may end at once
+    return every.select(
+        "message_id", F.coalesce("text", F.lit("")).alias("text"), F.col("usage.prompt_tokens").alias("prompt_tokens"),
+        F.col("usage.completion_tokens").alias("completion_tokens"),
     )
 
 

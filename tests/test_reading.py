@@ -82,6 +82,18 @@ def test_stream_fragments(spark):
     assert got == {1: ("Hello", 7), 2: ("open", None)}
 
 
+def test_one_message_with_half_of_all_frames(spark):
+    n = F.col("id")
+    line = F.when(n == 29_000, "data: [DONE]").otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), n.cast("string"), F.lit(' "}}]}')))
+    hot = spark.range(30_000).select(F.lit(1).alias("message_id"), n.cast("int").alias("seq"), line.alias("line"))
+    rest = spark.range(30_000).select((n % 3000 + 2).cast("int").alias("message_id"), n.cast("int").alias("seq"), line.alias("line"))
+    got = {r.message_id: r.text for r in ctx.assemble_fragments(hot.union(rest)).where("message_id < 5").collect()}
+    assert got[1] == "".join(f"{i} " for i in range(29_000))
+    assert got[2] == "".join(f"{i} " for i in range(0, 30_000, 3000))
+    ended = spark.createDataFrame([(1, 0, "data: [DONE]"), (1, 1, "data: {}")], "message_id int, seq int, line string")
+    assert [(r.text, r.prompt_tokens) for r in ctx.assemble_fragments(ended).collect()] == [("", None)]
+
+
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
