@@ -118,9 +118,19 @@ def reprice(ledger: DataFrame, prices: DataFrame, fx: DataFrame) -> DataFrame:
     return done.unionByName(again.select(*ledger.columns))
 
 
-def spend_totals(ledger: DataFrame, as_of: Column) -> DataFrame:
-    """All the totals in one pass. Bounds are local midnights in the session's time zone."""
-    month, day = F.date_trunc("month", as_of), F.date_trunc("day", as_of)
+def local(at: Column, zone: str) -> Column:
+    """The wall clock of ``zone`` at an instant, for a session in UTC."""
+    return F.from_utc_timestamp(at, zone)
+
+
+def local_start(unit: str, at: Column, zone: str) -> Column:
+    """The instant at which the local ``unit`` (day, month) began."""
+    return F.to_utc_timestamp(F.date_trunc(unit, local(at, zone)), zone)
+
+
+def spend_totals(ledger: DataFrame, as_of: Column, zone: str = "UTC") -> DataFrame:
+    """All the totals in one pass. Bounds are the local midnights of ``zone``, summer time included."""
+    month, day = local_start("month", as_of, zone), local_start("day", as_of, zone)
 
     def spent(since: Column | None = None) -> Column:
         value = F.col("cny") if since is None else F.when(F.col("ts") >= since, F.col("cny"))
@@ -153,12 +163,12 @@ def spend_by_model(ledger: DataFrame, limit: int | None = None) -> DataFrame:
     return top.withColumn("cny", F.round("_cny", 4)).drop("_cny")
 
 
-def daily_spend(ledger: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:
-    """Cost per local day, over all time or the last ``days``; days without cost are left out."""
+def daily_spend(ledger: DataFrame, as_of: Column, days: int | None = None, zone: str = "UTC") -> DataFrame:
+    """Cost per local day of ``zone``, over all time or the last ``days``; days without cost are left out."""
     rows = ledger.where("cny > 0")
     if days is not None:
         rows = rows.where(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))
-    per_day = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("cny"), 4).alias("cny"))
+    per_day = rows.groupBy(F.date_format(local(F.col("ts"), zone), "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("cny"), 4).alias("cny"))
     return per_day.orderBy("day")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import text as tx
 from quire.operators import ledger as led
 from quire.operators import memory as mem
+from quire.operators import refresh
 from quire.oracles import base as o
 from quire.oracles import tables  # noqa: F401 - registers the views
 from quire.plans.queries_catalog import _HTML
@@ -315,3 +317,36 @@ def refresh_prices(spark, sf):
     asked = rows.select("page_id", "provider", led.price_excerpt("text").alias("prompt"))
     read = led.extract_prices(mem.batch_infer(asked, rate_reader).drop("call_error"))
     return read.select("page_id", "model", "input", "output")
+
+
+@query(
+    "daily_spend_local",
+    "SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, round(sum(cny), 4) AS cny FROM priced_calls WHERE cny > 0 GROUP BY 1",
+    "priced_calls",
+)
+def daily_spend_local(spark, sf):
+    """Cost per day as a clock in Shanghai shows it."""
+    return led.daily_spend(ledger(spark, sf), as_of(), zone="Asia/Shanghai")
+
+
+@query(
+    "refresh_job",
+    f"""SELECT provider, 'm0' AS model, (n % 90 + 1)::DOUBLE AS input, (2 * (n % 90 + 1))::DOUBLE AS output,
+          {NOW} + CASE WHEN EXISTS (SELECT 1 FROM wanted w WHERE w.provider = p.provider AND w.model <> 'm0') THEN 86400 ELSE 0 END AS updated_at
+        FROM (SELECT 'brand#' || page_id AS provider, chars, ((length(excerpt) - length(replace(excerpt, 'price', ''))) // 5
+                + (length(excerpt) - length(replace(excerpt, 'USD', ''))) // 3) AS n FROM excerpts) p
+        WHERE chars >= 200 AND EXISTS (SELECT 1 FROM wanted w WHERE w.provider = p.provider)""",
+    "excerpts", "wanted",
+)
+def refresh_job(spark, sf):
+    """Two batches of the price refresh a day apart: the second one asks about providers with a model that
+    still has no price, all others keep what the first one read."""
+    pages = table(spark, sf, "pages")
+    extra = F.concat(F.repeat(F.lit(" pad"), F.lit(1500)), F.lit(" price list "), F.repeat(F.lit("tail "), F.lit(2000)))
+    text = F.concat(tx.html_to_text("html"), F.when(F.col("page_id") % 5 == 0, extra).otherwise(""))
+    named = pages.select(F.concat(F.lit("brand#"), F.col("page_id").cast("string")).alias("provider"), F.lit("page").alias("source"), text.alias("text"))
+    quotes = spark.createDataFrame([("USD", 7.1, 0)], "currency string, rate double, source_rank int")
+    book, log = refresh.PriceBook(spark, session.work_path(spark, "prices")), session.work_path(spark, "price-replies")
+    for batch in range(2):
+        state, _ = refresh.refresh(book, batch, wanted(spark, sf), named, quotes, rate_reader, NOW + 86400 * batch, log)
+    return state.prices.select("provider", "model", "input", "output", "updated_at")

@@ -118,3 +118,18 @@ def test_days_and_months_are_local(spark):
     t = led.spend_totals(ledger, as_of).first()
     assert (t.total, t.month, t.today) == (9.0, 4.5, 4.5)
     assert [(r.day, r.cny) for r in led.daily_spend(ledger, as_of).collect()] == [("2024-01-31", 4.5), ("2024-02-01", 4.5)]
+
+
+def test_days_and_months_begin_at_local_midnight(spark):
+    """New York, the night the clocks go forward: 2024-03-10 has 23 hours, from 05:00 to 04:00 UTC."""
+    rows = [("2024-03-10 04:59:59", 1.0), ("2024-03-10 05:00:00", 2.0), ("2024-03-11 03:59:59", 4.0), ("2024-03-11 04:00:00", 8.0), ("2024-03-01 04:59:00", 16.0)]
+    ledger = spark.createDataFrame(rows, "ts string, cny double").select(
+        F.col("ts").cast("timestamp").alias("ts"), "cny", F.lit(1).alias("prompt"), F.lit(1).alias("completion"), F.lit(True).alias("priced")
+    )
+    zone = "America/New_York"
+    days = {r.day: r.cny for r in led.daily_spend(ledger, F.lit("2024-03-12").cast("timestamp"), zone=zone).collect()}
+    assert days == {"2024-02-29": 16.0, "2024-03-09": 1.0, "2024-03-10": 6.0, "2024-03-11": 8.0}
+    t = led.spend_totals(ledger, F.lit("2024-03-11 03:30:00").cast("timestamp"), zone).first()
+    assert (t.total, t.month, t.today) == (31.0, 15.0, 14.0)  # today began at 05:00 UTC on the 10th
+    u = led.spend_totals(ledger, F.lit("2024-03-11 03:30:00").cast("timestamp")).first()
+    assert (u.month, u.today) == (31.0, 12.0)
