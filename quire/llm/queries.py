@@ -38,7 +38,7 @@ def op2_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-@query("op3_jaccard")
+@query("op3_jaccard", jaccard.ORACLE)
 def op3_jaccard(spark, sf):
     return jaccard.near_components(table(spark, sf, "documents"))
 
