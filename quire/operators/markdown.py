@@ -1,195 +1,229 @@
-"""Markdown notes as pages and blocks, from a table of lines (document key, ``line_no``, ``line``).
+"""Markdown notes as pages and blocks.
 
-All steps run per document; a document is one text value, so its lines always fit a task.
+A document is one text value, so what its lines are is found by one pass over them where the row is read:
+a fold whose state is the open fence, and counts of marks. No line is dealt out, no window is opened, and
+a document of a million lines takes a million steps. Texts are taken from the lines by column
+expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 
 # Line patterns of the format, and type sizes given to headings and text.
-BREAK = r"\A {0,3}([-*_])(?: *\1){2,} *\z"
-HEADING = r"\A {0,3}(#{1,6})[\s\x0B\x1C-\x1F\x85\p{Z}]+(.*?)[\s\x0B\x1C-\x1F\x85\p{Z}]*#*[\s\x0B\x1C-\x1F\x85\p{Z}]*\z"
-FENCE = r"\A {0,3}(`{3,}|~{3,})"
-BULLET = r"\A([\s\x0B\x1C-\x1F\x85\p{Z}]*)([-*+]|\p{Nd}{1,3}[.)])[\s\x0B\x1C-\x1F\x85\p{Z}]+(.*)\z"
-QUOTE = r"\A {0,3}> ?(.*)\z"
-TABLE_ROW = r"\A[\s\x0B\x1C-\x1F\x85\p{Z}]*\|.*\|[\s\x0B\x1C-\x1F\x85\p{Z}]*\z"
-TABLE_RULE = r"\A[\s\x0B\x1C-\x1F\x85\p{Z}]*\|?[\s:|-]+\|[\s:|-]*\z"
+BREAK = r" {0,3}([-*_])(?: *\1){2,} *"
+HEADING = r" {0,3}(#{1,6})[\s\x0B\x1C-\x1F\x85\p{Z}]+(.*?)[\s\x0B\x1C-\x1F\x85\p{Z}]*#*[\s\x0B\x1C-\x1F\x85\p{Z}]*"
+FENCE = r" {0,3}(`{3,}|~{3,})"
+BULLET = r"([\s\x0B\x1C-\x1F\x85\p{Z}]*)([-*+]|\p{Nd}{1,3}[.)])[\s\x0B\x1C-\x1F\x85\p{Z}]+(.*)"
+QUOTE = r" {0,3}> ?(.*)"
+TABLE_ROW = r"[\s\x0B\x1C-\x1F\x85\p{Z}]*\|.*\|[\s\x0B\x1C-\x1F\x85\p{Z}]*"
+TABLE_RULE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]*\|?[\s:|-]+\|[\s:|-]*"
 HEADING_PT = (30.0, 24.0, 19.0, 16.0, 14.0, 13.0)
 BODY_PT, CODE_PT = 14.0, 12.0
 
-
 def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in documents.columns if c != text]
     uniform = F.regexp_replace(text, r"\r\n?", "\n")
     return documents.select(*others, F.posexplode(F.split(uniform, "\n")).alias("line_no", "line"))
 
 
-def md_fences(lines: DataFrame, document: Sequence[str]) -> DataFrame:
-    """Add ``in_fence`` (the fence lines included) and ``fence_id``, the number of the fence.
-
-    A fence is closed only by a mark of the character that opened it, so whether a mark opens or
-    closes depends on all marks before: a fold, but only over the fence marks of a document, which
-    are few. Everything else is a lookup in the list of (open, close) lines.
-    """
-    mark = F.substring(F.regexp_extract("line", FENCE, 1), 1, 1)
-    whole = Window.partitionBy(*document)
-    marks = F.collect_list(F.when(F.col("line").rlike(FENCE), F.struct("line_no", mark.alias("mark")))).over(whole)
-    state = "struct<open:int,mark:string,spans:array<struct<a:int,b:int>>>"
-
-    def step(s: Column, m: Column) -> Column:
-        closed = F.concat(s["spans"], F.array(F.struct(s["open"].alias("a"), m["line_no"].alias("b"))))
-        opened = F.struct(m["line_no"].alias("open"), m["mark"].alias("mark"), s["spans"].alias("spans"))
-        after = F.struct(F.lit(None).cast("int").alias("open"), F.lit(None).cast("string").alias("mark"), closed.alias("spans"))
-        return F.when(s["open"].isNull(), opened.cast(state)).when(s["mark"] == m["mark"], after.cast(state)).otherwise(s)
-
-    empty = F.struct(
-        F.lit(None).cast("int").alias("open"), F.lit(None).cast("string").alias("mark"), F.array().cast("array<struct<a:int,b:int>>").alias("spans")
-    ).cast(state)
-
-    def finish(s: Column) -> Column:
-        # A fence left open runs to the end of the document.
-        rest = F.array(F.struct(s["open"].alias("a"), F.lit(2_147_483_647).alias("b")))
-        return F.when(s["open"].isNull(), s["spans"]).otherwise(F.concat(s["spans"], rest))
-
-    with_spans = lines.withColumn("_marks", F.array_sort(marks)).withColumn("_spans", F.aggregate("_marks", empty, step, finish))
-    hit = F.filter("_spans", lambda f: (F.col("line_no") >= f["a"]) & (F.col("line_no") <= f["b"]))
-    return (
-        with_spans.withColumn("_hit", hit)
-        .withColumn("in_fence", F.size("_hit") > 0)
-        .withColumn("fence_id", F.get("_hit", F.lit(0))["a"])
-        .withColumn("fence_end", F.get("_hit", F.lit(0))["b"])
-        .drop("_marks", "_spans", "_hit")
-    )
+_break, _heading, _bullet, _quote, _row, _rule = (regex.compile(p).fullmatch for p in (BREAK, HEADING, BULLET, QUOTE, TABLE_ROW, TABLE_RULE))
+_fence = regex.compile(FENCE).match
+
+LINES = "array<struct<line_no:int,line:string,in_fence:boolean,page:bigint>>"
+PAGES = "array<array<struct<line_no:int,kind:string,level:int,depth:int,table_r:bigint,lines:array<string>>>>"
+_LINES = pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.string()), ("in_fence", pa.bool_()), ("page", pa.int64())]))
+_PAGES = pa.list_(pa.list_(pa.struct([
+    ("line_no", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("depth", pa.int32()), ("table_r", pa.int64()),
+    ("lines", pa.list_(pa.string())),
+])))
+
+
+def blank(line: str) -> bool:
+    return not line.strip(tx.SPACES)
+
+
+def fences(lines: list[str]) -> list[int | None]:
+    """The line that opened the fence each line is in, its two marks included; None outside. A fence is
+    closed only by a mark of the character that opened it, or by the end of the document."""
+    out: list[int | None] = []
+    opened, mark = None, ""
+    for i, line in enumerate(lines):
+        found = _fence(line) if "`" in line or "~" in line else None
+        if opened is None and found:
+            opened, mark = i, found.group(1)[0]
+            out.append(i)
+        else:
+            out.append(opened)
+            if opened is not None and found and found.group(1)[0] == mark:
+                opened = None
+    return out
+
+
+def pages_of(lines: list[str], fenced: list[int | None]) -> list[int | None]:
+    """The page of each line, from 0; None for lines that are on none. Thematic breaks divide a
+    document; else the first heading level with two or more headings; else it is one page. Break lines
+    and blank pages are dropped."""
+    breaks, levels = [], []
+    for i, line in enumerate(lines):
+        free = fenced[i] is None
+        underline = i > 0 and line.startswith("-") and not blank(lines[i - 1])
+        breaks.append(bool(free and not underline and _break(line)))
+        found = _heading(line) if free and "#" in line else None
+        levels.append(len(found.group(1)) if found else 0)
+    by_break = any(breaks)
+    level = next((k for k in (1, 2) if levels.count(k) >= 2), -1)
+    chunk, chunks = 0, []
+    for i in range(len(lines)):
+        chunk += breaks[i] if by_break else levels[i] == level
+        chunks.append(None if by_break and breaks[i] else chunk)
+    full = sorted({c for c, line in zip(chunks, lines) if c is not None and not blank(line)})
+    number = {c: n for n, c in enumerate(full)}
+    return [number.get(c) for c in chunks]
+
+
+def classed(line: str) -> tuple[str, int, int, str]:
+    """(kind, level of a heading, depth of a list item, content) of a line outside fences."""
+    if found := _heading(line) if "#" in line else None:
+        return "heading", len(found.group(1)), 0, found.group(2)
+    if "|" in line and _row(line):
+        return "table", 0, 0, line
+    if found := _bullet(line):
+        return "bullet", 0, len(found.group(1)) // 2, found.group(3)
+    if found := _quote(line) if ">" in line else None:
+        return "quote", 0, 0, found.group(1)
+    return ("blank" if blank(line) else "text"), 0, 0, line
+
+
+def blocks_of(lines: list[str], fenced: list[int | None], page: list[int | None]) -> list[list[tuple]]:
+    """Blocks (line_no, kind, level, depth, table_r, lines) of each page in order. Lines of one fence and
+    plain lines in a row make one block, every other line one of its own; rows of one table follow each
+    other, and rule rows are not counted. The marks of a fence are not part of its code."""
+    out: list[list[tuple]] = [[] for _ in range(1 + max((p for p in page if p is not None), default=-1))]
+    before, table_r, last_page = None, -1, None
+    for i, line in enumerate(lines):
+        p = page[i]
+        if p is None:
+            continue
+        if p != last_page:
+            before, table_r, last_page = None, -1, p
+        if fenced[i] is not None:
+            now = ("fence", fenced[i])
+            if before != now:
+                out[p].append((i, "fence", 0, 0, None, []))
+            elif i + 1 < len(lines) and fenced[i + 1] == fenced[i] or not closes(lines, fenced, i):
+                out[p][-1][5].append(line)
+            before, table_r = now, -1
+            continue
+        kind, level, depth, content = classed(line)
+        if kind == "table":
+            if not _rule(line):
+                table_r += 1
+                out[p].append((i, kind, 0, 0, table_r, [line]))
+        else:
+            table_r = -1
+            if kind == "text" and before == "text":
+                out[p][-1][5].append(content)
+            elif kind != "blank":
+                out[p].append((i, kind, level, depth, None, [content]))
+        before = kind
+    return out
+
+
+def closes(lines: list[str], fenced: list[int | None], i: int) -> bool:
+    """Whether the last line of a fence is the mark that closes it."""
+    found = _fence(lines[i])
+    return bool(found) and found.group(1)[0] == _fence(lines[fenced[i]]).group(1)[0]
+
+
+def outlined(documents: DataFrame, what: str, text: str = "text") -> DataFrame:
+    """``documents`` with ``_o`` in place of their text: its lines, or its pages of blocks. A null text is an empty one."""
+    names = [c for c in documents.columns if c != text]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(len(names)).to_pylist():
+                lines = (value or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                fenced = fences(lines)
+                page = pages_of(lines, fenced)
+                if what == "lines":
+                    out.append([(i, line, f is not None, p) for i, (line, f, p) in enumerate(zip(lines, fenced, page))])
+                else:
+                    out.append(blocks_of(lines, fenced, page))
+            built = pa.array(out, _LINES if what == "lines" else _PAGES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], built], names=[*names, "_o"])
+
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
+    return documents.select(*names, text).mapInArrow(work, f"{kinds}, _o {LINES if what == 'lines' else PAGES}")
+
+
+def md_fences(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Every line with ``in_fence``, the fence marks included."""
+    rows = outlined(documents, "lines", text)
+    return rows.select(*rows.columns[:-1], F.inline("_o")).drop("page")
+
+
+def md_pages(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Every line that is on a page, with its ``page``."""
+    rows = outlined(documents, "lines", text)
+    return rows.select(*rows.columns[:-1], F.inline("_o")).where("page IS NOT NULL")
+
+
+def _paged_blocks(documents: DataFrame, text: str) -> DataFrame:
+    rows = outlined(documents, "blocks", text)
+    return rows.select(*rows.columns[:-1], F.posexplode("_o").alias("_p", "_blocks")).withColumn("page", F.col("_p").cast("bigint")).drop("_p")
 
 
-def md_pages(fenced: DataFrame, document: Sequence[str]) -> DataFrame:
-    """Add ``page``, from 0. Thematic breaks divide a document; else the first heading level with
-    two or more headings; else it is one page. Break lines and blank pages are dropped."""
-    doc = Window.partitionBy(*document)
-    order = doc.orderBy("line_no")
-    before = F.lag("line").over(order)
-    underline = F.coalesce(tx.strip(before) != "", F.lit(False)) & F.col("line").startswith("-")
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    free = ~F.col("in_fence")
-    rows = (
-        fenced.withColumn("_break", free & F.col("line").rlike(BREAK) & ~underline)
-        .withColumn("_level", F.when(free, level).otherwise(0))
-        .withColumn("_n_break", F.sum(F.col("_break").cast("int")).over(doc))
-        .withColumn("_n1", F.count_if(F.col("_level") == 1).over(doc))
-        .withColumn("_n2", F.count_if(F.col("_level") == 2).over(doc))
-    )
-    by_level = F.when(F.col("_n1") >= 2, 1).when(F.col("_n2") >= 2, 2).otherwise(-1)
-    cut = F.when(F.col("_n_break") > 0, F.col("_break")).otherwise(F.col("_level") == by_level)
-    chunks = rows.withColumn("_chunk", F.sum(cut.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = chunks.where(~((F.col("_n_break") > 0) & F.col("_break")))
-    filled = kept.withColumn("_full", F.max((tx.strip("line") != "").cast("int")).over(Window.partitionBy(*document, "_chunk")))
+def _cell_texts(line: Column) -> Column:
+    return F.transform(F.split(F.btrim(tx.strip(line), F.lit("|")), r"\|"), lambda c: tx.strip_markdown(c))
 
 
-    return (
-        filled.where((F.col("_full") == 1)).withColumn("page", F.dense_rank().over(doc.orderBy("_chunk")) - 1)
-        .drop("_break", "_level", "_n_break", "_n1", "_n2", "_chunk", "_full")
-    )
+def _texts(block: Column) -> Column:
+    """The texts of a block: one, or one for each cell of a table row."""
+    lines = block["lines"]
+    code = F.btrim(F.array_join(lines, "\n"), F.lit("\n"))
+    solid = F.exists(lines, lambda s: tx.strip(s) != "")
+    prose = tx.strip(F.array_join(F.transform(lines, lambda s: tx.strip_markdown(s)), " "))
+    return F.when(block["kind"] == "table", _cell_texts(F.get(lines, F.lit(0)))).when(
+        block["kind"] == "fence", F.array(F.when(solid, code).otherwise(""))
+    ).otherwise(F.array(prose))
 
 
-def line_class() -> Column:
-    line = F.col("line")
-    return (
-        F.when(F.col("in_fence"), "fence").when(line.rlike(HEADING), "heading").when(line.rlike(TABLE_ROW), "table")
-        .when(line.rlike(BULLET), "bullet").when(line.rlike(QUOTE), "quote")
-        .when(tx.strip(line) != "", "text").otherwise("blank")
-    )
-
+def md_blocks(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Blocks of each page in order: headings, code, list items, quotes, paragraphs, table cells."""
+    rows = _paged_blocks(documents, text)
+    names = [c for c in rows.columns if c not in ("_blocks", "page")]
 
-def md_blocks(paged: DataFrame, document: Sequence[str]) -> DataFrame:
-    """Blocks of each page in order: headings, code, list items, quotes, paragraphs, table cells.
+    def parts(block: Column) -> Column:
+        return F.transform(_texts(block), lambda t, cell: F.struct(
+            t.alias("text"), block["kind"].alias("kind"), block["level"].alias("level"), block["depth"].alias("depth"),
+            block["table_r"].alias("table_r"), F.when(block["kind"] == "table", cell.cast("bigint")).alias("table_c"),
+        ))
 
-    Lines of one fence and plain lines in a row make one block (islands over the line classes);
-    every other line is a block of its own, and a table row one per cell.
-    """
-    page = [*document, "page"]
-    w = Window.partitionBy(*page).orderBy("line_no")
-    rows = _with_table_rows(paged.withColumn("_class", line_class()), page)
-    before = F.lag("_class").over(w)
-    joined = (
-        ((F.col("_class") == "text") & (before == "text"))
-        | ((F.col("_class") == "fence") & (before == "fence") & (F.lag("fence_id").over(w) == F.col("fence_id")))
-    )
-    numbered = rows.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    content = (
-        F.when(F.col("_class") == "heading", tx.strip_markdown(F.regexp_extract("line", HEADING, 2)))
-        .when(F.col("_class") == "bullet", tx.strip_markdown(F.regexp_extract("line", BULLET, 3)))
-        .when(F.col("_class") == "quote", tx.strip_markdown(F.regexp_extract("line", QUOTE, 1)))
-        .when(F.col("_class") == "text", tx.strip_markdown("line"))
-        .when(F.col("_class") == "table", F.col("line"))
-        # The lines that open and close a fence are not part of the code.
-        .when((F.col("_class") == "fence") & (F.col("line_no") > F.col("fence_id")) & (F.col("line_no") < F.col("fence_end")), F.col("line"))
-    )
-    depth = F.floor(F.length(F.regexp_extract("line", BULLET, 1)) / 2)
-    marked = numbered.where("_class <> 'blank' AND NOT _rule").select(
-        *page, "_island", "line_no", "_class", "table_r", content.alias("_text"),
-        F.when(F.col("_class") == "heading", F.length(F.regexp_extract("line", HEADING, 1))).otherwise(0).alias("_level"),
-        F.when(F.col("_class") == "bullet", depth).otherwise(0).alias("_depth"),
-    )
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("line_no", "_text")))), lambda r: r["_text"]
-    )
-    grouped = marked.groupBy(*page, "_island").agg(
-        F.min("line_no").alias("line_no"), F.min("_class").alias("_class"), ordered.alias("_lines"),
-        F.max("_level").alias("heading"), F.max("_depth").alias("depth"), F.max("table_r").alias("table_r"),
-    )
-    code = F.btrim(F.array_join("_lines", "\n"), F.lit("\n"))
-    solid = F.exists("_lines", lambda s: tx.strip(s) != "")
-    table = F.col("_class") == "table"
-    texts = (
-        F.when(table, _cell_texts(F.get("_lines", F.lit(0))))
-        .when(F.col("_class") == "fence", F.array(F.when(solid, code).otherwise("")))
-        .otherwise(F.array(tx.strip(F.array_join("_lines", " "))))
-    )
+    every = F.filter(F.flatten(F.transform("_blocks", parts)), lambda x: x["text"] != "")
+    found = rows.select(*names, "page", F.posexplode(every).alias("block_index", "_b"))
     sizes = F.array(*[F.lit(s) for s in HEADING_PT])
-    size = (
-        F.when(F.col("_class") == "fence", CODE_PT).when(F.col("heading") > 0, F.element_at(sizes, F.col("heading"))).otherwise(BODY_PT)
+    kind, level = F.col("_b.kind"), F.col("_b.level")
+    size = F.when(kind == "fence", CODE_PT).when(level > 0, F.element_at(sizes, F.greatest(level, F.lit(1)))).otherwise(BODY_PT)
+    return found.select(
+        *names, "page", F.col("_b.text").alias("text"), (kind == "fence").alias("mono"), (kind == "bullet").alias("bullet"),
+        F.col("_b.depth").cast("bigint").alias("depth"), level.cast("bigint").alias("heading"), size.alias("font_pt"),
+        F.col("_b.table_r").alias("table_r"), F.col("_b.table_c").alias("table_c"), F.col("block_index").cast("bigint").alias("block_index"),
     )
-    blocks = grouped.select(
-        *page, "line_no", F.posexplode(texts).alias("_cell", "text"), (F.col("_class") == "fence").alias("mono"),
-        (F.col("_class") == "bullet").alias("bullet"), F.col("depth").cast("bigint").alias("depth"),
-        F.col("heading").cast("bigint").alias("heading"), size.alias("font_pt"), "table_r", table.alias("_table"),
-    ).where("text <> ''")
-    order = Window.partitionBy(*page).orderBy("line_no", "_cell")
-    return (
-        blocks.withColumn("table_c", F.when(F.col("_table"), F.col("_cell").cast("bigint")))
-        .withColumn("block_index", (F.row_number().over(order) - 1).cast("bigint"))
-        .drop("line_no", "_cell", "_table")
-    )
-
-
-def _with_table_rows(classed: DataFrame, page: Sequence[str]) -> DataFrame:
-    """Add ``table_r``, the row in its table, and ``_rule``. Rows of one table follow each other;
-    rule rows are not counted."""
-    table = F.col("_class") == "table"
-    w = Window.partitionBy(*page).orderBy("line_no")
-    marked = classed.withColumn("_rule", table & F.col("line").rlike(TABLE_RULE)).withColumn(
-        "_table_id", F.sum((~table).cast("int")).over(w)
-    )
-    real = (table & ~F.col("_rule")).cast("int")
-    inside = Window.partitionBy(*page, "_table_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_real", real).withColumn(
-        "table_r", F.when(F.col("_real") == 1, F.sum("_real").over(inside) - 1)
-    ).drop("_real", "_table_id")
-
-
-def _cell_texts(line: Column) -> Column:
-    return F.transform(F.split(F.btrim(tx.strip(line), F.lit("|")), r"\|"), lambda c: tx.strip_markdown(c))
 
 
-def md_table_cells(paged: DataFrame, document: Sequence[str]) -> DataFrame:
-    """Only the table cells of the pages that are not empty."""
-    page = [*document, "page"]
-    rows = _with_table_rows(paged.withColumn("_class", line_class()), page).where("table_r IS NOT NULL")
-    cells = rows.select(*page, "line_no", "table_r", F.posexplode(_cell_texts(F.col("line"))).alias("table_c", "text"))
+def md_table_cells(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Only the table cells that are not empty, with the number of their line."""
+    rows = _paged_blocks(documents, text)
+    names = [c for c in rows.columns if c not in ("_blocks", "page")]
+    tables = rows.select(*names, "page", F.inline(F.filter("_blocks", lambda b: b["kind"] == "table")))
+    cells = tables.select(*names, "page", "line_no", "table_r", F.posexplode(_cell_texts(F.get("lines", F.lit(0)))).alias("table_c", "text"))
     return cells.where("text <> ''").withColumn("table_c", F.col("table_c").cast("bigint"))

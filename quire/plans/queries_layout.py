@@ -53,6 +53,8 @@ def notes(spark, sf):
         return (
             F.when(k == 0, lines(lead("# ")))
             .when(k == 4, lines("```", line, "~~~", "    indented", "```"))
+            .when(k == 8, lines("~~~~ py", "---", "```", line, "~~~"))
+            .when((k == 11) & (F.col("doc_id") % 7 == 3), lines(line, "~~~"))  # open to the end
             .when((k % 22 == 10) & (F.col("doc_id") % 6 == 1), lines(lead("# ")))
             .when(k % 22 == 10, lines("", "---", line))
             .when(k % 22 == 21, lines("---", line))
@@ -72,6 +74,7 @@ def notes(spark, sf):
 o.view("md_text", f"""
 SELECT doc_id, list_reduce(list_prepend(NULL::VARCHAR[], list_transform(lines, lambda line, i: CASE
     WHEN i = 1 THEN ['# ' || line] WHEN i = 5 THEN ['```', line, '~~~', '    indented', '```']
+    WHEN i = 9 THEN ['~~~~ py', '---', '```', line, '~~~'] WHEN i = 12 AND doc_id % 7 = 3 THEN [line, '~~~']
     WHEN (i - 1) % 22 = 10 AND doc_id % 6 = 1 THEN ['# ' || line] WHEN (i - 1) % 22 = 10 THEN ['', '---', line]
     WHEN (i - 1) % 22 = 21 THEN ['---', line]
     WHEN (i - 1) % 13 = 12 THEN ['| ' || line || ' | **b** |', '|---|:--|', '| c |  |']
@@ -83,20 +86,28 @@ SELECT doc_id, list_reduce(list_prepend(NULL::VARCHAR[], list_transform(lines, l
 
 o.view("md_lines", "SELECT doc_id, unnest(md) AS line, generate_subscripts(md, 1) - 1 AS line_no FROM md_text", "md_text")
 
-# The fences of these notes are all of one kind, so they are told apart by counting.
+# Whether a mark opens or closes a fence depends on all before it: they are walked one by one.
 o.view("md_fenced", """
-SELECT *, n % 2 = 1 OR f AS in_fence, max(CASE WHEN f AND n % 2 = 1 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS fence_id, f AS is_mark
-FROM (SELECT *, starts_with(line, '```') AS f, count(*) FILTER (starts_with(line, '```')) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM md_lines)
+SELECT l.doc_id, l.line, l.line_no, s.mark_no IS NOT NULL AND (s.line_no = l.line_no OR s.opened IS NOT NULL) AS in_fence,
+  CASE WHEN s.line_no = l.line_no THEN s.inside ELSE s.opened END AS fence_id, coalesce(s.line_no = l.line_no AND s.acts, false) AS is_mark
+FROM (SELECT *, count(*) FILTER (starts_with(line, '```') OR starts_with(line, '~~~')) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM md_lines) l
+LEFT JOIN (
+  WITH RECURSIVE marks AS (
+    SELECT doc_id, line_no, line[1] AS c, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS mark_no FROM md_lines
+    WHERE starts_with(line, '```') OR starts_with(line, '~~~')
+  ), walk AS (
+    SELECT doc_id, mark_no, line_no, line_no AS opened, c AS held, line_no AS inside, true AS acts FROM marks WHERE mark_no = 1
+    UNION ALL
+    SELECT m.doc_id, m.mark_no, m.line_no, CASE WHEN w.opened IS NULL THEN m.line_no WHEN m.c = w.held THEN NULL ELSE w.opened END,
+      CASE WHEN w.opened IS NULL THEN m.c ELSE w.held END, coalesce(w.opened, m.line_no), w.opened IS NULL OR m.c = w.held
+    FROM walk w JOIN marks m ON m.doc_id = w.doc_id AND m.mark_no = w.mark_no + 1
+  ) SELECT * FROM walk) s ON s.doc_id = l.doc_id AND s.mark_no = l.n
 """, "md_lines")
 
 
-def fenced(spark, sf):
-    return md.md_fences(md.lines_of(notes(spark, sf)), ["doc_id"])
-
-
 @query("md_fences", "SELECT doc_id, line_no, in_fence FROM md_fenced", "md_fenced")
 def md_fences(spark, sf):
-    return fenced(spark, sf).select("doc_id", "line_no", "in_fence")
+    return md.md_fences(notes(spark, sf)).select("doc_id", "line_no", "in_fence")
 
 
 _HEAD = rf"^ {{0,3}}(#{{1,6}}){o.WS}+(.*?){o.WS}*#*{o.WS}*$"
@@ -116,13 +127,9 @@ WHERE full_chunk
 """, "md_fenced")
 
 
-def paged(spark, sf):
-    return md.md_pages(fenced(spark, sf), ["doc_id"])
-
-
 @query("md_pages", "SELECT doc_id, line_no, page, line FROM md_paged", "md_paged")
 def md_pages(spark, sf):
-    return paged(spark, sf).select("doc_id", "line_no", "page", "line")
+    return md.md_pages(notes(spark, sf)).select("doc_id", "line_no", "page", "line")
 
 
 def sql_inline(c: str) -> str:
@@ -175,13 +182,13 @@ WHERE text <> '' AND (NOT mono OR {o.strip('text')} <> '')
 
 @query("md_blocks", "SELECT doc_id, page, block_index, text, mono, bullet, depth, heading, font_pt FROM md_blocks", "md_blocks")
 def md_blocks(spark, sf):
-    b = md.md_blocks(paged(spark, sf), ["doc_id"])
+    b = md.md_blocks(notes(spark, sf))
     return b.select("doc_id", "page", "block_index", "text", "mono", "bullet", "depth", "heading", "font_pt")
 
 
 @query("md_table_cells", "SELECT doc_id, page, line_no, table_r, table_c, text FROM md_cells", "md_cells")
 def md_table_cells(spark, sf):
-    return md.md_table_cells(paged(spark, sf), ["doc_id"])
+    return md.md_table_cells(notes(spark, sf))
 
 
 @query("md_inline_strip", f"SELECT doc_id, line_no, {sql_inline('line')} AS text FROM md_lines", "md_lines")

@@ -74,17 +74,17 @@ def test_math(spark):
 
 def pages_of(spark, text):
     df = spark.createDataFrame([(0, text)], "doc int, text string")
-    return md.md_pages(md.md_fences(md.lines_of(df), ["doc"]), ["doc"])
+    return md.md_pages(df)
 
 
 def blocks_of(spark, text):
-    rows = md.md_blocks(pages_of(spark, text), ["doc"]).orderBy("page", "block_index").collect()
+    rows = md.md_blocks(spark.createDataFrame([(0, text)], "doc int, text string")).orderBy("page", "block_index").collect()
     return [(r.page, r.text) for r in rows]
 
 
 def test_fences_close_only_on_their_own_mark(spark):
     text = "a\n```py\nx\n~~~\n```\nb\n~~~~\n```\n~~~\nc\n```\nopen"
-    rows = md.md_fences(md.lines_of(spark.createDataFrame([(0, text)], "doc int, text string")), ["doc"]).orderBy("line_no").collect()
+    rows = md.md_fences(spark.createDataFrame([(0, text)], "doc int, text string")).orderBy("line_no").collect()
     assert [r.line_no for r in rows if r.in_fence] == [1, 2, 3, 4, 6, 7, 8, 10, 11]
 
 
@@ -100,7 +100,7 @@ def test_blocks_of_a_note(spark):
     text = "# Head **bold** #\npara one\nline two\n\n- item\n  - sub [x](u)\n> quoted\n>\n```\ncode\n  deep\n```\n| a | |\n|---|---|\n| `b` | c |\nlast"
     assert blocks_of(spark, text) == [(0, t) for t in [
         "Head bold", "para one line two", "item", "sub x", "quoted", "code\n  deep", "a", "b", "c", "last"]]
-    rows = md.md_blocks(pages_of(spark, text), ["doc"]).orderBy("block_index").collect()
+    rows = md.md_blocks(spark.createDataFrame([(0, text)], "doc int, text string")).orderBy("block_index").collect()
     assert [(r.table_r, r.table_c) for r in rows if r.table_r is not None] == [(0, 0), (1, 0), (1, 1)]
     assert [(r.heading, r.font_pt) for r in rows][0] == (1, 30.0) and rows[3].depth == 1 and rows[5].mono
 
@@ -108,3 +108,31 @@ def test_blocks_of_a_note(spark):
 def test_an_empty_fence_is_no_block(spark):
     assert blocks_of(spark, "a\n```\n\n```\nb") == [(0, "a"), (0, "b")]
     assert blocks_of(spark, "\n \n") == []
+
+
+def test_notes_need_no_exchange(spark):
+    df = spark.createDataFrame([(0, "# a\n- b", "x")], "doc int, text string, page string").drop("page")
+    for rows in (md.md_fences(df), md.md_pages(df), md.md_blocks(df), md.md_table_cells(df)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_a_document_of_a_million_lines_takes_steps_in_proportion():
+    import time
+
+    def seconds(n):
+        lines = ["```", "~~~", "```", "text", "| a | b |", "- item", "", "# head", "---"] * (n // 9)
+        began = time.perf_counter()
+        fenced = md.fences(lines)
+        md.blocks_of(lines, fenced, md.pages_of(lines, fenced))
+        return time.perf_counter() - began
+
+    small, large = seconds(90_000), seconds(990_000)
+    assert large < 25 * small
+
+
+def test_no_text_and_repeated_rows(spark):
+    rows = [(1, None), (1, None), (2, ""), (3, "a"), (3, "a")]
+    df = spark.createDataFrame(rows, "doc int, text string")
+    assert sorted((r.doc, r.text) for r in md.md_blocks(df).collect()) == [(3, "a"), (3, "a")]
+    assert md.md_fences(df).count() == 5 and md.md_pages(df).count() == 2 and md.md_table_cells(df).count() == 0
