@@ -26,11 +26,12 @@ def query(name: str, sql: str | None = None, *needs: str):
     return keep
 
 
-def as_feed(spark, rows, name, files=6):
-    """Lay a table down as files that arrive one after another."""
+def as_feed(spark, rows, name, batches=3):
+    """Lay a table down as files, written by the tasks that make its rows, that arrive in a few batches."""
     path = session.work_path(spark, f"{name}-feed")
-    rows.repartition(files).write.parquet(path)
-    return feeds.read_feed(spark, path, rows.schema, files_per_batch=2)
+    rows.write.option("maxRecordsPerFile", 1_000_000).parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return feeds.read_feed(spark, path, rows.schema, files_per_batch=max(1, -(-files // batches)))
 
 
 @query(

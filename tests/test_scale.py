@@ -57,6 +57,46 @@ def test_page_work_shares_one_exchange(spark):
     assert below[: below.index("FileScan")].count("Exchange hashpartitioning") == 1, plan
 
 
+def test_blocks_are_worked_out_from_one_reading_of_the_texts(spark):
+    """Counting repeated text reads the pages that the blocks come from: one scan of the texts, one exchange."""
+    from quire.plans import stages
+
+    df = stages.classified(spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) <= 3 and sum("text#" in line for line in scans) == 1, plan
+    assert "ReusedExchange" in plan
+
+
+def test_folding_plain_text_costs_little_more_than_lower_case(spark):
+    import time
+
+    from quire.functions import text as tx
+
+    rows = spark.range(400_000).select(F.concat(F.lit("Some Plain WORDS "), "id").alias("t")).repartition(4).cache()
+    rows.count()
+
+    def seconds(column):
+        best = 99.0
+        for _ in range(4):
+            began = time.perf_counter()
+            rows.select(column.alias("f")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    lower, folded = seconds(F.lower("t")), seconds(tx.fold_case("t"))
+    rows.unpersist()
+    assert folded < 1.5 * lower + 0.3, (lower, folded)
+
+
+def test_a_global_rank_is_the_order_of_all_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("string").alias("k")).distinct()
+    got = scale.global_rank(df, ["k"], "r")
+    want = df.withColumn("w", F.row_number().over(Window.orderBy("k")) - 1)
+    assert got.join(want, "k").where("r <> w").count() == 0 and got.count() == df.count()
+
+
 def test_a_hot_deck_is_ranked_and_ordered_like_any_other(spark, tmp_path):
     """One deck with two thirds of all pages, spread over several shards."""
     from quire.operators import selection as sel
