@@ -57,13 +57,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder: worked out once, read by column after that,
     and safe from lost executors. For tables that are wide or read several times; its size is
     known to the planner."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    # once the table is written nobody reads the shuffles it was made by again
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     recorded_path(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
