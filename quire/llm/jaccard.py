@@ -12,6 +12,7 @@ compared with each other through their bitmaps.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from quire.llm.superstrings import Units, mix, rolled
 SHINGLE, PERCENT = 3, 90
 #: Sets of a tile that one task compares with each other.
 BLOCK = 2048
+#: Parts that candidate pairs are verified in, one after another.
+PORTIONS = 4
 
 
 def size_bands(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -234,7 +237,10 @@ def tile_rows(reps: DataFrame, buckets: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets link. Bitmaps first; arrays meet only for pairs that pass."""
+    """Of pairs (a, b), those whose sets link. Bitmaps first; arrays meet only for pairs that pass.
+
+    Every pair carries a bitmap on its way, so pairs are taken in ``PORTIONS``, one after another: the
+    disk holds the bitmaps of one portion at a time. What passes is little."""
     small = arrays.select("node", "n", "bits")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
 
@@ -257,8 +263,14 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_bits = pairs.join(side(small, "a"), F.col("a") == F.col("node_a")).join(side(small, "b"), F.col("b") == F.col("node_b"))
-    near = with_bits.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a bigint, b bigint")
+    pairs = lasting(pairs, "pairs")
+    portions = []
+    for k in range(PORTIONS):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(PORTIONS)) == k)
+        with_bits = some.join(side(small, "a"), F.col("a") == F.col("node_a")).join(side(small, "b"), F.col("b") == F.col("node_b"))
+        near = with_bits.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a bigint, b bigint")
+        portions.append(lasting(near, "near_pairs"))
+    near = functools.reduce(DataFrame.unionByName, portions)
     full = arrays.select("node", "arr")
     met = near.join(side(full, "a"), F.col("a") == F.col("node_a")).join(side(full, "b"), F.col("b") == F.col("node_b"))
     return met.select("a", "b", "arr_a", "arr_b").mapInArrow(exact, "a bigint, b bigint").distinct()

@@ -114,3 +114,11 @@ def test_common_order_is_the_longest_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert leaks.common_order(a, b) == table[-1][-1]
+
+
+def test_columns_of_any_name_and_ids_that_repeat(spark):
+    rows = [(i, "you vile wretch" if i % 2 else "a kind word") for i in range(200)] + [(1, "you vile wretch")] * 50
+    df = spark.createDataFrame([(i, t, 1, 2, "l") for i, t in rows], "doc_id bigint, text string, y int, part int, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    got = toxicity.score(df, labels).collect()
+    assert len(got) == 250 and all((r.predicted == 1) == (r.doc_id % 2 == 1) for r in got)

@@ -75,3 +75,21 @@ def test_cover_holds_every_difference():
     cover = suffixes.COVER
     assert {int((a - b) % suffixes.PERIOD) for a in cover for b in cover} == {*range(suffixes.PERIOD)}
     assert len(cover) < 10
+
+
+def test_rows_without_an_id_keep_their_own_repeats(spark):
+    """Many rows without an id, one of them repeated: only it and its copy are cut."""
+    from pyspark.sql import functions as F
+
+    from quire.llm import substrings, superstrings
+
+    n = 300_000
+    plain = spark.range(n).select(F.lit(None).cast("string").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"))
+    keys = superstrings.keyed(plain, "doc_id", "text")
+    assert keys.select("k1", "k2").distinct().count() == n
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"own {i} text") for i in range(50)] + [(None, long), (None, long), ("a", "other words"), ("b", long + " and more")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = substrings.drop_repeated_windows(df).collect()
+    assert sorted(r.n_removed for r in got if r.n_removed) == [60, 60, 60]
+    assert all(bytes(r.kept).decode() == t for r, t in zip(sorted((r for r in got if not r.n_removed), key=lambda r: bytes(r.kept)), sorted(t for _, t in rows if not t.startswith("w0"))))
