@@ -412,7 +412,7 @@ def unset_terms(spark, sf):
     "deck_homes", "chains", "glossary", "term_hits",
 )
 def affected_decks(spark, sf):
-    s = derived.keyed_sentences(stages.sentences(spark, sf))
+    s = session.written(derived.keyed_sentences(stages.sentences(spark, sf)), "keyed")
     hits = mem.term_hits(s, pinned_terms(spark, sf))
     edited = derived.glossary(spark, sf).where("locked").select("scope", "term")
     return gl.affected_decks(derived.deck_homes(spark, sf), edited, hits)

@@ -249,7 +249,7 @@ JOIN (SELECT DISTINCT term, chr(2) || replace(term, ' ', chr(2) || ' ' || chr(2)
     "term_hits",
 )
 def term_invalidation(spark, sf):
-    s = derived.keyed_sentences(stages.sentences(spark, sf))
+    s = session.written(derived.keyed_sentences(stages.sentences(spark, sf)), "keyed")
     return mem.term_invalidation(s, pinned_terms(spark, sf)).select(*UNIT, "cache_key", "terms")
 
 

@@ -43,7 +43,13 @@ FROM translated WHERE kind NOT IN ('code', 'chrome')
 
 @query("screen_order", f"SELECT {UNIT_SQL}, key, position FROM screen", "screen")
 def screen_order(spark, sf):
-    return sel.screen_order(stages.written_sentences(spark, sf)).select(*sel.UNIT, "key", "position")
+    return screen(spark, sf).select(*sel.UNIT, "key", "position")
+
+
+def screen(spark, sf):
+    """Positions of the selectable sentences; their places are written, not their texts."""
+    places = stages.sentences(spark, sf).select(*views.PAGE, "block_index", "sent_index", "kind")
+    return sel.screen_order(session.written(places, "places"))
 
 
 def selection(units):
@@ -60,7 +66,7 @@ SELECT *, deck_id || ':' || (page_index // 4) AS selection_id FROM screen WHERE
 
 @query("select_units", f"SELECT selection_id, {UNIT_SQL}, position FROM chosen", "chosen")
 def select_units(spark, sf):
-    units = session.written(sel.screen_order(stages.written_sentences(spark, sf)), "units")
+    units = session.written(screen(spark, sf), "units")
     return sel.select_units(units, selection(units)).select("selection_id", *sel.UNIT, "position")
 
 
@@ -82,7 +88,7 @@ def select_range(spark, sf):
         "deck_id", doc.alias("range_id"), F.concat((page + doc % 3).cast("string"), F.lit("|3|0")).alias("from_key"),
         F.when(doc % 10 == 9, "nowhere").otherwise(F.concat(page.cast("string"), F.lit("|4|1"))).alias("to_key"),
     )
-    return sel.select_range(session.written(sel.screen_order(stages.written_sentences(spark, sf)), "units"), ranges)
+    return sel.select_range(session.written(screen(spark, sf), "units"), ranges)
 
 
 @query(
