@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import text as tx
 from quire.plans import scale
 from quire.sources import files
@@ -33,7 +34,7 @@ def screen_order(sentences: DataFrame) -> DataFrame:
     before = scale.sharded_running_total(counts, ["deck_id"], "page_index", "_n", "_before").drop("_n")
     return (
         shown.withColumn("_at", F.row_number().over(on_page) - 1)
-        .join(before, PAGE)
+        .join(before.hint("merge"), PAGE)  # a row a page: never copied whole to every task
         .withColumn("position", F.col("_before") + F.col("_at"))
         .withColumn("key", unit_key())
         .drop("_at", "_before", "_flow")
@@ -50,13 +51,15 @@ def select_range(units: DataFrame, ranges: DataFrame) -> DataFrame:
 
     ``ranges`` is (range_id, deck_id, from_key, to_key). If either key is unknown only the second
     is selected. Positions are cut into bands and a range is joined to the bands it touches: an
-    equality join instead of a comparison with all units of the deck.
+    equality join instead of a comparison with all units of the deck. Units are as many as the deck has
+    sentences, however small their files are, so they are never copied whole to the driver or a task.
     """
-    at = units.select("deck_id", "key", "position")
+    at = units.select("deck_id", "key", "position").hint("merge")
     ends = (
         ranges.join(at.withColumnsRenamed({"key": "from_key", "position": "_a"}), ["deck_id", "from_key"], "left")
         .join(at.withColumnsRenamed({"key": "to_key", "position": "_b"}), ["deck_id", "to_key"], "left")
     ).withColumn("_known", F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    ends = session.written(ends, "range_ends")
     lone = ends.where(~F.col("_known")).select("range_id", "deck_id", F.col("to_key").alias("key"))
     shift = BAND.bit_length() - 1
     bands = (

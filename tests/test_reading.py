@@ -42,6 +42,26 @@ def test_a_range_over_many_bands(spark):
     assert sel.select_range(units, ranges).count() == (38 * 25 + 20) - (25 + 3) + 1
 
 
+def test_units_of_small_files_are_not_copied_to_every_task(spark, monkeypatch):
+    """A written table of millions of units may be a few MB of files; it is no table to broadcast."""
+    from quire import session
+
+    rows = [("d", 0, p, 0, i, "body", f"{p}-{i}", None) for p in range(40) for i in range(25)]
+    units = session.written(sel.screen_order(spark.createDataFrame(rows, S)), "units")
+    ranges = spark.createDataFrame([(1, "d", "1|0|3", "3|0|2")], "range_id int, deck_id string, from_key string, to_key string")
+    plans, real = [], session.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(session, "written", noted)
+    got = sel.select_range(units, real(ranges, "ranges"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "BroadcastHashJoin" in p], plans
+    assert got.count() == 50
+
+
 def copied(spark, *keys):
     units = sel.screen_order(sentences(spark))
     chosen = sel.select_units(units, spark.createDataFrame([("s", "d", k) for k in keys], "selection_id string, deck_id string, key string"))
