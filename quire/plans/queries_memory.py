@@ -249,7 +249,7 @@ JOIN (SELECT DISTINCT term, chr(2) || replace(term, ' ', chr(2) || ' ' || chr(2)
     "term_hits",
 )
 def term_invalidation(spark, sf):
-    s = session.written(derived.keyed_sentences(stages.sentences(spark, sf)), "keyed")
+    s = derived.keyed_sentences(stages.sentences(spark, sf))
     return mem.term_invalidation(s, pinned_terms(spark, sf)).select(*UNIT, "cache_key", "terms")
 
 
@@ -392,7 +392,7 @@ def translate_memory(spark, sf):
 
 def locked(spark, sf):
     s = stages.written_sentences(spark, sf)
-    return mem.lock_terms(derived.translated(s), derived.cache(s), pinned_terms(spark, sf))
+    return mem.lock_terms(derived.translated(s), derived.cache(s), pinned_terms(spark, sf), derived.keyed_sentences(s))
 
 
 @query(

@@ -111,6 +111,19 @@ def test_terms_match_whole_words_only(spark):
     ])
 
 
+def test_terms_are_found_where_the_sentences_are(spark):
+    """Neither words nor texts are dealt out, and more terms than a task holds give the same."""
+    rows = units(spark, ["The primary key.", "a primary sort", "no key here", "primary", "sort key; primary key"])
+    terms = spark.createDataFrame([("key", 1), ("primary key", 2), ("primary sort", 3), ("primary key here", 4), ("--", 5)], "term string, n int")
+    hits = mem.term_hits(rows, terms)
+    assert "hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    want = [("The primary key.", "key", 1), ("The primary key.", "primary key", 2), ("a primary sort", "primary sort", 3), ("no key here", "key", 1),
+            ("sort key; primary key", "key", 1), ("sort key; primary key", "primary key", 2)]
+    for found in (hits, mem.term_hits(rows, terms, held=2)):
+        assert found.columns == [*rows.columns, "term", "n"]
+        assert sorted((r.text, r.term, r.n) for r in found.collect()) == sorted(want)
+
+
 def test_terms_of_untranslatable_blocks_are_left(spark):
     assert mem.term_hits(units(spark, ["a key"], kind="code"), spark.createDataFrame([("key",)], "term string")).count() == 0
 
