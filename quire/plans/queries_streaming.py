@@ -65,7 +65,8 @@ def stream_deck_sync(spark, sf):
     whole = F.col("seq") % 97 == 5
     text = F.concat(F.lit("snapshot "), F.col("seq").cast("string"))
     held = F.array(*(F.struct(F.lit(p).alias("page"), text.alias("body")) for p in ("click", "extra")))
-    feed = as_feed(spark, decks.events(rows.where(~whole), rows.where(whole).select("deck", "seq", "at", held.alias("pages"))), "decks")
+    snapshots = rows.where(whole).select("deck", "seq", "at", held.alias("pages"))
+    feed = as_feed(spark, decks.events(rows.where(~whole), snapshots, decks.slots_by_size(rows)), "decks")
     state = feeds.run_to_end(spark, decks.deck_changes(feed), ["deck", "page"], "decks")
     return state.where("NOT gone").select("deck", "page", "seq", F.coalesce("body", F.lit("\u0000")).alias("body"))
 

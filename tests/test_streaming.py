@@ -78,3 +78,23 @@ def test_a_hot_deck_is_spread_over_slots(spark):
     rows = spark.range(1000).select(F.lit("hot").alias("deck"), F.col("id").cast("string").alias("page"), F.col("id").alias("seq"), F.lit(at(0)).alias("at"), F.lit("b").alias("body"))
     slots = decks.events(rows, spark.createDataFrame([("hot", 500, at(1), [])], SNAPSHOTS)).groupBy("slot").count().collect()
     assert len(slots) == decks.SLOTS and max(r["count"] for r in slots) < 120
+
+
+def test_only_large_decks_have_more_than_one_slot(spark):
+    rows = spark.range(1000).select(
+        F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("d"), F.col("id"))).alias("deck"), F.concat(F.lit("p"), F.col("id") % 40).alias("page"),
+        F.col("id").alias("seq"), F.lit(at(0)).alias("at"), F.lit("b").alias("body"),
+    )
+    large = decks.slots_by_size(rows, slots=4, span=100)
+    assert [tuple(r) for r in large.collect()] == [("hot", 4)]
+    snapshots = spark.createDataFrame([("hot", 880, at(1), [("p1", "snap")]), ("d950", 990, at(1), [("p2", "snap")])], SNAPSHOTS)
+    feed = decks.events(rows, snapshots, large)
+    slots = {r.deck: r.n for r in feed.groupBy("deck").agg(F.count_distinct("slot").alias("n")).collect()}
+    assert slots.pop("hot") == 4 and set(slots.values()) == {1} and len(slots) == 100
+    # a mark for each slot there is
+    assert feed.where("page IS NULL").count() == 5
+    path = session.work_path(spark, "decks")
+    feed.write.parquet(path)
+    got = final(spark, feeds.read_feed(spark, path, feed.schema))
+    assert got[("d950", "p2")] == (990, "snap") and ("d950", "p30") not in got and got[("d951", "p31")] == (951, "b")
+    assert {k[1]: v for k, v in got.items() if k[0] == "hot"} == {"p1": (880, "snap")} | {f"p{i % 40}": (i, "b") for i in range(880, 900)}
