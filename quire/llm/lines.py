@@ -164,7 +164,8 @@ def marked_lines(
     kept = F.when(F.col("_gone").isNull(), lines).otherwise(
         F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("_gone"), key_hash(x, least)), F.lit(True)))
     )
-    joined = rows.join(gone, rows._id.eqNullSafe(gone._gone_id), "left")
+    # by a merge at every size: the lists grow with the texts, so none is made to be held by every task
+    joined = rows.join(gone.hint("merge"), rows._id.eqNullSafe(gone._gone_id), "left")
     out = joined.select("_row", "_text", F.size(lines).cast("bigint").alias("_n_lines"), kept.alias("_kept"))
     return out.withColumn("_n_dropped", (F.col("_n_lines") - F.size("_kept")).cast("bigint"))
 

@@ -72,3 +72,12 @@ def test_runs_are_levelled_and_know_what_is_new(spark):
 def test_no_python_on_the_way(spark):
     plan = lines.digests(table(spark, rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_meet_their_dropped_lines_by_a_merge_at_every_size(spark):
+    """No list of lines is broadcast while it is small, so the plan, and what it shuffles, grows evenly."""
+    docs = spark.createDataFrame([(i, f"own {i}\n" + "x" * 50) for i in range(6)], "doc_id bigint, text string")
+    done = lines.drop_repeated_lines(docs)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+    assert {r.doc_id: r.n_dropped for r in done.collect()} == {i: int(i < 5) for i in range(6)}
