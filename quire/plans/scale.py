@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from quire import session
 
-# Rows of one key that one task ranks. 4096 documents of a few KB are tens of MB.
-SPAN = 4096
+# Rows of one key that one task ranks. 1024 documents of a few KB are a few MB.
+SPAN = 1024
 # Copies made of the small side of a join whose large side may have a hot key.
 SALTS = 16
 
@@ -50,6 +50,9 @@ def sharded_rank(
     )
     before = Window.partitionBy(*group).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # the window leaves the offsets dealt out by group alone, and a join may follow the dealing of either
+    # side: dealt out anew, so that the rows are not brought to them by group
+    offsets = offsets.repartition(*group, shard)
     inside = Window.partitionBy(*group, shard).orderBy(order)
     return (
         keyed.join(offsets, [*group, shard])
@@ -66,6 +69,7 @@ def sharded_running_total(
     totals = keyed.groupBy(*group, "_shard").agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*group).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_shard", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    offsets = offsets.repartition(*group, "_shard")  # as in sharded_rank
     inside = (
         Window.partitionBy(*group, "_shard").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -109,5 +113,7 @@ def salted_join(
     """
     salt = F.col(salt_from) if isinstance(salt_from, str) else salt_from
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # a right side that is dealt out by fewer keys would have the left side follow it there
+    copies = copies.repartition(*on, "_salt")
     salted = left.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts)))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

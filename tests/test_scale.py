@@ -42,6 +42,27 @@ def test_joins_agree(spark):
     assert other.select("k", "at", "n").exceptAll(plain).count() == 0 and other.count() == 3000
 
 
+def test_rows_follow_no_side_that_is_dealt_out_by_key_alone(spark):
+    """Only counts by key are brought together by key; rows of a hot key stay spread by shard or salt."""
+    import re
+
+    from quire.session import prepare
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    prepare(spark).conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = hot(spark)
+        sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        for got in (
+            scale.sharded_rank(df, ["k"], "at", "r"), scale.sharded_running_total(df, ["k"], "at", "v", "t"),
+            scale.salted_join(df, sizes, ["k"], "at"),
+        ):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning\(k#\d+, \d+\)", plan)) == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_page_work_shares_one_exchange(spark):
     """Ranking pages, exploding them and windows over whole pages need one shuffle of the text."""
     from quire.operators import classify as cl
