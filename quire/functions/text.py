@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,8 @@ SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# Something else, at any place.
+NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 # The mark of a sentence end, and what stands before a mark that the text itself holds.
 MARK, HIDE = "\u0001", "\u0002"
@@ -86,15 +89,34 @@ def _foldings() -> dict[str, str]:
 _FOLDINGS = _foldings()
 
 
+def _letters(of: Iterable[str]) -> str:
+    """A class of these letters, neighbours as ranges: a pattern tries the parts of a class one by one."""
+    parts: list[list[int]] = []
+    for i in sorted(map(ord, of)):
+        if parts and parts[-1][1] == i - 1:
+            parts[-1][1] = i
+        else:
+            parts.append([i, i])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in parts) + "]"
+
+
+# Letters that fold to one other; sharp s, the only common one that folds to several, is replaced by itself.
+_SINGLE = {a: b for a, b in _FOLDINGS.items() if len(b) == 1}
+_SHARP = "ß"
+_RARE, _SEVERAL = _letters(_FOLDINGS), _letters(a for a, b in _FOLDINGS.items() if len(b) > 1 and a != _SHARP)
+
+
 def fold_case(c: str | Column) -> Column:
     """Full case folding. Plain text (as many bytes as letters) and text without one of the rare
-    letters take the short way, lower case; only text that is not plain is searched for them."""
+    letters take the short way, lower case; only text that is not plain is searched for them, and only
+    text with one of the rarest is taken letter by letter."""
     col = _col(c)
     table = F.create_map(*(F.lit(x) for pair in _FOLDINGS.items() for x in pair))
     letters = F.transform(F.split(col, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    some = col.rlike("[" + "".join(_FOLDINGS) + "]")
+    short = F.replace(F.translate(col, "".join(_SINGLE), "".join(_SINGLE.values())), F.lit(_SHARP), F.lit(_FOLDINGS[_SHARP]))
     plain = F.length(col) == F.octet_length(col)
-    return F.when(plain, F.lower(col)).otherwise(F.lower(F.when(some, F.array_join(letters, "")).otherwise(col)))
+    folded = F.when(col.rlike(_SEVERAL), F.array_join(letters, "")).otherwise(short)
+    return F.when(plain, F.lower(col)).otherwise(F.lower(F.when(col.rlike(_RARE), folded).otherwise(col)))
 
 
 @F.pandas_udf(T.StringType())
@@ -148,7 +170,13 @@ _ABBREV = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 
 
 def segment(c: str | Column) -> Column:
-    """Sentences of a text as an array; empty text gives an empty array.
+    """Sentences of a text as an array; empty text gives an empty array."""
+    return segment_plain(collapse_ws(c))
+
+
+def segment_plain(c: str | Column) -> Column:
+    """The same of a text whose white space is collapsed already. It is looked at several times, so it is
+    best a column of its own.
 
     A mark goes in at every place that can end a sentence, two rules take back marks that look
     further than the place itself, and the text is split at what is left. Every rule only keeps
@@ -157,7 +185,7 @@ def segment(c: str | Column) -> Column:
     # No mark after a full stop that follows a shortened word or one letter (an initial, a list
     # letter), or comes before a lower-case letter. What stands before is only looked at there.
     stop = rf"\.(?<!(?<![\p{{L}}\p{{N}}_.])(?:\p{{L}}|(?iu:{_ABBREV}))\.){_CLOSERS} (?!\p{{Ll}})"
-    plain = collapse_ws(c)
+    plain = _col(c)
     marked = F.contains(plain, F.lit(MARK)) | F.contains(plain, F.lit(HIDE))
     hidden = F.replace(F.replace(plain, F.lit(HIDE), F.lit(HIDE + "\u0004")), F.lit(MARK), F.lit(HIDE + "\u0003"))
     t = replace_all(F.when(marked, hidden).otherwise(plain), rf"([!?]{_CLOSERS} |{stop})", f"$1{MARK}")

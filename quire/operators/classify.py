@@ -65,7 +65,9 @@ def furniture_by_shard(blocks: DataFrame, sizes: DataFrame | None = None) -> Dat
     on every page of a huge deck is one row a shard.
     """
     # Folding may double the length, so texts of up to twice the limit can share a key.
-    short = with_repeat_key(blocks.where(F.length(tx.strip("text")) <= 2 * FURNITURE_MAX_CHARS))
+    bare = blocks.withColumn("_bare", tx.strip("text")).where(F.length("_bare") <= 2 * FURNITURE_MAX_CHARS)
+    # no text is missing here; said outright, as a key that might be would be worked out once more to see
+    short = with_repeat_key(bare).withColumn("rep_text", F.coalesce("rep_text", F.lit("")))
     per_shard = (
         short.select(*REPEAT_KEY, "shard", "page_index").distinct()
         .groupBy(*REPEAT_KEY, "shard").agg(F.count(F.lit(1)).alias("_pages"))

@@ -11,8 +11,11 @@ from quire.functions import text as tx
 def sentences(rows: DataFrame, text: str = "text") -> DataFrame:
     """One row per sentence, with its place in the block and its content id."""
     others = [c for c in rows.columns if c != text]
+    plain = rows.select(*others, tx.collapse_ws(text).alias("_plain"))
+    # a plain explode would work the sentences out twice, once to see that there are any
+    found = plain.select(*others, F.posexplode_outer(tx.segment_plain("_plain")).alias("sent_index", "text"))
     return (
-        rows.select(*others, F.posexplode(tx.segment(text)).alias("sent_index", "text"))
+        found.where("sent_index IS NOT NULL")
         .withColumn("sent_index", F.col("sent_index").cast("bigint"))
         .withColumn("sentence_id", tx.content_id("text"))
     )

@@ -150,6 +150,11 @@ def unit_replies(spark, sf):
     return units, derived.replies(units)
 
 
+def written_replies(replies):
+    """Replies as they were read, written once for work that looks at them more than once."""
+    return session.written(mem.read_replies(replies).drop("reply"), "read_replies")
+
+
 @query(
     "parse_reply",
     """SELECT deck_id, page_index, attempt, unit_id, answer, NULL AS error FROM answers
@@ -157,7 +162,7 @@ def unit_replies(spark, sf):
     "answers", "reply_errors",
 )
 def parse_reply(spark, sf):
-    _, replies = unit_replies(spark, sf)
+    replies = written_replies(unit_replies(spark, sf)[1])
     good = mem.parse_reply(replies).withColumn("error", F.lit(None).cast("string"))
     both = good.unionByName(mem.reply_errors(replies), allowMissingColumns=True)
     return both.select("deck_id", "page_index", "attempt", "unit_id", "answer", "error")
@@ -221,7 +226,7 @@ def accept_checks(spark, sf):
 def page_results(spark, sf):
     s = stages.written_sentences(spark, sf)
     units = stages.written_units(s)
-    replies = derived.replies(units)
+    replies = written_replies(derived.replies(units))
     looked = mem.cache_lookup(derived.keyed_sentences(s), derived.cache(s))
     done = mem.accept_checks(mem.retry_rounds(units, replies))
     return mem.page_results(looked, done, replies).select(

@@ -144,3 +144,24 @@ def test_one_call_per_text(spark):
     u = mem.with_cache_key(units(spark, ["same", "same", "other"]), "zh-CN", "m0")
     once = mem.infer_once_per_text(u)
     assert sorted(r.text for r in once.collect()) == ["other", "same"]
+
+
+def test_a_reply_is_read_once(spark):
+    """Parsing is most of the work on replies: one pass gives the answers and the errors, and replies that
+    were read and written are not parsed again."""
+    rows, asked = replies(spark, [answer({"1": "a"}), "not json", answer({"2": "b"})]), units(spark, ["x", "y"])
+    rounds = mem.retry_rounds(asked, rows)
+    assert rounds._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    read = mem.read_replies(rows).drop("reply")
+    assert mem.read_replies(read) is read
+    for plain, again in (
+        (rounds, mem.retry_rounds(asked, read)), (mem.parse_reply(rows), mem.parse_reply(read)),
+        (mem.reply_errors(rows), mem.reply_errors(read)), (mem.parse_terms(rows), mem.parse_terms(read)),
+    ):
+        assert plain.columns == again.columns and sorted(plain.collect()) == sorted(again.collect())
+    assert {r.unit_id: r.answer for r in rounds.collect()} == {1: "a", 2: None}
+
+
+def test_unit_numbers_with_signs_and_spaces(spark):
+    raw = answer({" 1 ": "a", "[2]": "b", "[\u00a03]": "c", "+4": "d", "5.0": "e", "x": "f", "\u20036": "g"})
+    assert {r.unit_id: r.answer for r in mem.parse_reply(replies(spark, [raw])).collect()} == {1: "a", 2: "b", 3: "c", 4: "d", 6: "g"}

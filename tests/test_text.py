@@ -106,3 +106,14 @@ def test_markdown_and_html(spark):
     assert row.m == "alt x label code bold in it u"
     assert row.h == "a b c & d"
     assert row.s == "information well-\nKnown 3-\n4"
+
+
+def test_exploded_arrays_are_worked_out_once(spark):
+    """No filter works out blocks, sentences or keys a first time, only to see whether there are any."""
+    from quire.plans import stages
+    from quire.sources import views
+
+    for df in (views.blocks(spark, "/root/testdata/sf0.001"), stages.sentences(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        worked = [line for line in plan.splitlines() if "Filter " in line and ("split(" in line or "transform(" in line)]
+        assert not worked, worked
