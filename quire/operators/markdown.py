@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,23 +144,45 @@ def closes(lines: list[str], fenced: list[int | None], i: int) -> bool:
     return bool(found) and found.group(1)[0] == _fence(lines[fenced[i]]).group(1)[0]
 
 
+#: Bytes of text that are taken apart at once. Lines as Python values are many times their text.
+PORTION = 1 << 20
+
+
+def portions(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in turn, about ``PORTION`` bytes of the column ``text`` at a time: a batch holds
+    ten thousand rows whatever their size, and a task should not hold the lines of all of them."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > PORTION:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def outline(value: str | None, what: str) -> list:
+    """The lines of a text, or its pages of blocks."""
+    lines = (value or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    fenced = fences(lines)
+    page = pages_of(lines, fenced)
+    if what == "lines":
+        return [(i, line, f is not None, p) for i, (line, f, p) in enumerate(zip(lines, fenced, page))]
+    return blocks_of(lines, fenced, page)
+
+
 def outlined(documents: DataFrame, what: str, text: str = "text") -> DataFrame:
     """``documents`` with ``_o`` in place of their text: its lines, or its pages of blocks. A null text is an empty one."""
     names = [c for c in documents.columns if c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(len(names)).to_pylist():
-                lines = (value or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                fenced = fences(lines)
-                page = pages_of(lines, fenced)
-                if what == "lines":
-                    out.append([(i, line, f is not None, p) for i, (line, f, p) in enumerate(zip(lines, fenced, page))])
-                else:
-                    out.append(blocks_of(lines, fenced, page))
-            built = pa.array(out, _LINES if what == "lines" else _PAGES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], built], names=[*names, "_o"])
+            for rows in portions(batch, len(names)):
+                out = [outline(value, what) for value in rows.column(len(names)).to_pylist()]
+                built = pa.array(out, _LINES if what == "lines" else _PAGES)
+                del out
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], built], names=[*names, "_o"])
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
     return documents.select(*names, text).mapInArrow(work, f"{kinds}, _o {LINES if what == 'lines' else PAGES}")

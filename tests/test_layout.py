@@ -136,3 +136,18 @@ def test_no_text_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc int, text string")
     assert sorted((r.doc, r.text) for r in md.md_blocks(df).collect()) == [(3, "a"), (3, "a")]
     assert md.md_fences(df).count() == 5 and md.md_pages(df).count() == 2 and md.md_table_cells(df).count() == 0
+
+
+def test_notes_are_taken_apart_in_portions():
+    """A batch of ten thousand notes is not held as lines all at once; rows, nulls and order stay."""
+    import pyarrow as pa
+
+    from quire.operators import markdown as md
+
+    texts = ["a" * 300_000, None, "", "b" * (3 * md.PORTION), "c" * 900_000, "d", "é" * 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(md.portions(batch, 1))
+    assert [r["text"] for part in parts for r in part.to_pylist()] == texts
+    sizes = [[len((r["text"] or "").encode()) for r in part.to_pylist()] for part in parts]
+    assert len(parts) > 3 and all(sum(s) <= md.PORTION or sum(1 for x in s if x) == 1 for s in sizes)
+    assert list(md.portions(batch.slice(0, 0), 1)) == []
