@@ -361,9 +361,9 @@ def forgetful_model(prompt: str) -> str:
 
 def translated_pages(spark, sf):
     """Standing inputs of the loop, and its outcome: the memory before, and the judged units."""
-    s = stages.written_sentences(spark, sf)
-    units = stages.written_units(s)
     pages = session.written(stages.classified(spark, sf), "classified")
+    s = session.written(stages.sentences_of(pages), "sentences")
+    units = stages.written_units(s)
     terms = session.written(deck_terms(spark, sf), "deck_terms")
     sizes = views.deck_sizes(spark, sf)
     judged, _ = mem.translate_pages(units, lambda rest: mem.build_prompts(pages, rest, sizes, terms), forgetful_model)

@@ -165,3 +165,12 @@ def test_a_reply_is_read_once(spark):
 def test_unit_numbers_with_signs_and_spaces(spark):
     raw = answer({" 1 ": "a", "[2]": "b", "[\u00a03]": "c", "+4": "d", "5.0": "e", "x": "f", "\u20036": "g"})
     assert {r.unit_id: r.answer for r in mem.parse_reply(replies(spark, [raw])).collect()} == {1: "a", 2: "b", 3: "c", 4: "d", 6: "g"}
+
+
+def test_the_loop_classifies_its_pages_once(spark, monkeypatch):
+    from quire.plans import queries_memory, stages
+
+    calls, classified = [], stages.classified
+    monkeypatch.setattr(stages, "classified", lambda *a: calls.append(a) or classified(*a))
+    _, judged = queries_memory.translated_pages(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and judged.where("failed").isEmpty()
