@@ -174,3 +174,11 @@ def test_the_loop_classifies_its_pages_once(spark, monkeypatch):
     monkeypatch.setattr(stages, "classified", lambda *a: calls.append(a) or classified(*a))
     _, judged = queries_memory.translated_pages(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1 and judged.where("failed").isEmpty()
+
+
+def test_asking_again_reads_sentences_that_were_written(spark):
+    """Places are chosen from the sentences and joined to them: both read one table, neither splits texts."""
+    from quire.plans import queries_memory
+
+    plan = queries_memory.retranslate_one(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
