@@ -54,12 +54,28 @@ def replace_all(c: str | Column, pattern: str, by: str = "") -> Column:
 
 def strip(c: str | Column) -> Column:
     """Drop white space, Unicode included, at both ends."""
-    return F.btrim(_col(c), F.lit(SPACES))
+    bare = F.btrim(_col(c), F.lit(SPACES))
+    if not isinstance(c, str):
+        return bare
+    # most texts begin and end with a letter or mark of a range without white space, which is seen sooner
+    first, last = F.ascii(c), F.ascii(F.right(F.col(c), F.lit(1)))
+    inked = lambda n: n.between(0x21, 0x7E) | n.between(0xA1, 0x167F)
+    return F.when(inked(first) & inked(last), F.col(c)).otherwise(bare)
+
+
+# White space other than a plain space. Letters of the first 256 are one look into a table; the others are only
+# tried where a letter lies in their range.
+_ODD_SPACE = (
+    r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]"
+)
 
 
 def collapse_ws(c: str | Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(replace_all(c, rf"{SPACE}+", " "))
+    one = replace_all(c, rf"{SPACE}+", " ")
+    if isinstance(c, str):  # most texts have single plain spaces only, and writing each anew is most of the work
+        one = F.when(F.contains(F.col(c), F.lit("  ")) | F.col(c).rlike(_ODD_SPACE), one).otherwise(F.col(c))
+    return F.trim(one)
 
 
 def word_count(c: str | Column) -> Column:
@@ -68,6 +84,13 @@ def word_count(c: str | Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(f"{SPACE}+")) + 1)
 
 
+def words_up_to(c: str | Column, most: int) -> Column:
+    """The same of stripped text, and ``most`` + 1 for every text of more than ``most`` words, which is read
+    no further than that."""
+    more = rf"\A(?:{NOT_SPACE}++{SPACE}++){{{most}}}{NOT_SPACE}"
+    return F.when(_col(c).rlike(more), most + 1).otherwise(word_count(c))
+
+
 def first_words(c: str | Column, n: int) -> Column:
     """The first ``n`` words with punctuation removed."""
     plain = F.trim(replace_all(c, r"[^\p{L}\p{N} ]"))
@@ -103,7 +126,9 @@ def _letters(of: Iterable[str]) -> str:
 # Letters that fold to one other; sharp s, the only common one that folds to several, is replaced by itself.
 _SINGLE = {a: b for a, b in _FOLDINGS.items() if len(b) == 1}
 _SHARP = "ß"
-_RARE, _SEVERAL = _letters(_FOLDINGS), _letters(a for a, b in _FOLDINGS.items() if len(b) > 1 and a != _SHARP)
+# None of them is plain, which is seen at once; a class has its parts tried one by one.
+_RARE = r"(?=[^\x00-\x7F])" + _letters(_FOLDINGS)
+_SEVERAL = r"(?=[^\x00-\x7F])" + _letters(a for a, b in _FOLDINGS.items() if len(b) > 1 and a != _SHARP)
 
 
 def fold_case(c: str | Column) -> Column:
@@ -184,11 +209,12 @@ def segment_plain(c: str | Column) -> Column:
     """
     # No mark after a full stop that follows a shortened word or one letter (an initial, a list
     # letter), or comes before a lower-case letter. What stands before is only looked at there.
-    stop = rf"\.(?<!(?<![\p{{L}}\p{{N}}_.])(?:\p{{L}}|(?iu:{_ABBREV}))\.){_CLOSERS} (?!\p{{Ll}})"
+    # An end mark is looked for first, as one class of letters; what it is comes after.
+    stop = rf"(?<=\.)(?<!(?<![\p{{L}}\p{{N}}_.])(?:\p{{L}}|(?iu:{_ABBREV}))\.){_CLOSERS} (?!\p{{Ll}})"
     plain = _col(c)
     marked = F.contains(plain, F.lit(MARK)) | F.contains(plain, F.lit(HIDE))
     hidden = F.replace(F.replace(plain, F.lit(HIDE), F.lit(HIDE + "\u0004")), F.lit(MARK), F.lit(HIDE + "\u0003"))
-    t = replace_all(F.when(marked, hidden).otherwise(plain), rf"([!?]{_CLOSERS} |{stop})", f"$1{MARK}")
+    t = replace_all(F.when(marked, hidden).otherwise(plain), rf"[.!?](?:(?<=[!?]){_CLOSERS} |{stop})", f"$0{MARK}")
     # after a token with a full stop inside: an acronym or a version
     t = replace_all(t, rf"(\.{WORD}*{_TAIL}){MARK}", "$1")
     # after a number that opens the sentence: a list number
@@ -198,8 +224,11 @@ def segment_plain(c: str | Column) -> Column:
     return F.when(marked, shown).otherwise(parts)
 
 
+SENTENCE_ENDS = ".!?:;"
+
+
 def ends_sentence(c: str | Column) -> Column:
-    return _col(c).rlike(rf"[.!?:;]{SPACE}*\z")
+    return _col(c).rlike(rf"[{SENTENCE_ENDS}]{SPACE}*\z")
 
 
 # What counts as markup, in pages and in notes.

@@ -17,19 +17,33 @@ def term_key(term: str | Column = "term") -> Column:
     return tx.fold_case(tx.strip(term))
 
 
+def worded(proposals: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Proposals with the key of their term and their bare translation; blanks are left out.
+
+    Blanks are told by the raw text: a filter on what is worked out here would work it out a second time.
+    """
+    kept = proposals.where(F.col("term").rlike(tx.NOT_SPACE) & F.col("translation").rlike(tx.NOT_SPACE))
+    bare = kept.select(*scope, tx.strip("term").alias("term"), tx.strip("translation").alias("translation"), "seq")
+    return bare.withColumn("term", tx.fold_case("term"))
+
+
+def first_seen(proposals: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The first rendering of every proposed term as ``_new``, and how often it was proposed as ``_seen``."""
+    return worded(proposals, scope).groupBy(*scope, "term").agg(
+        F.min_by("translation", "seq").alias("_new"), F.count(F.lit(1)).alias("_seen")
+    )
+
+
 def observe(current: DataFrame, proposals: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Add proposals to a glossary: the first rendering of a term stays, the count goes up.
 
     ``proposals`` carries ``seq``; blanks are left out. Terms are counted by each task before the
     shuffle, so a term proposed everywhere costs one row per task.
     """
-    keys = [*scope, "term"]
-    seen = (
-        proposals.select(*scope, term_key().alias("term"), tx.strip("translation").alias("translation"), "seq")
-        .where("term <> '' AND translation <> ''")
-        .groupBy(*keys)
-        .agg(F.min_by("translation", "seq").alias("_new"), F.count(F.lit(1)).alias("_seen"))
-    )
+    return _added(current, first_seen(proposals, scope), [*scope, "term"])
+
+
+def _added(current: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return current.join(seen, keys, "full").select(
         *keys, F.coalesce("translation", "_new").alias("translation"), F.coalesce("locked", F.lit(False)).alias("locked"),
         (F.coalesce("count", F.lit(0)) + F.coalesce("_seen", F.lit(0))).alias("count"),
@@ -166,12 +180,13 @@ def scope_counts(scopes: DataFrame, glossary: DataFrame) -> DataFrame:
 
 def scoped_observe(current: DataFrame, proposals: DataFrame) -> DataFrame:
     """Proposals made in a folder land in that folder's glossary, unless the term applies there
-    already; a known term is not counted again. ``proposals`` carries ``leaf``."""
-    keyed = proposals.withColumn("term", term_key())
-    asked = keyed.select("leaf", "term").distinct()
-    known = cat.scope_chain(asked, "leaf").join(current.select("scope", "term"), ["scope", "term"], "left_semi")
-    fresh = keyed.join(known.select("leaf", "term").distinct(), ["leaf", "term"], "left_anti").withColumnRenamed("leaf", "scope")
-    return observe(current, fresh, ["scope"])
+    already; a known term is not counted again. ``proposals`` carries ``leaf``.
+
+    Terms are counted first, a row for each folder and term; what applies there is looked up for those rows."""
+    seen = session.written(first_seen(proposals, ["leaf"]), "proposed")
+    known = cat.scope_chain(seen.select("leaf", "term"), "leaf").join(current.select("scope", "term"), ["scope", "term"], "left_semi")
+    fresh = seen.join(known.select("leaf", "term").distinct(), ["leaf", "term"], "left_anti").withColumnRenamed("leaf", "scope")
+    return _added(current, fresh, ["scope", "term"])
 
 
 def own_vs_inherited(leaves: DataFrame, glossary: DataFrame) -> DataFrame:

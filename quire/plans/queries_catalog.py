@@ -347,13 +347,14 @@ def resolve_scoped(spark, sf):
     "glossary", "proposals", "deck_homes", "resolved",
 )
 def scoped_observe(spark, sf):
-    """Homes are one row per deck; they are copied over salts to meet the lines of a huge deck."""
+    """Homes are one row per deck; they are copied over salts to meet the documents of a huge deck, before
+    there is a row for each of their words."""
     from quire.plans import scale
 
     homes = derived.deck_homes(spark, sf).withColumnRenamed("folder", "leaf")
     g = derived.glossary(spark, sf)
-    offered = scale.salted_join(derived.proposals(spark, sf), homes, ["deck_id"], "seq", how="inner")
-    return gl.scoped_observe(g, offered.select("leaf", "seq", "term", "translation"))
+    docs = scale.salted_join(derived.proposing(spark, sf), homes, ["deck_id"], "doc_id", how="inner")
+    return gl.scoped_observe(g, derived.proposals_of(docs.select("doc_id", "leaf", "text")))
 
 
 @query(

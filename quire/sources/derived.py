@@ -177,18 +177,29 @@ def glossary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def proposals(spark: SparkSession, sf: str) -> DataFrame:
+def proposing(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents whose words a model offered as terms."""
+    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("deck_id"), "text")
+
+
+def proposals_of(docs: DataFrame) -> DataFrame:
     """Terms a model offered: every word of every line of the documents, in order. ``seq`` holds the
-    document in its upper half and the word's number in its lower one."""
+    document in its upper half and the word's number in its lower one. Other columns go with the words."""
     words = F.flatten(F.transform(views.text_lines("text"), lambda s: F.split(s, " ")))
-    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("deck_id"), F.posexplode(words).alias("k", "term"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # a plain explode would work the words out twice, once to see that there are any
+    found = docs.select("doc_id", *others, F.posexplode_outer(words).alias("k", "term")).where("k IS NOT NULL")
     mark = F.col("doc_id") + F.col("k")
-    return docs.select(
-        "deck_id", (F.shiftleft("doc_id", 32) + F.col("k")).alias("seq"), "term",
+    return found.select(
+        *others, (F.shiftleft("doc_id", 32) + F.col("k")).alias("seq"), "term",
         F.when(mark % 10 == 0, " ").otherwise(F.concat(F.lit(" p:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string"))).alias("translation"),
     )
 
 
+def proposals(spark: SparkSession, sf: str) -> DataFrame:
+    return proposals_of(proposing(spark, sf))
+
+
 def deck_homes(spark: SparkSession, sf: str) -> DataFrame:
     """The folder a deck lies in: that of the page with the deck's number."""
     decks = views.deck_sizes(spark, sf).withColumn("page_id", F.regexp_extract("deck_id", r"(\d+)\z", 1).cast("bigint"))

@@ -194,3 +194,26 @@ def test_one_folder_with_a_third_of_all_names(spark):
     entries = spark.range(30_000).select(path.alias("path"), F.lit("file").alias("kind"), F.lit(True).alias("resolves"))
     got = {r.path: r.children for r in cat.tree_signature(cat.library_nodes(entries)).where("path IN ('', 'hot')").collect()}
     assert got["hot"] == 10_000
+
+
+def test_words_are_exploded_and_folded_once(spark):
+    """No filter works out the words of a document, or the key of a term, only to see whether they are blank."""
+    from quire.sources import derived
+
+    offered = derived.proposals(spark, "/root/testdata/sf0.001")
+    for df in (offered, gl.worded(offered)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        worked = [line for line in plan.splitlines() if "Filter " in line and ("split(" in line or "trim(" in line)]
+        assert not worked, worked
+
+
+def test_proposals_are_counted_before_they_are_looked_up(spark):
+    """What applies in a folder is looked up for a row a term, not for each time it was proposed."""
+    now = spark.createDataFrame([("a", "key", "K", False, 1)], "scope string, term string, translation string, locked boolean, count long")
+    seen = spark.createDataFrame(
+        [("a/b", i, t, f"{t}{i}") for i in range(50) for t in ("Key", " new ", " ")], "leaf string, seq long, term string, translation string"
+    )
+    got = gl.scoped_observe(now, seen)
+    assert {(r.scope, r.term): (r.translation, r["count"]) for r in got.collect()} == {("a", "key"): ("K", 1), ("a/b", "new"): ("new 0", 50)}
+    joined = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "min_by" in line]
+    assert not joined, joined  # counted and written before the plan of the look-up
