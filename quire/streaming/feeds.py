@@ -25,12 +25,10 @@ def page_state(events: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def glossary_state(proposals: DataFrame) -> DataFrame:
     """First rendering of a term by event order, not by arrival, and how often it was proposed."""
-    from quire.operators.glossary import term_key
-    from quire.functions import text as tx
+    from quire.operators.glossary import worded
 
-    clean = proposals.select(term_key().alias("term"), tx.strip("translation").alias("translation"), "seq")
     return (
-        clean.where("term <> '' AND translation <> ''").groupBy("term")
+        worded(proposals).groupBy("term")
         .agg(F.min_by("translation", "seq").alias("translation"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("count"))
     )
 
