@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from queue import SimpleQueue
+from threading import Lock
 
 import pandas as pd
 from pyarrow import fs
@@ -51,6 +53,7 @@ class Log:
         self.store, base = opened(root)
         self.folder = f"{base}/bucket={bucket}"
         self.store.create_dir(self.folder, recursive=True)
+        self.waiting, self.writing = SimpleQueue(), Lock()
 
     def known(self) -> tuple[dict[str, str], list[str]]:
         """Replies by prompt, and the files they are in."""
@@ -70,6 +73,15 @@ class Log:
         self.store.move(draft, final)
         return final
 
+    def noted(self, key: str, reply: str, known: dict[str, str], files: list[str]) -> None:
+        """Log a reply, back once it is there. Replies that come while a file is written share the next one."""
+        self.waiting.put((key, reply))
+        with self.writing:
+            if key not in known:
+                fresh = dict(self.waiting.get() for _ in range(self.waiting.qsize()))
+                files.append(self.add(fresh))
+                known.update(fresh)
+
     def compacted(self, replies: dict[str, str], files: list[str]) -> None:
         """One file in place of many; what is in both for a moment is read the same twice."""
         if len(files) > 1:
@@ -84,7 +96,8 @@ def infer_logged(
     """``prompts`` with ``reply``, ``call_error`` and ``calls``: every distinct prompt is asked once.
 
     Prompts are dealt into buckets by their hash, the same ones in every run. A task asks ``pool`` of them
-    at a time and logs each reply under ``log``, a folder all executors share, as soon as it is there. A
+    at a time and logs each reply under ``log``, a folder all executors share, as soon as it is there; those
+    that come while a file is written share the next. A
     task that is run again, and a later run over the same or other prompts, reads the log first and asks
     only what has no reply; ``calls`` is then 0. Errors are not logged, so they are asked again next time.
     Equal prompts, a third of all rows perhaps, are one call; a null prompt has no reply and no error.
@@ -114,8 +127,7 @@ def infer_logged(
                             return key, known[key], None, 0
                         reply, error, calls = retry.ask(complete, prompt)
                         if error is None:
-                            files.append(kept.add({key: reply}))
-                            known[key] = reply
+                            kept.noted(key, reply, known, files)
                         return key, reply, error, calls
 
                     done = list(workers.map(one, zip(rows["prompt_id"], rows["prompt"])))

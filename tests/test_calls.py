@@ -121,3 +121,22 @@ def test_the_pool_is_bounded_and_used(spark, tmp_path):
     rows = calls.infer_logged(prompts, slow, str(tmp_path / "log"), buckets=1, pool=8, retry=NONE).collect()
     assert len(rows) == 40 and max(int(r.reply) for r in rows) >= 8
     assert time.monotonic() - began < 30
+
+
+def test_replies_that_come_together_share_a_file(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Slow(calls.Log):
+        def add(self, replies):
+            time.sleep(0.02)
+            return super().add(replies)
+
+    log, known, files = Slow(str(tmp_path), 0), {}, []
+
+    def noted(i):
+        log.noted(f"p{i}", f"r{i}", known, files)
+        assert f"p{i}" in known  # it is in the log before the next call is made
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(noted, range(80)))
+    assert log.known()[0] == known == {f"p{i}": f"r{i}" for i in range(80)} and len(files) < 60
