@@ -28,11 +28,13 @@ REPEAT_KEY = ["deck_id", "rep_text", "rep_x", "rep_y"]
 
 
 def with_features(blocks: DataFrame) -> DataFrame:
-    """What the rules look at, worked out once: bare text, number of words, closing punctuation."""
+    """What the rules look at, worked out once: bare text, number of words, closing punctuation.
+
+    No rule tells numbers of words apart that are beyond its limits, so they are counted up to there."""
     return (
         blocks.withColumn("_bare", tx.strip("text"))
-        .withColumn("_words", tx.word_count("text"))
-        .withColumn("_ends", tx.ends_sentence("text"))
+        .withColumn("_words", tx.words_up_to("_bare", max(TITLE_MAX_WORDS, CAPTION_MAX_WORDS, LABEL_MAX_WORDS)))
+        .withColumn("_ends", F.right("_bare", F.lit(1)).isin(*tx.SENTENCE_ENDS))
     )
 
 

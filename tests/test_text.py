@@ -117,3 +117,23 @@ def test_exploded_arrays_are_worked_out_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         worked = [line for line in plan.splitlines() if "Filter " in line and ("split(" in line or "transform(" in line)]
         assert not worked, worked
+
+
+def test_short_ways_give_what_the_long_ones_do(spark):
+    """Ends of a text, gaps and counts of words are seen by quicker means; odd spaces and letters take the long way."""
+    texts = ["plain", " lead", "tail　", " ", "", "a b  c", "x\x85y", "é", " é.", "“q”", "K !", " ".join("w" * 12), " ".join("w" * 13), None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", tx.strip("t").alias("s"), tx.collapse_ws("t").alias("c"), tx.words_up_to("t", 12).alias("n")
+    ).collect()
+    for r in rows:
+        t = texts[r.i]
+        want = (None, None, None) if t is None else (t.strip(), " ".join(t.split()), min(len(t.split()), 13))
+        assert (r.s, r.c, r.n) == want, t
+
+
+def test_long_texts_are_not_counted_to_their_end(spark):
+    """No rule asks for more words than its limit, so no plan of the rules counts all words of every block."""
+    from quire.operators import classify as cl
+
+    blocks = spark.createDataFrame([("one two " * 50,)], "text string")
+    assert cl.with_features(blocks).first()["_words"] == cl.TITLE_MAX_WORDS + 1
