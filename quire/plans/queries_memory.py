@@ -135,7 +135,7 @@ JOIN deck_sizes USING (deck_id) LEFT JOIN deck_terms USING (deck_id)
 
 
 def prompts(spark, sf):
-    c = session.written(stages.classified(spark, sf), "blocks")
+    c = stages.written_blocks(spark, sf)
     units = stages.written_units(session.written(stages.sentences_of(c), "sentences"))
     return mem.build_prompts(c, units, views.deck_sizes(spark, sf), deck_terms(spark, sf), ["SQL", "Java"])
 
@@ -361,7 +361,7 @@ def forgetful_model(prompt: str) -> str:
 
 def translated_pages(spark, sf):
     """Standing inputs of the loop, and its outcome: the memory before, and the judged units."""
-    pages = session.written(stages.classified(spark, sf), "classified")
+    pages = stages.written_blocks(spark, sf)
     s = session.written(stages.sentences_of(pages), "sentences")
     units = stages.written_units(s)
     terms = session.written(deck_terms(spark, sf), "deck_terms")

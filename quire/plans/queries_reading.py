@@ -249,7 +249,7 @@ SELECT deck_id, string_agg(term || ' -> ' || translation, chr(10) ORDER BY rn) A
     "ask_pages", "deck_sizes", "titles", "page_lines", "ask_terms", "selected",
 )
 def bilingual_context(spark, sf):
-    c = session.written(stages.classified(spark, sf), "blocks")
+    c = stages.written_blocks(spark, sf)
     s = session.written(derived.translated(session.written(stages.sentences_of(c), "sentences")), "translated")
     chosen = ctx.selection_text(ctx.selected_sentences(picks(spark, sf, s), s))
     return ctx.bilingual_context(

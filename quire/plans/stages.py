@@ -14,9 +14,17 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     return cl.classified_blocks(views.blocks(spark, sf), views.deck_sizes(spark, sf))
 
 
+#: What sentences, titles, lines and contexts take of a block.
+READ = [*views.PAGE, "block_index", "doc_id", "kind", "has_math", "text"]
+
+
+def written_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """What is read of classified blocks, written once for work that looks at them more than once."""
+    return session.written(classified(spark, sf).select(*READ), "blocks")
+
+
 def sentences_of(classified_blocks: DataFrame) -> DataFrame:
-    kept = [*views.PAGE, "block_index", "doc_id", "kind", "has_math", "text"]
-    return sg.sentences(classified_blocks.select(*kept))
+    return sg.sentences(classified_blocks.select(*READ))
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
