@@ -13,6 +13,8 @@ from quire.sources.views import PAGE
 
 UNIT = ["deck_id", "page_index", "block_index", "sent_index"]
 BAND = 256
+# Fixed value: positions of a part of copied text. Readers know parts by their number, so it is no shard.
+PART = 4096
 
 
 def unit_key() -> Column:
@@ -99,7 +101,7 @@ def _laid_out(order: str, value: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")
 
 
-def copy_parts(chosen: DataFrame, span: int = scale.SPAN) -> DataFrame:
+def copy_parts(chosen: DataFrame, span: int = PART) -> DataFrame:
     """(selection_id, part, source, target, both): the copied text of a selection of any size in ordered
     parts of at most ``span`` positions, paragraphs with a blank line between. The parts that are not
     empty, in order and with a blank line between, are the whole text."""

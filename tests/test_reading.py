@@ -80,6 +80,15 @@ def test_a_gap_makes_two_paragraphs_and_a_missing_translation_is_left_out(spark)
     assert got.both == "One.\n一。\n\nThree.\n\nNext.\n下。"
 
 
+def test_a_part_of_copied_text_is_4096_positions(spark):
+    """Whatever number of rows the rankings put into a task."""
+    rows = [("d", 0, p, 0, i, "body", f"{p}-{i}", None) for p in range(90) for i in range(50)]
+    chosen = sel.screen_order(spark.createDataFrame(rows, S)).where("sent_index <> 49").withColumn("selection_id", F.col("deck_id"))
+    got = {r.part: r.source.split("\n\n") for r in sel.copy_parts(chosen).collect()}
+    assert {part: len(texts) for part, texts in got.items()} == {0: 82, 1: 8}
+    assert got[0][-1].startswith("81-0 ") and got[1][0].startswith("82-0 ")
+
+
 @pytest.mark.parametrize("pages,want", [([2, 4, 5, 6, 7, 11], "3、5–8、12"), ([2, 3], "3、4"), ([3, 2, 3], "3、4"), ([], ""), ([0], "1")])
 def test_page_ranges(spark, pages, want):
     row = spark.createDataFrame([(pages,)], "p array<bigint>").select(sel.page_ranges("p").alias("r")).first()
