@@ -3,7 +3,7 @@
 A document is one text value, so what its lines are is found by one pass over them where the row is read:
 a fold whose state is the open fence, and counts of marks. No line is dealt out, no window is opened, and
 a document of a million lines takes a million steps. Texts are taken from the lines by column
-expressions.
+expressions. A line ends at a line feed and, unless ``returns`` is off, at a carriage return.
 """
 
 from __future__ import annotations
@@ -162,9 +162,10 @@ def portions(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def outline(value: str | None, what: str) -> list:
+def outline(value: str | None, what: str, returns: bool = True) -> list:
     """The lines of a text, or its pages of blocks."""
-    lines = (value or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    value = value or ""
+    lines = (value.replace("\r\n", "\n").replace("\r", "\n") if returns else value).split("\n")
     fenced = fences(lines)
     page = pages_of(lines, fenced)
     if what == "lines":
@@ -172,14 +173,14 @@ def outline(value: str | None, what: str) -> list:
     return blocks_of(lines, fenced, page)
 
 
-def outlined(documents: DataFrame, what: str, text: str = "text") -> DataFrame:
+def outlined(documents: DataFrame, what: str, text: str = "text", returns: bool = True) -> DataFrame:
     """``documents`` with ``_o`` in place of their text: its lines, or its pages of blocks. A null text is an empty one."""
     names = [c for c in documents.columns if c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in portions(batch, len(names)):
-                out = [outline(value, what) for value in rows.column(len(names)).to_pylist()]
+                out = [outline(value, what, returns) for value in rows.column(len(names)).to_pylist()]
                 built = pa.array(out, _LINES if what == "lines" else _PAGES)
                 del out
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], built], names=[*names, "_o"])
@@ -188,20 +189,20 @@ def outlined(documents: DataFrame, what: str, text: str = "text") -> DataFrame:
     return documents.select(*names, text).mapInArrow(work, f"{kinds}, _o {LINES if what == 'lines' else PAGES}")
 
 
-def md_fences(documents: DataFrame, text: str = "text") -> DataFrame:
+def md_fences(documents: DataFrame, text: str = "text", returns: bool = True) -> DataFrame:
     """Every line with ``in_fence``, the fence marks included."""
-    rows = outlined(documents, "lines", text)
+    rows = outlined(documents, "lines", text, returns)
     return rows.select(*rows.columns[:-1], F.inline("_o")).drop("page")
 
 
-def md_pages(documents: DataFrame, text: str = "text") -> DataFrame:
+def md_pages(documents: DataFrame, text: str = "text", returns: bool = True) -> DataFrame:
     """Every line that is on a page, with its ``page``."""
-    rows = outlined(documents, "lines", text)
+    rows = outlined(documents, "lines", text, returns)
     return rows.select(*rows.columns[:-1], F.inline("_o")).where("page IS NOT NULL")
 
 
-def _paged_blocks(documents: DataFrame, text: str) -> DataFrame:
-    rows = outlined(documents, "blocks", text)
+def _paged_blocks(documents: DataFrame, text: str, returns: bool) -> DataFrame:
+    rows = outlined(documents, "blocks", text, returns)
     return rows.select(*rows.columns[:-1], F.posexplode("_o").alias("_p", "_blocks")).withColumn("page", F.col("_p").cast("bigint")).drop("_p")
 
 
@@ -220,9 +221,9 @@ def _texts(block: Column) -> Column:
     ).otherwise(F.array(prose))
 
 
-def md_blocks(documents: DataFrame, text: str = "text") -> DataFrame:
+def md_blocks(documents: DataFrame, text: str = "text", returns: bool = True) -> DataFrame:
     """Blocks of each page in order: headings, code, list items, quotes, paragraphs, table cells."""
-    rows = _paged_blocks(documents, text)
+    rows = _paged_blocks(documents, text, returns)
     names = [c for c in rows.columns if c not in ("_blocks", "page")]
 
     def parts(block: Column) -> Column:
@@ -243,9 +244,9 @@ def md_blocks(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def md_table_cells(documents: DataFrame, text: str = "text") -> DataFrame:
+def md_table_cells(documents: DataFrame, text: str = "text", returns: bool = True) -> DataFrame:
     """Only the table cells that are not empty, with the number of their line."""
-    rows = _paged_blocks(documents, text)
+    rows = _paged_blocks(documents, text, returns)
     names = [c for c in rows.columns if c not in ("_blocks", "page")]
     tables = rows.select(*names, "page", F.inline(F.filter("_blocks", lambda b: b["kind"] == "table")))
     cells = tables.select(*names, "page", "line_no", "table_r", F.posexplode(_cell_texts(F.get("lines", F.lit(0)))).alias("table_c", "text"))

@@ -138,6 +138,35 @@ def test_no_text_and_repeated_rows(spark):
     assert md.md_fences(df).count() == 5 and md.md_pages(df).count() == 2 and md.md_table_cells(df).count() == 0
 
 
+ODD_TEXTS = [
+    None, "", " ", "\n \n", "\r", "\u3000\n\u2028", "a", "a\rb", "a\r\nb\r\n\r\nc", "```\r\nx\r\n~~~\r\ny\r\n---\r\nz", "x\r```\ry", "a\n```\nb\n\n~~~\nc\n   ```\nd",
+    "h\n*a\u2028b* and **c\x85d**\n*e\rf* _g\u2029h_", "| a |\r\n|---|\r\n| *b\rc* |",
+]
+
+
+def rows_and_sql(spark, tmp_path, name):
+    """What a query and its SQL give over a table of odd documents."""
+    import duckdb
+
+    from quire.plans import queries_layout as q
+
+    docs = [(i, text, "en", "s") for i, text in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = q.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(q.ORACLES[name])
+    order = [[d[0] for d in cur.description].index(c) for c in df.columns]
+    return sorted(tuple(r) for r in df.collect()), sorted(tuple(r[i] for i in order) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["md_fences", "md_pages"])
+def test_lines_of_odd_documents_are_those_of_the_sql(spark, tmp_path, name):
+    """A document without a line has none, and a return ends no line."""
+    got, want = rows_and_sql(spark, tmp_path, name)
+    assert got == want and len(want) > 20
+
+
 def test_notes_are_taken_apart_in_portions():
     """A batch of ten thousand notes is not held as lines all at once; rows, nulls and order stay."""
     import pyarrow as pa
