@@ -29,9 +29,9 @@ TABLE_RULE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]*\|?[\s:|-]+\|[\s:|-]*"
 HEADING_PT = (30.0, 24.0, 19.0, 16.0, 14.0, 13.0)
 BODY_PT, CODE_PT = 14.0, 12.0
 
-def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
+def lines_of(documents: DataFrame, text: str = "text", returns: bool = True) -> DataFrame:
     others = [c for c in documents.columns if c != text]
-    uniform = F.regexp_replace(text, r"\r\n?", "\n")
+    uniform = F.regexp_replace(text, r"\r\n?", "\n") if returns else F.col(text)
     return documents.select(*others, F.posexplode(F.split(uniform, "\n")).alias("line_no", "line"))
 
 

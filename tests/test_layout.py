@@ -167,6 +167,12 @@ def test_lines_of_odd_documents_are_those_of_the_sql(spark, tmp_path, name):
     assert got == want and len(want) > 20
 
 
+def test_inline_text_of_odd_documents_is_that_of_the_sql(spark, tmp_path):
+    """The same lines, and emphasis may hold any separator but a line feed."""
+    got, want = rows_and_sql(spark, tmp_path, "md_inline_strip")
+    assert got == want and len(want) > 20
+
+
 def test_notes_are_taken_apart_in_portions():
     """A batch of ten thousand notes is not held as lines all at once; rows, nulls and order stay."""
     import pyarrow as pa
