@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.operators import model
+from quire.operators.markdown import portions
 from quire.plans import scale
 from quire.sources.views import PAGE
 
@@ -26,25 +31,102 @@ def ask_pages(requests: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.withColumn("wanted", wanted_pages(F.col("picked"), F.col("n_pages"), F.col("page_index")))
 
 
-def page_lines(classified: DataFrame, sentences: DataFrame) -> DataFrame:
-    """The text of every page with its translation under each line.
+_PLACE = ["deck_id", "page_index", "block_index", "sent_index"]
 
-    Furniture is left out; blocks that are never split into sentences stand whole.
-    """
+
+def _line() -> Column:
+    """A sentence as a question shows it, with its translation under it."""
     marker = F.when(F.col("kind") == "title", "# ").otherwise("- ")
     under = F.when(F.coalesce("translation", F.lit("")) != "", F.concat(F.lit("\n    "), "translation")).otherwise("")
-    split = sentences.where(model.worth_translating()).select(
-        *PAGE, "block_index", "sent_index", F.concat(marker, "text", under).alias("line")
-    )
-    whole = classified.where("kind = 'code'").select(
-        *PAGE, "block_index", F.lit(0).cast("bigint").alias("sent_index"), F.concat(marker, "text").alias("line")
+    return F.concat(marker, "text", under)
+
+
+def context_pages(titles: DataFrame, code: DataFrame, sentences: DataFrame, translations: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Every page once: ``title``, ``lines`` (its text with the translation under each line) and ``chosen``,
+    those of its sentences that some question selects, with their translations.
+
+    Furniture is left out; blocks of ``code``, which are never split into sentences, stand whole.
+    ``translations`` (place, translation) and ``chosen`` (place) hold a row a place and meet the texts
+    where their page is put together, so a text is dealt out once.
+    """
+    split = sentences.where(model.worth_translating()).select(*_PLACE, "kind", "text")
+    whole = code.select("deck_id", "page_index", "block_index", F.lit(0).cast("bigint").alias("sent_index"), "kind", "text")
+    page = ["deck_id", "page_index"]
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*page).hint("merge")
+
+    rows = met(split.unionByName(whole)).join(met(translations.select(*_PLACE, "translation")), _PLACE, "left")
+    rows = rows.join(met(chosen.select(*_PLACE, F.lit(True).alias("_chosen"))), _PLACE, "left")
+    lines = F.array_sort(F.collect_list(F.struct("block_index", "sent_index", _line().alias("line"))))
+    picked = F.when(F.col("_chosen"), F.struct("block_index", "sent_index", "text", "translation"))
+    grouped = rows.groupBy(*page).agg(
+        F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("lines"), F.collect_list(picked).alias("chosen")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("block_index", "sent_index", "line")))
-    return split.unionByName(whole).groupBy(*PAGE).agg(
-        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("lines")
+    return met(titles.select(*page, "title")).join(grouped.hint("merge"), page, "left").select(
+        *page, "title", F.coalesce("lines", F.lit("")).alias("lines"), "chosen"
     )
 
 
+def _schema(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def packed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the texts of a column compressed, for texts that travel in several copies: each alone,
+    where Spark compresses a buffer of rows at a time and less."""
+    names = [c for c in df.columns if c != column]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in portions(batch, len(names)):
+                texts = [None if t is None else zlib.compress(t.encode()) for t in rows.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(texts, pa.binary())], names=[*names, column])
+
+    return df.select(*names, column).mapInArrow(work, f"{_schema(df, names)}, `{column}` binary")
+
+
+#: Bytes of text that are put together at once.
+PORTION = 1 << 20
+
+
+def joined_sections(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with one text in place of an array of sections (heading, lines), whose lines are :func:`packed`."""
+    names = [c for c in df.columns if c != column]
+
+    def section(s: dict) -> str:
+        lines = zlib.decompress(s["lines"]).decode()
+        return s["heading"] + ("\n" + lines if lines else "") + "\n"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sections, texts, start, held = batch.column(len(names)), [], 0, 0
+            for i in range(batch.num_rows):
+                texts.append("\n".join(section(s) for s in sections[i].as_py()))
+                held += len(texts[-1])
+                if held > PORTION or i == batch.num_rows - 1:
+                    rows = batch.slice(start, len(texts))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, column])
+                    texts, start, held = [], i + 1, 0
+
+    return df.select(*names, column).mapInArrow(work, f"{_schema(df, names)}, `{column}` string")
+
+
+def selected_places(chosen: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Where chosen sentence ids stand: unknown ones are dropped, an id that stands in several places means
+    the first. ``chosen`` is (request_id, deck_id, seq, sentence_id)."""
+    place = F.struct("page_index", "block_index", "sent_index")
+    first = sentences.where(model.worth_translating()).groupBy("deck_id", "sentence_id").agg(F.min(place).alias("_s"))
+    return chosen.join(first, ["deck_id", "sentence_id"]).select("request_id", "deck_id", "seq", "sentence_id", "_s.*")
+
+
+def selected_texts(places: DataFrame, pages: DataFrame) -> DataFrame:
+    """``places`` numbered by ``n`` in each request, with the texts that :func:`context_pages` holds for them."""
+    # numbered in shards: a request may hold most of all chosen sentences
+    numbered = scale.sharded_rank(places, ["request_id"], "seq", "n").drop("shard").withColumn("n", F.col("n").cast("bigint"))
+    return numbered.join(pages.select("deck_id", "page_index", F.inline("chosen")), _PLACE)
+
+
 def selected_sentences(chosen: DataFrame, sentences: DataFrame) -> DataFrame:
     """Resolve chosen sentence ids: unknown ones are dropped, an id that stands in several places
     means the first. ``chosen`` is (request_id, deck_id, seq, sentence_id); ``n`` numbers the rest."""
@@ -76,50 +158,51 @@ def selection_text(selected: DataFrame) -> DataFrame:
     return rows.select("request_id", F.concat(label, F.lit("\n"), F.array_join(F.transform("_s", line), "\n")).alias("selection"))
 
 
-def bilingual_context(
-    wanted: DataFrame, titles: DataFrame, lines: DataFrame, selection: DataFrame, terms: DataFrame
-) -> DataFrame:
+def bilingual_context(wanted: DataFrame, pages: DataFrame, selection: DataFrame, terms: DataFrame) -> DataFrame:
     """One context per question from the pages it wants, its selection and its deck's terms.
 
-    A question carries at most 25 pages, so its group is small whatever the deck's size.
+    ``pages`` is (deck_id, page_index, title, lines), the lines :func:`packed`: a page is copied to every
+    question that wants it. What else a question shows is small and put together apart, so the copies are
+    dealt out once.
     """
-    pages = titles.join(lines, PAGE, "left").select(
-        "deck_id", F.col("page_index").alias("_p"), "title", F.coalesce("lines", F.lit("")).alias("lines")
-    )
+    request = ["request_id", "deck_id", "page_index"]
     asked = wanted.select(
-        "request_id", "deck_id", "page_index", "n_pages", F.size("wanted").alias("_n"), F.explode("wanted").alias("_p"),
-        F.array_join(F.transform("wanted", lambda p: (p + 1).cast("string")), ", ").alias("_listed"),
+        *request, (F.size("wanted") > 1).alias("_several"), F.explode("wanted").alias("_p")
     )
-    joined = asked.join(pages, ["deck_id", "_p"])
+    held = pages.select("deck_id", F.col("page_index").alias("_p"), "title", "lines")
     dash = F.when(F.col("title") != "", F.concat(F.lit(" — "), "title")).otherwise("")
     here = F.col("_p") == F.col("page_index")
     heading = F.when(
-        F.col("_n") > 1,
+        F.col("_several"),
         F.concat(F.lit("--- Slide "), (F.col("_p") + 1).cast("string"), dash, F.when(here, " (the slide being read)").otherwise(""), F.lit(" ---")),
     ).otherwise("The full slide, with the translation shown to the student:")
-    body = F.when(F.col("lines") != "", F.concat(F.lit("\n"), "lines")).otherwise("")
-    sections = joined.withColumn("_section", F.concat(heading, body, F.lit("\n"))).withColumn("_dash", dash)
-    grouped = sections.groupBy("request_id", "deck_id", "page_index", "n_pages", "_n", "_listed").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_section"))), lambda s: s["_section"]), "\n").alias("_body"),
-        F.max(F.when(here, F.col("_dash"))).alias("_dash"),
+    sections = asked.join(held, ["deck_id", "_p"]).select(
+        *request, "_p", heading.alias("heading"), "lines", F.when(here, dash).alias("_dash")
+    )
+    # by request alone, as what is joined below is
+    grouped = sections.repartition("request_id").groupBy(*request).agg(
+        F.array_sort(F.collect_list(F.struct("_p", "heading", "lines"))).alias("_body"), F.max("_dash").alias("_dash")
     )
     number = (F.col("page_index") + 1).cast("string")
+    listed = F.array_join(F.transform("wanted", lambda p: (p + 1).cast("string")), ", ")
     chose = F.when(
-        F.col("_n") > 1,
+        F.size("wanted") > 1,
         F.concat(
-            F.lit("The student chose slides "), "_listed",
+            F.lit("The student chose slides "), listed,
             F.lit(" as the context for this question; they are reading slide "), number, F.lit("."),
         ),
     )
     known = F.when(F.coalesce("terms", F.lit("")) != "", F.concat(F.lit("\nTerminology established in this course:\n"), "terms"))
-    full = scale.salted_join(grouped.join(selection, "request_id", "left"), terms, ["deck_id"], "request_id")
+    around = scale.salted_join(wanted, terms, ["deck_id"], "request_id").select(
+        *request, F.concat(F.lit("Deck: "), "deck_id").alias("_deck"),
+        F.concat(F.lit("Slide "), number, F.lit(" of "), F.col("n_pages").cast("string")).alias("_slide"),
+        chose.alias("_chose"), known.alias("_known"),
+    )
+    around = around.repartition("request_id").join(selection.repartition("request_id").hint("merge"), "request_id", "left")
+    full = joined_sections(around.hint("merge").join(grouped.hint("merge"), request), "_body")
     return full.select(
         "request_id",
-        F.concat_ws(
-            "\n", F.concat(F.lit("Deck: "), "deck_id"),
-            F.concat(F.lit("Slide "), number, F.lit(" of "), F.col("n_pages").cast("string"), "_dash"),
-            chose, F.lit(""), "_body", "selection", known,
-        ).alias("context"),
+        F.concat_ws("\n", "_deck", F.concat("_slide", "_dash"), "_chose", F.lit(""), "_body", "selection", "_known").alias("context"),
     )
 
 

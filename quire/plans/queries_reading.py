@@ -250,11 +250,19 @@ SELECT deck_id, string_agg(term || ' -> ' || translation, chr(10) ORDER BY rn) A
 )
 def bilingual_context(spark, sf):
     c = stages.written_blocks(spark, sf)
-    s = session.written(derived.translated(session.written(stages.sentences_of(c), "sentences")), "translated")
-    chosen = ctx.selection_text(ctx.selected_sentences(picks(spark, sf, s), s))
-    return ctx.bilingual_context(
-        wanted(spark, sf), model.page_title(c), ctx.page_lines(c, s), chosen, deck_terms(spark, sf, 30)
-    )
+    titles = session.written(model.page_title(c), "titles")
+    code = session.written(c.where("kind = 'code'"), "code")
+    s = session.written(stages.sentences_of(c).drop("has_math", "shard"), "sentences")
+    session.forgotten(c)  # each table goes once nothing reads it; they would add up to several times the input
+    places = session.written(ctx.selected_places(picks(spark, sf, s), s), "places")
+    translations = session.written(derived.translations(s), "translations")
+    pages = ctx.context_pages(titles, code, s, translations, places.select(*sel.UNIT).distinct())
+    pages = session.written(ctx.packed(pages, "lines"), "pages")
+    for done in (titles, code, s, translations):
+        session.forgotten(done)
+    chosen = ctx.selection_text(ctx.selected_texts(places, pages))
+    terms = session.written(deck_terms(spark, sf, 30), "terms")
+    return ctx.bilingual_context(wanted(spark, sf), pages, chosen, terms)
 
 
 def frames(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import catalog as cat
 from quire.operators import memory as mem
+from quire.operators import model
 from quire.sources import views
 from quire.sources.corpus import table
 from quire.sources.views import MODEL, PAGE, TARGET_LANG
@@ -37,6 +38,14 @@ def translated(sentences: DataFrame) -> DataFrame:
     return looked.withColumn("flagged", odd & F.col("translation").isNotNull())
 
 
+def translations(sentences: DataFrame) -> DataFrame:
+    """What the memory gives sentences that are worth translating, by their place, where it gives anything.
+    Keys are dealt out, not texts."""
+    place = ["deck_id", "page_index", "block_index", "sent_index"]
+    keys = keyed_sentences(sentences.where(model.worth_translating())).select(*place, "cache_key")
+    return mem.cache_lookup(keys, cache(sentences)).where("translation IS NOT NULL").select(*place, "translation")
+
+
 def pending(sentences: DataFrame) -> DataFrame:
     return mem.pending_units(keyed_sentences(sentences), cache(sentences))
 

@@ -95,6 +95,57 @@ def test_page_ranges(spark, pages, want):
     assert row.r == want
 
 
+def test_a_context_deals_its_copies_out_once_and_leaves_no_texts_behind(spark):
+    """The copies of pages are most of the disk: one exchange holds them, packed, none holds what was put
+    together, and the tables of blocks and sentences are gone by then."""
+    import os
+    import re
+
+    from quire import session
+    from quire.plans import queries_reading as q
+
+    with session.recorded() as paths:
+        df = q.QUERIES["bilingual_context"](spark, "/root/testdata/sf0.001")
+    assert df.count() == 200
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in paths if os.path.exists(p.removeprefix("file:"))}
+    assert left == {"pages", "places", "terms"}
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    dealt = [frozenset(re.findall(r"(\w+)#", c)) for c in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)]
+    assert dealt and not any("_body" in columns for columns in dealt)
+    assert len({columns for columns in dealt if {"lines", "request_id"} <= columns}) == 1
+
+
+def test_packed_lines_come_back_whole(spark):
+    texts = ["", "a", "é — 界\n    «x»", "\x01 \U0001d465", "long " * 500_000, "b"]
+    pages = ctx.packed(spark.createDataFrame(list(enumerate(texts)), "p int, lines string"), "lines")
+    assert pages.schema["lines"].dataType.simpleString() == "binary"
+    one = F.struct(F.concat(F.lit("h"), F.col("p").cast("string")).alias("heading"), "lines")
+    got = {r.p: r.body for r in ctx.joined_sections(pages.select("p", F.array(one).alias("body")), "body").collect()}
+    assert got == {i: f"h{i}" + ("\n" + t if t else "") + "\n" for i, t in enumerate(texts)}
+    every = pages.groupBy().agg(F.array_sort(F.collect_list(F.struct("p", one.alias("s")))).alias("all")).select(F.lit(1).alias("k"), F.col("all.s").alias("body"))
+    assert ctx.joined_sections(every, "body").first().body == "\n".join(got[i] for i in range(len(texts)))
+
+
+def test_chosen_sentences_are_shown_from_their_first_place(spark):
+    rows = sentences(spark).withColumn("sentence_id", F.concat(F.lit("id"), F.length("text").cast("string")))
+    asked = [(1, "d", 9, "id4"), (1, "d", 3, "id6"), (2, "d", 1, "nowhere"), (2, "d", 2, "id5")]
+    places = ctx.selected_places(spark.createDataFrame(asked, "request_id int, deck_id string, seq bigint, sentence_id string"), rows)
+    assert {(r.request_id, r.seq): (r.page_index, r.block_index, r.sent_index) for r in places.collect()} == {
+        (1, 9): (0, 2, 1), (1, 3): (0, 2, 2), (2, 2): (0, 0, 0)}
+    titles = spark.createDataFrame([("d", 0, "Title"), ("d", 1, ""), ("d", 2, "None")], "deck_id string, page_index bigint, title string")
+    code, known = rows.where("kind = 'code'"), rows.where("translation IS NOT NULL")
+    pages = ctx.context_pages(titles, code, rows.drop("translation"), known, places.select(*sel.UNIT).distinct())
+    assert {r.page_index: (r.title, r.lines) for r in pages.collect()} == {
+        0: ("Title", "# Title\n    标题\n- Label\n- One. \n    一。\n- Two.\n    二。\n- Three.\n- x = 1"),
+        1: ("", "- Next.\n    下。"), 2: ("None", ""),
+    }
+    assert {r.request_id: r.selection for r in ctx.selection_text(ctx.selected_texts(places, pages)).collect()} == {
+        1: "The student selected these 2 sentences:\n  1. Three.\n  2. Two.\n     (shown to them as: 二。)",
+        2: "The student selected this sentence:\n  Title\n     (shown to them as: 标题)",
+    }
+
+
 @pytest.mark.parametrize("picked,anchor,want", [([9, 10], 5, [5, 9, 10]), ([], 5, [5]), ([5, 5, -1, 99], 5, [5]), (list(range(30)), 29, [*range(30)])])
 def test_wanted_pages(spark, picked, anchor, want):
     row = spark.createDataFrame([(picked, 40, anchor)], "p array<bigint>, n bigint, a bigint").select(
