@@ -52,6 +52,11 @@ def replace_all(c: str | Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(_col(c), F.lit(pattern), F.lit(by))
 
 
+def _inked(letter: Column) -> Column:
+    """Whether the code of a letter lies in a range without white space."""
+    return letter.between(0x21, 0x7E) | letter.between(0xA1, 0x167F)
+
+
 def strip(c: str | Column) -> Column:
     """Drop white space, Unicode included, at both ends."""
     bare = F.btrim(_col(c), F.lit(SPACES))
@@ -59,8 +64,7 @@ def strip(c: str | Column) -> Column:
         return bare
     # most texts begin and end with a letter or mark of a range without white space, which is seen sooner
     first, last = F.ascii(c), F.ascii(F.right(F.col(c), F.lit(1)))
-    inked = lambda n: n.between(0x21, 0x7E) | n.between(0xA1, 0x167F)
-    return F.when(inked(first) & inked(last), F.col(c)).otherwise(bare)
+    return F.when(_inked(first) & _inked(last), F.col(c)).otherwise(bare)
 
 
 # White space other than a plain space. Letters of the first 256 are one look into a table; the others are only
@@ -170,7 +174,12 @@ def binary_id(c: str | Column) -> Column:
 
 
 def cache_key(text: str | Column, target_lang: str, model: str) -> Column:
-    return content_id(F.concat(F.lit(f"{model}\x00{target_lang}\x00"), _col(text)))
+    lead = f"{model}\x00{target_lang}\x00"
+    whole = F.concat(F.lit(lead), _col(text))
+    if not isinstance(text, str) or lead[0] in SPACES:
+        return content_id(whole)
+    # nothing to strip at its end in most texts, which is seen sooner
+    return F.when(_inked(F.ascii(F.right(F.col(text), F.lit(1)))), short_hash(whole)).otherwise(content_id(whole))
 
 
 def is_monospace(c: str | Column) -> Column:

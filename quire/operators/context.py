@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +71,16 @@ def _schema(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
+def _pack(text: str) -> bytes:
+    """Length and compressed bytes of a text."""
+    plain = text.encode()
+    return len(plain).to_bytes(8) + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unpack(value: bytes) -> str:
+    return pa.decompress(value[8:], int.from_bytes(value[:8]), codec="zstd", asbytes=True).decode()
+
+
 def packed(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the texts of a column compressed, for texts that travel in several copies: each alone,
     where Spark compresses a buffer of rows at a time and less."""
@@ -80,7 +89,7 @@ def packed(df: DataFrame, column: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in portions(batch, len(names)):
-                texts = [None if t is None else zlib.compress(t.encode()) for t in rows.column(len(names)).to_pylist()]
+                texts = [None if t is None else _pack(t) for t in rows.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(texts, pa.binary())], names=[*names, column])
 
     return df.select(*names, column).mapInArrow(work, f"{_schema(df, names)}, `{column}` binary")
@@ -95,7 +104,7 @@ def joined_sections(df: DataFrame, column: str) -> DataFrame:
     names = [c for c in df.columns if c != column]
 
     def section(s: dict) -> str:
-        lines = zlib.decompress(s["lines"]).decode()
+        lines = _unpack(s["lines"])
         return s["heading"] + ("\n" + lines if lines else "") + "\n"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +185,7 @@ def bilingual_context(wanted: DataFrame, pages: DataFrame, selection: DataFrame,
         F.col("_several"),
         F.concat(F.lit("--- Slide "), (F.col("_p") + 1).cast("string"), dash, F.when(here, " (the slide being read)").otherwise(""), F.lit(" ---")),
     ).otherwise("The full slide, with the translation shown to the student:")
-    sections = asked.join(held, ["deck_id", "_p"]).select(
+    sections = asked.join(held.hint("merge"), ["deck_id", "_p"]).select(
         *request, "_p", heading.alias("heading"), "lines", F.when(here, dash).alias("_dash")
     )
     # by request alone, as what is joined below is

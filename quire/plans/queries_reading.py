@@ -257,7 +257,7 @@ def bilingual_context(spark, sf):
     places = session.written(ctx.selected_places(picks(spark, sf, s), s), "places")
     translations = session.written(derived.translations(s), "translations")
     pages = ctx.context_pages(titles, code, s, translations, places.select(*sel.UNIT).distinct())
-    pages = session.written(ctx.packed(pages, "lines"), "pages")
+    pages = session.written_by_key(ctx.packed(pages, "lines"), "pages", "deck_id", "page_index")
     for done in (titles, code, s, translations):
         session.forgotten(done)
     chosen = ctx.selection_text(ctx.selected_texts(places, pages))

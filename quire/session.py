@@ -80,6 +80,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_by_key(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The same as a table bucketed by ``keys``, so that a join by them reads it where it lies and deals out
+    its other side alone. ``df`` is best dealt out by the same keys already."""
+    spark = df.sparkSession
+    path, table = recorded_path(work_path(spark, name)), f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.table(table)
+    out.written_path = path
+    return out
+
+
 #: Paths written in the scopes that are open just now, the innermost last.
 _scopes: list[list[str]] = []
 

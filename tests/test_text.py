@@ -137,3 +137,12 @@ def test_long_texts_are_not_counted_to_their_end(spark):
 
     blocks = spark.createDataFrame([("one two " * 50,)], "text string")
     assert cl.with_features(blocks).first()["_words"] == cl.TITLE_MAX_WORDS + 1
+
+
+def test_a_cache_key_is_that_of_the_stripped_text_however_it_ends(spark):
+    texts = ["a", "a ", " a", "a\u3000", "界", "é", "", " ", "a\n", "a.", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for model in ("m0", " m"):
+        lead = F.lit(f"{model}\x00de\x00")
+        rows = df.select(tx.cache_key("t", "de", model).alias("a"), tx.content_id(F.concat(lead, F.col("t"))).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == rows[1].a != rows[2].a
